@@ -1,3 +1,200 @@
-"""Registered queries."""
+"""Model-quality and drift queries over additive-scorer outputs."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..functions import scoring as S
+from ..operators import drift as D
+from ..operators import metrics as M
+from ..operators import risk
+from ..sources import views as V
+from . import sqlfrag as Q
+from .q_rules import _FEAT_SQL_COLS, _logodds_sql
+from .registry import register
+
+THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 20)]
+
+_SCORED = _logodds_sql(f"SELECT transaction_id, is_fraud, ts, {_FEAT_SQL_COLS} FROM ({Q.TX_BASE}) t")
+_PRED = f"SELECT *, CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS prediction FROM ({_SCORED}) s"
+
+
+def scored(spark, sf):
+    tx = V.transactions(spark, sf)
+    f = tx.select("transaction_id", "is_fraud", "ts",
+                  *S.event_features(F.col("amount"), F.col("channel")))
+    return risk.logodds_from_features(f, with_map=False)
+
+
+_CONF = f"""
+SELECT count(*) FILTER (WHERE is_fraud = 1 AND prediction = 1) AS tp,
+       count(*) FILTER (WHERE is_fraud = 0 AND prediction = 1) AS fp,
+       count(*) FILTER (WHERE is_fraud = 0 AND prediction = 0) AS tn,
+       count(*) FILTER (WHERE is_fraud = 1 AND prediction = 0) AS fn
+FROM ({_PRED}) p"""
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0.0)"
+
+
+def _prf_sql(tp="tp", fp="fp", tn="tn", fn="fn") -> str:
+    return (f"round({_ratio(f'{tp} + {tn}', f'{tp} + {fp} + {tn} + {fn}')}, 6) AS accuracy, "
+            f"round({_ratio(tp, f'{tp} + {fp}')}, 6) AS precision, "
+            f"round({_ratio(tp, f'{tp} + {fn}')}, 6) AS recall, "
+            f"round({_ratio(f'2 * {tp}', f'2 * {tp} + {fp} + {fn}')}, 6) AS f1_score")
+
+
+@register("confusion", _CONF)
+def confusion(spark, sf):
+    return M.confusion(scored(spark, sf))
+
+
+_METRICS = f"""
+SELECT {_prf_sql()}, tp + fp + tn + fn AS support_total, tp + fn AS support_fraud
+FROM ({_CONF}) c"""
+
+
+@register("classification_metrics", _METRICS)
+def classification_metrics(spark, sf):
+    return M.classification_metrics(scored(spark, sf))
+
+
+@register("class_report", f"""
+SELECT 1 AS class, round({_ratio('tp', 'tp + fp')}, 6) AS precision,
+       round({_ratio('tp', 'tp + fn')}, 6) AS recall,
+       round({_ratio('2 * tp', '2 * tp + fp + fn')}, 6) AS f1_score, tp + fn AS support FROM ({_CONF}) c
+UNION ALL
+SELECT 0 AS class, round({_ratio('tn', 'tn + fn')}, 6) AS precision,
+       round({_ratio('tn', 'tn + fp')}, 6) AS recall,
+       round({_ratio('2 * tn', '2 * tn + fn + fp')}, 6) AS f1_score, tn + fp AS support FROM ({_CONF}) c""")
+def class_report(spark, sf):
+    return M.class_report(scored(spark, sf))
+
+
+_SCORE_COUNTS = f"""
+SELECT score, pos, neg,
+       coalesce(sum(pos) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_before,
+       coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_before
+FROM (SELECT log_odds AS score, count(*) FILTER (WHERE is_fraud = 1) AS pos,
+             count(*) FILTER (WHERE is_fraud <> 1) AS neg
+      FROM ({_SCORED}) s GROUP BY log_odds) g"""
+
+
+@register("auc", f"""
+SELECT round({_ratio('num', '2 * P * N')}, 6) AS auc_roc, P AS positives, N AS negatives
+FROM (SELECT sum(pos * (2 * neg_before + neg)) AS num, sum(pos) AS P, sum(neg) AS N
+      FROM ({_SCORE_COUNTS}) sc) t""")
+def auc(spark, sf):
+    # Ranked by log-odds: same order as the probability, and computed by
+    # additions only, so ties are identical in every engine.
+    return M.auc(scored(spark, sf), score="log_odds")
+
+
+@register("roc_curve", f"""
+SELECT round(1.0 / (1.0 + exp(-score)), 6) AS threshold, round(score, 6) AS threshold_log_odds,
+       round({_ratio('N - neg_before', 'N')}, 6) AS fpr,
+       round({_ratio('P - pos_before', 'P')}, 6) AS tpr
+FROM ({_SCORE_COUNTS}) sc, (SELECT sum(pos) AS P, sum(neg) AS N FROM ({_SCORE_COUNTS}) x) tot""")
+def roc_curve(spark, sf):
+    r = M.roc_curve(scored(spark, sf), score="log_odds")
+    return r.select(F.round(1.0 / (1.0 + F.exp(-F.col("threshold"))), 6).alias("threshold"),
+                    F.round("threshold", 6).alias("threshold_log_odds"), "fpr", "tpr")
+
+
+_T_VALUES = "(VALUES " + ", ".join(f"({t})" for t in THRESHOLDS) + ") AS th(t)"
+
+
+@register("threshold_sweep", f"""
+SELECT threshold, tp, fp, tn, fn, {_prf_sql()}
+FROM (SELECT CAST(th.t AS DOUBLE) AS threshold,
+             count(*) FILTER (WHERE s.is_fraud = 1 AND s.probability >= th.t) AS tp,
+             count(*) FILTER (WHERE s.is_fraud <> 1 AND s.probability >= th.t) AS fp,
+             count(*) FILTER (WHERE s.is_fraud <> 1 AND s.probability < th.t) AS tn,
+             count(*) FILTER (WHERE s.is_fraud = 1 AND s.probability < th.t) AS fn
+      FROM ({_SCORED}) s, {_T_VALUES} GROUP BY th.t) g""")
+def threshold_sweep(spark, sf):
+    return M.threshold_sweep(scored(spark, sf), THRESHOLDS)
+
+
+def _psi_sql() -> str:
+    long = "\nUNION ALL\n".join(
+        f"SELECT CASE WHEN ts < TIMESTAMP '{C.DRIFT_SPLIT_DAY}' THEN 'ref' ELSE 'cur' END AS side, "
+        f"'{f}' AS feature, {i} AS fidx, CAST(\"{f}\" AS DOUBLE) AS x FROM ({_SCORED}) s"
+        for i, f in enumerate(C.FEATURES))
+    bins, eps = C.PSI_BINS, C.PSI_EPS
+    counts = ", ".join(
+        f"count(*) FILTER (WHERE side = 'ref' AND bin = {i}) AS r{i}, "
+        f"count(*) FILTER (WHERE side = 'cur' AND bin = {i}) AS c{i}" for i in range(bins))
+    terms = []
+    for i in range(bins):
+        r = f"((r{i} + {eps}) / (n_ref + {eps * bins}))"
+        c = f"((c{i} + {eps}) / (n_cur + {eps * bins}))"
+        terms.append(f"(({c} - {r}) * ln({c} / {r}))")
+    total = terms[0]
+    for t in terms[1:]:
+        total = f"({total} + {t})"
+    return f"""
+WITH l AS ({long}),
+rng AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY feature),
+b AS (SELECT l.*, rng.lo, rng.hi,
+             CASE WHEN rng.hi - rng.lo > 0
+                  THEN CAST(least(floor((x - rng.lo) / (rng.hi - rng.lo) * {bins}), {bins - 1}) AS INTEGER)
+                  ELSE 0 END AS bin
+      FROM l JOIN rng USING (feature)),
+g AS (SELECT feature, fidx, count(*) FILTER (WHERE side = 'ref') AS n_ref,
+             count(*) FILTER (WHERE side = 'cur') AS n_cur, min(lo) AS lo, min(hi) AS hi, {counts}
+      FROM b GROUP BY feature, fidx),
+v AS (SELECT feature, fidx, CASE WHEN hi = lo THEN 0.0 ELSE {total} END AS value FROM g)
+SELECT feature, fidx, round(value, 6) AS psi, value > {C.PSI_THRESHOLD} AS drifted FROM v"""
+
+
+_PSI = _psi_sql()
+
+
+def psi_frame(spark, sf):
+    s = scored(spark, sf)
+    split = F.lit(C.DRIFT_SPLIT_DAY).cast("timestamp_ntz")
+    return D.psi(s.where(F.col("ts") < split), s.where(F.col("ts") >= split))
+
+
+@register("psi", _PSI)
+def psi(spark, sf):
+    return psi_frame(spark, sf)
+
+
+_VERDICT = f"""
+SELECT n_drifted, round(n_drifted / {float(len(C.FEATURES))}, 6) AS drift_share,
+       round(n_drifted / {float(len(C.FEATURES))}, 6) >= {C.DRIFT_SHARE_THRESHOLD} AS drift_detected,
+       drifted_features
+FROM (SELECT count(*) FILTER (WHERE drifted) AS n_drifted,
+             coalesce(list(feature ORDER BY fidx) FILTER (WHERE drifted), []::VARCHAR[]) AS drifted_features
+      FROM ({_PSI}) p) x"""
+
+
+@register("drift_verdict", _VERDICT)
+def drift_verdict(spark, sf):
+    return D.drift_verdict(psi_frame(spark, sf))
+
+
+@register("retrain_decision", f"""
+WITH m AS ({_METRICS}), v AS ({_VERDICT}),
+r AS (SELECT m.f1_score, v.drift_share, v.drift_detected,
+             list_concat(
+               CASE WHEN m.f1_score < {C.F1_THRESHOLD}
+                    THEN [printf('F1-score (%.4f) below threshold ({C.F1_THRESHOLD})', m.f1_score)]
+                    ELSE []::VARCHAR[] END,
+               CASE WHEN v.drift_detected
+                    THEN ['Data drift detected: ' || printf('%.1f%%', round(v.drift_share * 100, 1))
+                          || ' of features drifted (threshold={C.DRIFT_SHARE_THRESHOLD:.0%}). Drifted: ['
+                          || array_to_string(list_transform(v.drifted_features, lambda x: '''' || x || ''''), ', ')
+                          || ']']
+                    ELSE []::VARCHAR[] END) AS reasons
+      FROM m, v)
+SELECT f1_score, drift_share, drift_detected, len(reasons) > 0 AS retrain,
+       CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, ' | ')
+            ELSE 'No drift or performance degradation detected' END AS reason
+FROM r""")
+def retrain_decision(spark, sf):
+    return D.retrain_decision(classification_metrics(spark, sf), drift_verdict(spark, sf))
