@@ -29,6 +29,15 @@ def one_hot(channel: Column, source: Column) -> list[Column]:
     return cols
 
 
+def event_feature_map(amount: Column, event_channel: Column) -> dict[str, Column]:
+    """Serving features as unaliased expressions keyed by feature name."""
+    ch = model_channel(event_channel)
+    out = {"amount": serve_amount(amount)}
+    out.update({f"channel_{c}": F.when(ch == c, 1).otherwise(0) for c in C.CHANNELS})
+    out.update({f"source_dataset_{s}": F.lit(1 if s == "PaySim" else 0) for s in C.SOURCES})
+    return out
+
+
 def event_features(amount: Column, event_channel: Column) -> list[Column]:
     """13-feature serving vector for a live event (mobile-money source)."""
     ch = model_channel(event_channel)

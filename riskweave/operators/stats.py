@@ -16,25 +16,21 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 
-def exact_median(df: DataFrame, col: str, collect_limit: int | None = None,
-                 buckets: int | None = None) -> float | None:
-    collect_limit = collect_limit or C.TUNABLES.quantile_collect_limit
-    buckets = buckets or C.TUNABLES.quantile_buckets
-    x = df.select(F.col(col).cast("double").alias("x")).where(
+def _non_null(df: DataFrame, col: str) -> DataFrame:
+    return df.select(F.col(col).cast("double").alias("x")).where(
         F.col("x").isNotNull() & ~F.isnan("x"))
-    st = x.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    n = st["n"]
-    if not n:
-        return None
-    k1, k2 = (n - 1) // 2, n // 2
-    lo, hi, below, inside = st["lo"], st["hi"], 0, n
+
+
+def _values_at_ranks(x: DataFrame, st, k1: int, k2: int, collect_limit: int,
+                     buckets: int) -> tuple[float, float]:
+    """Values at 0-based ranks k1 <= k2 of the sorted column ``x``."""
+    lo, hi, below, inside = st["lo"], st["hi"], 0, st["n"]
     for _ in range(16):
         if lo == hi:
-            return float(lo)
-        cur = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
+            return float(lo), float(lo)
         if inside <= collect_limit:
-            vals = sorted(r[0] for r in cur.collect())
-            return (vals[k1 - below] + vals[k2 - below]) / 2.0
+            break
+        cur = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
         b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(hi - lo) * buckets),
                     F.lit(buckets - 1)).alias("b")
         hist = sorted(cur.groupBy(b).agg(F.count("x").alias("c"), F.min("x").alias("mn"),
@@ -50,7 +46,41 @@ def exact_median(df: DataFrame, col: str, collect_limit: int | None = None,
         inside = sum(r["c"] for r in hist if b1["b"] <= r["b"] <= b2["b"])
         below = new_below
     vals = sorted(r[0] for r in x.where((F.col("x") >= lo) & (F.col("x") <= hi)).collect())
-    return (vals[k1 - below] + vals[k2 - below]) / 2.0
+    return vals[k1 - below], vals[k2 - below]
+
+
+def _stats(x: DataFrame):
+    return x.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, collect_limit: int | None = None,
+                   buckets: int | None = None) -> float | None:
+    """Exact quantile, linear interpolation at position ``(n - 1) * q``."""
+    x = _non_null(df, col)
+    st = _stats(x)
+    n = st["n"]
+    if not n:
+        return None
+    h = (n - 1) * q
+    k1 = int(h)
+    k2 = min(k1 + 1, n - 1)
+    a, b = _values_at_ranks(x, st, k1, k2, collect_limit or C.TUNABLES.quantile_collect_limit,
+                            buckets or C.TUNABLES.quantile_buckets)
+    return a + (b - a) * (h - k1)
+
+
+def exact_median(df: DataFrame, col: str, collect_limit: int | None = None,
+                 buckets: int | None = None) -> float | None:
+    """Middle value, or the mean of the two middle values."""
+    x = _non_null(df, col)
+    st = _stats(x)
+    n = st["n"]
+    if not n:
+        return None
+    a, b = _values_at_ranks(x, st, (n - 1) // 2, n // 2,
+                            collect_limit or C.TUNABLES.quantile_collect_limit,
+                            buckets or C.TUNABLES.quantile_buckets)
+    return (a + b) / 2.0
 
 
 def mode_value(df: DataFrame, col: str) -> Column:

@@ -47,7 +47,8 @@ SELECT 'TXN' || CAST(event_id AS VARCHAR) AS transaction_id,
        CASE WHEN event_id % 37 = 0 THEN 'BVN' || CAST(user_id AS VARCHAR)
             ELSE lpad(CAST(user_id % 100000000000 AS VARCHAR), 11, '2') END AS bvn,
        (event_id * 7919) % 200 AS beneficiary,
-       CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END AS is_fraud
+       CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END AS is_fraud,
+       TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS scoring_latency_ms
 FROM events
 """
 

@@ -52,6 +52,7 @@ def transactions(spark: SparkSession, sf_dir: str, with_velocity: bool = False)
          .alias("bvn"),
         F.pmod(eid * 7919, F.lit(200)).alias("beneficiary"),
         F.when(F.pmod(eid, F.lit(20)) == 0, 1).otherwise(0).alias("is_fraud"),
+        F.get_json_object(F.col("props"), "$.k").try_cast("double").alias("scoring_latency_ms"),
     )
     if with_velocity:
         df = windowed_count(df, ["sender"], "ts", 3600, "tx_count_last_hour",
