@@ -44,3 +44,14 @@ def scalar_struct(agg_df) -> Column:
     of anything that grows with the data.
     """
     return agg_df.scalar()
+
+
+def key_uniform(*parts: Column) -> Column:
+    """Uniform in [0, 1) from the first 32 bits of SHA-256 over ``parts``.
+
+    Deterministic across engines, partitionings and task retries (the same
+    value is reproducible in plain SQL), so sampled splits and synthetic rows
+    never change between runs.
+    """
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") / 4294967296.0

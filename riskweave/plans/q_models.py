@@ -1,3 +1,120 @@
-"""Registered queries."""
+"""Split, folds, SMOTE and model queries over the feature table."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..operators import balance as B
+from ..operators import quality as QL
+from ..sources import views as V
+from . import sqlfrag as Q
+from .q_quality import _MIN_MAX
+from .registry import register
+
+FEATURES_SQL = f"SELECT * EXCLUDE (lo, hi) FROM ({_MIN_MAX}) x"
+_U_SPLIT = Q.key_uniform_sql("transaction_id", "'split'")
+_SPLIT_SQL = f"SELECT *, {_U_SPLIT} < 0.8 AS is_train FROM ({FEATURES_SQL}) f"
+_TRAIN_SQL = f"SELECT * FROM ({_SPLIT_SQL}) s WHERE is_train"
+K = 2
+
+
+def feature_table(spark, sf):
+    return QL.feature_table(V.raw_money(spark, sf), V.raw_card(spark, sf))
+
+
+def split_table(spark, sf):
+    return B.split(feature_table(spark, sf))
+
+
+def train_table(spark, sf):
+    return split_table(spark, sf).where(F.col("is_train"))
+
+
+@register("split_counts", f"""
+SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, is_fraud, count(*) AS n
+FROM ({_SPLIT_SQL}) s GROUP BY ALL""")
+def split_counts(spark, sf):
+    s = split_table(spark, sf)
+    return s.groupBy(F.when(F.col("is_train"), "train").otherwise("test").alias("split"),
+                     "is_fraud").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("folds", f"""
+SELECT transaction_id, is_fraud,
+       CAST((row_number() OVER (PARTITION BY is_fraud
+             ORDER BY {Q.key_uniform_sql('transaction_id', "'fold'")}, transaction_id) - 1) % 5 AS INTEGER) AS fold
+FROM ({_TRAIN_SQL}) t""")
+def folds(spark, sf):
+    return B.stratified_folds(train_table(spark, sf)).select("transaction_id", "is_fraud", "fold")
+
+
+def _cell_sql() -> str:
+    return "concat_ws('', " + ", ".join(
+        f'CAST(CAST("{f}" AS INTEGER) AS VARCHAR)' for f in C.FEATURES if f != "amount") + ")"
+
+
+def _dist_sql(a: str, b: str) -> str:
+    terms = [f'((CAST({a}."{f}" AS DOUBLE) - CAST({b}."{f}" AS DOUBLE)) * '
+             f'(CAST({a}."{f}" AS DOUBLE) - CAST({b}."{f}" AS DOUBLE)))' for f in C.FEATURES]
+    total = terms[0]
+    for t in terms[1:]:
+        total = f"({total} + {t})"
+    return f"sqrt({total})"
+
+
+_MINORITY = f"SELECT * FROM ({_TRAIN_SQL}) t WHERE is_fraud = 1"
+_NEIGHBOURS = f"""
+SELECT transaction_id, CAST(nbr_rank AS INTEGER) AS nbr_rank, nbr_key, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY distance, nbr_key) AS nbr_rank
+      FROM (SELECT a.transaction_id, b.transaction_id AS nbr_key, {_dist_sql('a', 'b')} AS distance
+            FROM ({_MINORITY}) a JOIN ({_MINORITY}) b ON a.transaction_id <> b.transaction_id) p
+      WHERE distance > 0) r
+WHERE nbr_rank <= {K}"""
+
+
+@register("smote_neighbours", _NEIGHBOURS)
+def smote_neighbours(spark, sf):
+    minority = train_table(spark, sf).where(F.col("is_fraud") == 1)
+    return B.smote_neighbours(minority, K)
+
+
+def _smote_rows_sql() -> str:
+    fields = ", ".join(f'"{f}" := CAST(n."{f}" AS DOUBLE)' for f in C.FEATURES)
+    ratio = Q.key_uniform_sql("g.transaction_id", "j", "'ratio'")
+    upick = Q.key_uniform_sql("g.transaction_id", "j", "'nbr'")
+    cols = ", ".join(
+        f'CAST(g."{f}" AS DOUBLE) + {ratio} * (p."{f}" - CAST(g."{f}" AS DOUBLE)) AS "{f}"'
+        for f in C.FEATURES)
+    return f"""
+WITH tr AS ({_TRAIN_SQL}),
+cnt AS (SELECT count(*) FILTER (WHERE is_fraud = 1) AS m, count(*) FILTER (WHERE is_fraud = 0) AS m0 FROM tr),
+mi AS (SELECT *, {_cell_sql()} AS cell FROM tr WHERE is_fraud = 1),
+gi AS (SELECT mi.*, row_number() OVER (ORDER BY cell, amount, transaction_id) - 1 AS gi FROM mi),
+nb AS ({_NEIGHBOURS}),
+lists AS (SELECT nb.transaction_id, list(struct_pack({fields}) ORDER BY nb.nbr_rank) AS nbrs
+          FROM nb JOIN mi n ON nb.nbr_key = n.transaction_id GROUP BY nb.transaction_id),
+alloc AS (SELECT gi.*, (cnt.m0 - cnt.m) // cnt.m
+                       + CASE WHEN gi.gi < (cnt.m0 - cnt.m) % cnt.m THEN 1 ELSE 0 END AS n_syn,
+                 lists.nbrs
+          FROM gi CROSS JOIN cnt LEFT JOIN lists ON gi.transaction_id = lists.transaction_id),
+syn AS (SELECT *, unnest(range(n_syn)) AS j FROM alloc WHERE n_syn > 0),
+g AS (SELECT syn.*, nbrs[CAST(floor({upick.replace('g.transaction_id', 'syn.transaction_id')} * len(nbrs)) AS BIGINT) + 1] AS p
+      FROM syn)
+SELECT 'SYN_' || g.transaction_id || '_' || CAST(j AS VARCHAR) AS transaction_id, {cols}, 1 AS is_fraud
+FROM g"""
+
+
+@register("smote_rows", _smote_rows_sql())
+def smote_rows(spark, sf):
+    return B.smote_rows(train_table(spark, sf), k_max=K)
+
+
+@register("resampled_counts", f"""
+SELECT is_fraud, count(*) AS n FROM (
+  SELECT is_fraud FROM ({_TRAIN_SQL}) t
+  UNION ALL
+  SELECT is_fraud FROM ({_smote_rows_sql()}) s) u GROUP BY is_fraud""")
+def resampled_counts(spark, sf):
+    r = B.resample(train_table(spark, sf))
+    return r.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"))

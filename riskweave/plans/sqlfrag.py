@@ -132,3 +132,8 @@ SELECT *, {trig} AS triggered_rules, {score} AS rule_risk_score,
             WHEN {score} >= {C.OTP_AT} THEN 'PENDING_OTP' ELSE 'APPROVED' END AS rule_decision
 FROM (SELECT *, {cols} FROM ({src}) s0) s1
 """
+
+
+def key_uniform_sql(*parts: str) -> str:
+    text = "concat_ws(':', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")"
+    return f"(CAST(('0x' || substr(sha256({text}), 1, 8)) AS BIGINT) / 4294967296.0)"
