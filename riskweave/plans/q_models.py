@@ -118,3 +118,87 @@ SELECT is_fraud, count(*) AS n FROM (
 def resampled_counts(spark, sf):
     r = B.resample(train_table(spark, sf))
     return r.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------------------
+# Models (rows-only checks: a learner's output has no SQL equivalent)
+# --------------------------------------------------------------------------
+
+def _cut_split(spark, sf):
+    """Split feature table written to the shared checkpoint folder: every
+    learner re-reads it many times, so its lineage is cut once."""
+    from ..session import cut_lineage
+    return cut_lineage(split_table(spark, sf))
+
+
+def _scores(spark, sf, kind: str, params: dict | None = None):
+    from ..operators import models as MD
+    s = _cut_split(spark, sf)
+    train = B.resample(s.where(F.col("is_train")))
+    model = MD.fit(train, kind, params=params)
+    test = s.where(~F.col("is_train"))
+    return MD.score(model, test)
+
+
+def _rounded(df):
+    return df.select("transaction_id", "is_fraud", F.round("probability", 6).alias("probability"),
+                     "prediction")
+
+
+@register("lr_scores")
+def lr_scores(spark, sf):
+    return _rounded(_scores(spark, sf, "lr"))
+
+
+@register("rf_scores")
+def rf_scores(spark, sf):
+    return _rounded(_scores(spark, sf, "rf"))
+
+
+@register("gbt_scores")
+def gbt_scores(spark, sf):
+    return _rounded(_scores(spark, sf, "gbt"))
+
+
+@register("model_comparison")
+def model_comparison(spark, sf):
+    from ..operators import models as MD
+    from ..session import cut_lineage
+    s = _cut_split(spark, sf)
+    train = cut_lineage(B.resample(s.where(F.col("is_train"))))
+    test = s.where(~F.col("is_train"))
+    out = None
+    for name, kind in (("logistic_regression", "lr"), ("random_forest", "rf"),
+                       ("boosted_trees", "gbt")):
+        row = MD.evaluate(MD.score(MD.fit(train, kind), test), name)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("cv_f1")
+def cv_f1(spark, sf, k: int = 5):
+    """Mean F1 over stratified folds, SMOTE applied inside each training fold."""
+    from ..operators import metrics as MT
+    from ..operators import models as MD
+    from ..session import cut_lineage
+    f = cut_lineage(B.stratified_folds(_cut_split(spark, sf).where(F.col("is_train")), k=k))
+    rows = None
+    for i in range(k):
+        tr = B.resample(f.where(F.col("fold") != i).drop("fold", "is_train"))
+        model = MD.fit(tr, "lr", params={"maxIter": 100})
+        m = MT.classification_metrics(MD.score(model, f.where(F.col("fold") == i)))
+        r = m.select(F.lit(i).alias("fold"), "f1_score")
+        rows = r if rows is None else rows.unionByName(r)
+    return rows.agg(F.round(F.avg("f1_score"), 6).alias("mean_f1"), F.count(F.lit(1)).alias("folds"))
+
+
+@register("isolation_scores")
+def isolation_scores(spark, sf):
+    from ..functions import scoring as S
+    from ..operators.anomaly import isolation_scores as iso
+    tx = V.transactions(spark, sf, with_velocity=True)
+    feats = tx.select("transaction_id", *S.anomaly_features(
+        F.col("amount"), F.col("ts"), F.col("channel"), F.col("location"), F.col("tx_count_last_hour")))
+    out = iso(feats, feats, "transaction_id")
+    return out.select("transaction_id", F.round("iso_score", 6).alias("iso_score"),
+                      F.round("anomaly_risk", 6).alias("anomaly_risk"))

@@ -27,6 +27,8 @@ def get_spark(master: str | None = None, app: str = "riskweave",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Only takes effect when this call starts the JVM (local runs).
+        "spark.driver.memory": "8g",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
