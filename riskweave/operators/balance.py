@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.core import key_uniform
+from ..session import cut_lineage
 
 
 def split(df: DataFrame, key: str = "transaction_id", train_frac: float = 0.8,
@@ -113,6 +114,9 @@ def smote_rows(train: DataFrame, label: str = "is_fraud", key: str = "transactio
     ``need % M`` rows (by cell, amount, key) one more; neighbour choice and
     interpolation ratio come from key hashes, so the output is reproducible.
     """
+    # The training table feeds a count, the ranks, the neighbour search and the
+    # generation step; cut its lineage once instead of recomputing it each time.
+    train = cut_lineage(train.select(key, *[F.col(f"`{f}`") for f in features], label))
     counts = train.agg(F.count_if(F.col(label) == 1).alias("m"),
                        F.count_if(F.col(label) == 0).alias("M0")).first()
     n_min, n_maj = counts["m"], counts["M0"]
