@@ -22,4 +22,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so their queries register."""
-    from . import q_rules, q_quality, q_metrics, q_alerts, q_models  # noqa: F401
+    from . import q_rules, q_quality, q_metrics, q_alerts, q_models, q_reports  # noqa: F401
