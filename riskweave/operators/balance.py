@@ -72,12 +72,19 @@ def _dist(a: str, b: str, features=C.FEATURES):
     return F.sqrt(total)
 
 
-def smote_neighbours(minority: DataFrame, k: int, key: str = "transaction_id",
-                     features=C.FEATURES, salt: int = 64) -> DataFrame:
-    """k nearest other minority rows per row: (key, nbr_rank, nbr_key, distance)."""
+def ranked_minority(minority: DataFrame, key: str = "transaction_id",
+                    features=C.FEATURES) -> DataFrame:
+    """Minority rows with their one-hot cell and exact rank by amount inside it."""
     m = minority.select(key, *[F.col(f"`{f}`").cast("double").alias(f) for f in features]) \
                 .withColumn("cell", cell_key(features))
-    r = rank_within(m, ["cell"], "amount", key, "rk")
+    return rank_within(m, ["cell"], "amount", key, "rk")
+
+
+def smote_neighbours(minority: DataFrame | None, k: int, key: str = "transaction_id",
+                     features=C.FEATURES, salt: int = 64,
+                     ranked: DataFrame | None = None) -> DataFrame:
+    """k nearest other minority rows per row: (key, nbr_rank, nbr_key, distance)."""
+    r = ranked if ranked is not None else ranked_minority(minority, key, features)
     offs = [d for d in range(-k, k + 1) if d != 0]
     a = (r.select(F.struct(*[F.col(f"`{c}`") for c in [key, *features]]).alias("s"), "cell", "rk",
                   F.explode(F.array(*[F.lit(d) for d in offs])).alias("__d"))
@@ -114,22 +121,25 @@ def smote_rows(train: DataFrame, label: str = "is_fraud", key: str = "transactio
     ``need % M`` rows (by cell, amount, key) one more; neighbour choice and
     interpolation ratio come from key hashes, so the output is reproducible.
     """
-    # The training table feeds a count, the ranks, the neighbour search and the
-    # generation step; cut its lineage once instead of recomputing it each time.
-    train = cut_lineage(train.select(key, *[F.col(f"`{f}`") for f in features], label))
+    # Class counts (one aggregate), then the minority rows are written to the
+    # shared checkpoint folder.  (An ``Observation`` would save the aggregate
+    # pass, but on Spark 4.1 it leaves the session unserializable for ML
+    # models fitted afterwards.)
     counts = train.agg(F.count_if(F.col(label) == 1).alias("m"),
                        F.count_if(F.col(label) == 0).alias("M0")).first()
+    minority = cut_lineage(train.where(F.col(label) == 1).select(
+        key, *[F.col(f"`{f}`").cast("double").alias(f) for f in features]))
     n_min, n_maj = counts["m"], counts["M0"]
     need = n_maj - n_min
-    minority = train.where(F.col(label) == 1)
     schema_cols = [key, *features]
     if need <= 0 or n_min == 0:
-        return minority.select(*[F.col(f"`{c}`") for c in schema_cols]).limit(0) \
-                       .withColumn(label, F.lit(1))
+        return minority.select(*[F.col(f"`{c}`") for c in schema_cols]) \
+                       .limit(0).withColumn(label, F.lit(1))
     k = max(min(k_max, n_min - 1), 0)
-    m = minority.select(key, *[F.col(f"`{f}`").cast("double").alias(f) for f in features]) \
-                .withColumn("cell", cell_key(features))
-    r = rank_within(m, ["cell"], "amount", key, "rk")
+    # The ranked minority feeds the neighbour join, the cell sizes, the
+    # allocation and the generation step: written once, read four times.
+    r = cut_lineage(ranked_minority(minority, key, features))
+    m = r
     sizes = r.groupBy("cell").agg(F.count(F.lit(1)).alias("__n"))
     wo = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     # One row per cell: the un-partitioned window runs over that small table only.
@@ -138,7 +148,7 @@ def smote_rows(train: DataFrame, label: str = "is_fraud", key: str = "transactio
     base, extra = need // n_min, need % n_min
     g = g.withColumn("n_syn", F.lit(base) + F.when(F.col("gi") < extra, 1).otherwise(0))
     if k > 0:
-        nb = smote_neighbours(minority, k, key, features)
+        nb = smote_neighbours(None, k, key, features, ranked=r)
         nbv = m.select(F.col(key).alias("nbr_key"),
                        F.struct(*[F.col(f).alias(f) for f in features]).alias("nv"))
         lists = (nb.join(nbv, "nbr_key")

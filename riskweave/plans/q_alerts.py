@@ -153,7 +153,7 @@ _PRETTY = "replace(replace({x}, 'channel_', 'Channel: '), 'source_dataset_', 'Pi
 
 
 @register("top_reasons", f"""
-SELECT alert_id, i AS rank, {_PRETTY.format(x='e.feature')} AS feature, round(e.value, 4) AS shap_value,
+SELECT alert_id, CAST(i AS INTEGER) AS rank, {_PRETTY.format(x='e.feature')} AS feature, round(e.value, 4) AS shap_value,
        CASE WHEN e.value > 0 THEN 'INCREASES' ELSE 'DECREASES' END AS direction,
        printf('%.2f%%', round(abs(e.value) * 100, 2)) AS impact_pct
 FROM (SELECT alert_id, unnest(list_slice(entries, 1, 3)) AS e, unnest(range(1, 4)) AS i
@@ -184,7 +184,8 @@ def notification_outbox(spark, sf):
 
 
 @register("importance", f"""
-SELECT feature, mean_abs, mean_signed, row_number() OVER (ORDER BY mean_abs DESC, feature) AS rank
+SELECT feature, mean_abs, mean_signed,
+       CAST(row_number() OVER (ORDER BY mean_abs DESC, feature) AS INTEGER) AS rank
 FROM (SELECT e.feature AS feature, round(avg(abs(e.value)), 6) AS mean_abs, round(avg(e.value), 6) AS mean_signed
       FROM (SELECT unnest(entries) AS e FROM ({SCORED_SQL}) s) t GROUP BY e.feature) g""")
 def importance(spark, sf):
@@ -204,7 +205,7 @@ def importance(spark, sf):
 
 
 @register("waterfall", f"""
-SELECT alert_id, step, feature, CAST(contribution AS DOUBLE) AS contribution,
+SELECT alert_id, CAST(step AS INTEGER) AS step, feature, CAST(contribution AS DOUBLE) AS contribution,
        CAST(CAST({C.LOGODDS_BASE} AS DECIMAL(18,6))
             + sum(contribution) OVER (PARTITION BY alert_id ORDER BY step
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)

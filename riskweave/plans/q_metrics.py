@@ -83,7 +83,8 @@ FROM (SELECT log_odds AS score, count(*) FILTER (WHERE is_fraud = 1) AS pos,
 
 
 @register("auc", f"""
-SELECT round({_ratio('num', '2 * P * N')}, 6) AS auc_roc, P AS positives, N AS negatives
+SELECT round({_ratio('num', '2 * P * N')}, 6) AS auc_roc, CAST(P AS BIGINT) AS positives,
+       CAST(N AS BIGINT) AS negatives
 FROM (SELECT sum(pos * (2 * neg_before + neg)) AS num, sum(pos) AS P, sum(neg) AS N
       FROM ({_SCORE_COUNTS}) sc) t""")
 def auc(spark, sf):

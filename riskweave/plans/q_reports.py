@@ -39,7 +39,8 @@ def risk_bands(spark, sf):
               .agg(F.count(F.lit(1)).alias("n"))
 
 
-_WEIGHTS_SQL = "(VALUES " + ", ".join(f"({Q.q(n)}, {w})" for n, w in C.RULES) + ") AS w(rule, weight)"
+_WEIGHTS_SQL = ("(VALUES " + ", ".join(f"({Q.q(n)}, CAST({w} AS DOUBLE))" for n, w in C.RULES)
+                + ") AS w(rule, weight)")
 
 
 @register("rule_severity", f"""

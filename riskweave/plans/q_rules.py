@@ -63,8 +63,8 @@ _ZSTATS = """(SELECT avg(amount) AS m,
 
 
 def _zsql(src_alias: str) -> str:
-    return (f"CASE WHEN abs({src_alias}.amount - st.m) / st.s > 3.0 THEN 0.85 "
-            f"WHEN abs({src_alias}.amount - st.m) / st.s > 2.0 THEN 0.60 ELSE 0.15 END")
+    return (f"CAST(CASE WHEN abs({src_alias}.amount - st.m) / st.s > 3.0 THEN 0.85 "
+            f"WHEN abs({src_alias}.amount - st.m) / st.s > 2.0 THEN 0.60 ELSE 0.15 END AS DOUBLE)")
 
 
 @register("zscore_anomaly", f"""
@@ -175,7 +175,7 @@ def stream_flag_reasons(spark, sf):
 
 @register("anomaly_features", f"""
 SELECT transaction_id, coalesce(TRY_CAST(amount AS DOUBLE), 0.0) AS amount,
-       coalesce(hour(ts), 12) AS hour,
+       CAST(coalesce(hour(ts), 12) AS INTEGER) AS hour,
        {Q.case('upper(channel)', C.ANOMALY_CHANNEL_CODE, str(C.ANOMALY_CHANNEL_DEFAULT))} AS channel_encoded,
        {Q.case('upper(location)', C.ANOMALY_LOCATION_CODE, str(C.ANOMALY_LOCATION_DEFAULT))} AS location_encoded,
        coalesce(tx_count_last_hour, 0) AS tx_count_last_hour
@@ -263,7 +263,7 @@ _BANKS_SQL = "(VALUES " + ", ".join(f"({Q.q(c)}, {Q.q(n)})" for c, n in C.BANKS)
 
 @register("bank_lookup", f"""
 SELECT t.bank_code, coalesce(b.name, {Q.q(C.UNKNOWN_BANK)}) AS bank_name, count(*) AS n_transactions,
-       sum(CASE WHEN {_nuban_sql('t.account', 't.bank_code')} THEN 1 ELSE 0 END) AS n_valid_accounts
+       CAST(sum(CASE WHEN {_nuban_sql('t.account', 't.bank_code')} THEN 1 ELSE 0 END) AS BIGINT) AS n_valid_accounts
 FROM ({Q.TX_BASE}) t LEFT JOIN {_BANKS_SQL} ON t.bank_code = b.code
 GROUP BY t.bank_code, coalesce(b.name, {Q.q(C.UNKNOWN_BANK)})""")
 def bank_lookup(spark, sf):

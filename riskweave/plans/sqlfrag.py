@@ -124,8 +124,8 @@ def rules_sql(src: str, velocity_threshold: int) -> str:
     cols = ", ".join(f"{f} AS f{i}" for i, f in enumerate(flags))
     trig = "list_concat(" + ", ".join(
         f"CASE WHEN f{i} THEN [{q(n)}] ELSE []::VARCHAR[] END" for i, n in enumerate(names)) + ")"
-    score = "round(greatest(0.0, " + ", ".join(
-        f"CASE WHEN f{i} THEN {w} ELSE 0.0 END" for i, w in enumerate(weights)) + "), 2)"
+    score = "CAST(round(greatest(0.0, " + ", ".join(
+        f"CASE WHEN f{i} THEN {w} ELSE 0.0 END" for i, w in enumerate(weights)) + "), 2) AS DOUBLE)"
     return f"""
 SELECT *, {trig} AS triggered_rules, {score} AS rule_risk_score,
        CASE WHEN {score} >= {C.BLOCK_AT} THEN 'BLOCKED'
