@@ -101,3 +101,56 @@ def save(model: PipelineModel, root: str, name: str) -> str:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def sample_params(space: dict, trials: int, seed: int = 42) -> list[dict]:
+    """Random-search parameter maps (M8).  ``space`` maps a parameter to
+    ("int", lo, hi), ("float", lo, hi), ("log", lo, hi) or ("choice", [values])."""
+    import math
+    import random
+    rng = random.Random(seed)
+    out = []
+    for _ in range(trials):
+        p = {}
+        for name, spec in space.items():
+            kind = spec[0]
+            if kind == "int":
+                p[name] = rng.randint(spec[1], spec[2])
+            elif kind == "float":
+                p[name] = rng.uniform(spec[1], spec[2])
+            elif kind == "log":
+                p[name] = math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2])))
+            else:
+                p[name] = rng.choice(spec[1])
+        out.append(p)
+    return out
+
+
+def random_search(folds: DataFrame, kind: str, space: dict, trials: int, k: int,
+                  resample_fn=None, label: str = "is_fraud", seed: int = 42) -> DataFrame:
+    """Mean F1 over k folds per sampled parameter map.
+
+    Re-balancing runs inside each training fold (``resample_fn``); it does not
+    depend on the trial, so each fold's training set is built and written to
+    the shared checkpoint folder once and reused by every trial.
+    """
+    spark = folds.sparkSession
+    fold_data = []
+    for i in range(k):
+        tr = folds.where(F.col("fold") != i).drop("fold")
+        if resample_fn is not None:
+            tr = resample_fn(tr)
+        fold_data.append((cut_lineage(tr), folds.where(F.col("fold") == i)))
+    rows = []
+    for t, params in enumerate(sample_params(space, trials, seed)):
+        f1s = []
+        for tr, va in fold_data:
+            model = fit(tr, kind, label, params=params)
+            f1s.append(M.classification_metrics(score(model, va, label=label)).first()["f1_score"])
+        rows.append((t, json_params(params), float(sum(f1s) / len(f1s))))
+    return spark.createDataFrame(rows, "trial int, params string, mean_f1 double")
+
+
+def json_params(p: dict) -> str:
+    import json
+    return json.dumps({k: (round(v, 6) if isinstance(v, float) else v) for k, v in sorted(p.items())})

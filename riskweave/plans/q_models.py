@@ -202,3 +202,23 @@ def isolation_scores(spark, sf):
     out = iso(feats, feats, "transaction_id")
     return out.select("transaction_id", F.round("iso_score", 6).alias("iso_score"),
                       F.round("anomaly_risk", 6).alias("anomaly_risk"))
+
+
+SEARCH_SPACE = {
+    "maxIter": ("int", 10, 40),
+    "maxDepth": ("int", 2, 6),
+    "stepSize": ("log", 0.01, 0.3),
+    "subsamplingRate": ("float", 0.6, 1.0),
+}
+
+
+@register("param_search")
+def param_search(spark, sf, trials: int = 3, k: int = 3):
+    """Random search over boosted-tree parameters, mean F1 over stratified
+    folds with SMOTE inside each training fold (M8); the best trial first."""
+    from ..operators import models as MD
+    from ..session import cut_lineage
+    f = cut_lineage(B.stratified_folds(_cut_split(spark, sf).where(F.col("is_train")), k=k)
+                    .drop("is_train"))
+    res = MD.random_search(f, "gbt", SEARCH_SPACE, trials, k, resample_fn=B.resample)
+    return res.orderBy(F.desc("mean_f1"), "trial")
