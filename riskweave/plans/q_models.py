@@ -222,3 +222,20 @@ def param_search(spark, sf, trials: int = 3, k: int = 3):
                     .drop("is_train"))
     res = MD.random_search(f, "gbt", SEARCH_SPACE, trials, k, resample_fn=B.resample)
     return res.orderBy(F.desc("mean_f1"), "trial")
+
+
+@register("gbt_contributions")
+def gbt_contributions(spark, sf):
+    """Exact per-row TreeSHAP contributions of the boosted-tree model on the test
+    split, in log-odds units; base + contributions = the model's log-odds (M14)."""
+    from ..operators import explain as X
+    from ..operators import models as MD
+    from ..session import cut_lineage
+    s = _cut_split(spark, sf)
+    train = cut_lineage(B.resample(s.where(F.col("is_train"))))
+    model = MD.fit(train, "gbt")
+    test = MD.prepare(s.where(~F.col("is_train")))
+    safe = [f.replace("-", "_") for f in C.FEATURES]
+    ex = X.explain(test, model.stages[-1], safe, C.FEATURES, "transaction_id")
+    return ex.select("transaction_id", F.round("base_value", 6).alias("base_value"),
+                     "contributions", F.round("raw_log_odds", 6).alias("raw_log_odds"))
