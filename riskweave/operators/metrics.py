@@ -105,7 +105,8 @@ def roc_curve(df: DataFrame, score: str = "probability", label: str = "is_fraud"
     sc = prefix_sums(score_counts(df, score, label), "score", ["pos", "neg"])
     tot = df.agg(F.struct(F.count_if(F.col(label) == 1).alias("P"),
                           F.count_if(F.col(label) != 1).alias("N"))).scalar()
-    P, N = tot.getField("P"), tot.getField("N")
+    sc = sc.select("*", tot.alias("__tot"))
+    P, N = F.col("__tot.P"), F.col("__tot.N")
     return sc.select(F.col("score").alias("threshold"),
                      F.round(safe_ratio(N - F.col("neg_before"), N), 6).alias("fpr"),
                      F.round(safe_ratio(P - F.col("pos_before"), P), 6).alias("tpr"))

@@ -54,7 +54,11 @@ def zscore_anomaly(df: DataFrame, train: DataFrame, amount: str = "amount") -> D
     """
     st = train.agg(F.struct(F.avg(amount).alias("m"),
                             F.stddev_pop(amount).alias("s")).alias("st")).scalar()
-    mean = st.getField("m")
-    std = F.when(F.coalesce(st.getField("s"), F.lit(0.0)) > 0, st.getField("s")).otherwise(F.lit(1.0))
-    return df.select("*", mean.alias("train_mean"), std.alias("train_std"),
-                     S.zscore_score(F.col(amount), mean, std).alias("anomaly_score"))
+    # Bind the subquery once; later expressions reference the columns.
+    out = df.select("*", st.alias("__st")).select(
+        *[F.col(f"`{c}`") for c in df.columns], F.col("__st.m").alias("train_mean"),
+        F.col("__st.s").alias("__s"))
+    std = F.when(F.coalesce(F.col("__s"), F.lit(0.0)) > 0, F.col("__s")).otherwise(F.lit(1.0))
+    out = out.withColumn("train_std", std).drop("__s")
+    return out.withColumn("anomaly_score",
+                          S.zscore_score(F.col(amount), F.col("train_mean"), F.col("train_std")))

@@ -97,6 +97,10 @@ def min_max_scale(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """(x - min) / (max - min); a constant column becomes 0.0."""
     out = out or col
     st = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
-    lo, hi = st.getField("lo"), st.getField("hi")
+    # Bind the subquery once; the scaling expression references the columns.
+    b = df.select("*", st.alias("__st")).select(
+        *[F.col(f"`{c}`") for c in df.columns], F.col("__st.lo").alias("__lo"),
+        F.col("__st.hi").alias("__hi"))
+    lo, hi = F.col("__lo"), F.col("__hi")
     scaled = F.when(hi - lo == 0, F.lit(0.0)).otherwise((F.col(col) - lo) / (hi - lo))
-    return df.withColumn(out, scaled)
+    return b.withColumn(out, scaled).drop("__lo", "__hi")

@@ -20,8 +20,9 @@ def headline_kpis(spark, sf):
     """Total, flagged and fraud rate from real counts."""
     flagged = alerts_df(spark, sf).agg(F.count(F.lit(1))).scalar()
     t = V.transactions(spark, sf).agg(F.count(F.lit(1)).alias("total"))
-    return t.select("total", flagged.alias("flagged"),
-                    F.round(flagged * 100.0 / F.col("total"), 2).alias("fraud_rate_pct"))
+    t = t.select("total", flagged.alias("flagged"))
+    return t.select("total", "flagged",
+                    F.round(F.col("flagged") * 100.0 / F.col("total"), 2).alias("fraud_rate_pct"))
 
 
 def _band(col, hi, mid, labels=("HIGH", "MEDIUM", "LOW")):
