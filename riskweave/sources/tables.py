@@ -107,6 +107,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return r.schema(schema).csv(path) if schema is not None else r.csv(path)
 
 
-def read_alert_log(spark: SparkSession, path: str) -> DataFrame:
-    """Alert log source (S8): JSON lines or one JSON array per file."""
-    return spark.read.schema(ALERT_SCHEMA).option("multiLine", True).json(path)
+def read_alert_log(spark: SparkSession, path: str, array_files: bool = False) -> DataFrame:
+    """Alert log source (S8): JSON lines (our sink), or one JSON array per file
+    (``array_files``, the reference's log format)."""
+    return spark.read.schema(ALERT_SCHEMA).option("multiLine", array_files).json(path)

@@ -56,3 +56,27 @@ def test_auc_against_brute_force(spark):
     pos, neg = s[y == 1], s[y == 0]
     want = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_velocity_hot_sender_is_split(spark):
+    """One sender holds a third of all rows: results equal the plain window and
+    no window partition holds more than ~2 buckets of that sender's rows."""
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(9000):
+        sender = 1 if i % 3 == 0 else 2 + i % 50
+        rows.append((f"T{i}", sender, base + dt.timedelta(seconds=37 * i)))
+    df = spark.createDataFrame(rows, "transaction_id string, sender long, ts timestamp_ntz")
+    got = windowed_count(df, ["sender"], "ts", 3600, "n", bucket_seconds=3600)
+    w = (Window.partitionBy("sender").orderBy(F.unix_micros(F.col("ts").cast("timestamp")))
+         .rangeBetween(-3600 * 1_000_000, 0))
+    want = df.withColumn("n", (F.count(F.lit(1)).over(w) - 1).cast("int"))
+    a = {r.transaction_id: r.n for r in got.collect()}
+    b = {r.transaction_id: r.n for r in want.collect()}
+    assert a == b
+    hot = df.where("sender = 1").count()
+    per_bucket = (df.where("sender = 1")
+                    .groupBy(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600))
+                    .count().agg(F.max("count")).first()[0])
+    assert 2 * per_bucket < hot / 10
