@@ -101,3 +101,16 @@ def test_late_rows_dropped_and_alert_log(spark, scratch):
     top = recent(back, 100).collect()
     assert len(top) == min(100, alerts.count())
     assert [r.timestamp for r in top] == sorted((r.timestamp for r in top), reverse=True)
+
+
+def test_stream_daily_ussd_matches_batch(spark, scratch):
+    tx, path = _events(spark, scratch)
+    q = (ST.stream_ussd_daily(ST.event_stream(spark, path)).writeStream.format("memory")
+         .queryName("ussd_daily").outputMode("update").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = spark.sql("SELECT sender, to_date(day) AS d, max(n) AS n, max(ussd_day_total) AS t "
+                    "FROM ussd_daily GROUP BY 1, 2").collect()
+    want = (tx.where(F.col("channel") == "USSD")
+              .groupBy("sender", F.to_date("ts").alias("d"))
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("t")).collect())
+    assert sorted((r.sender, r.d, r.n, r.t) for r in got) == sorted((r.sender, r.d, r.n, r.t) for r in want)
