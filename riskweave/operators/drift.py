@@ -20,10 +20,12 @@ def _long(df: DataFrame, features: list[str], side: str) -> DataFrame:
     return df.select(F.lit(side).alias("side"), F.inline(F.array(*pairs)))
 
 
-def psi(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
-        bins: int = C.PSI_BINS, eps: float = C.PSI_EPS) -> DataFrame:
-    """PSI per feature: equal-width bins over the joint range, last bin closed,
-    eps-smoothed shares; 0 when the feature is constant."""
+def bin_counts(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
+               bins: int = C.PSI_BINS) -> DataFrame:
+    """Per feature: joint min / max and per-bin counts for both sides.
+
+    Equal-width bins over the joint range, the last bin closed; a constant
+    feature puts everything in bin 0.  One row per feature."""
     features = features or [f for f in C.FEATURES if f in reference.columns and f in current.columns]
     long = _long(reference, features, "ref").unionByName(_long(current, features, "cur"))
     rng = long.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -38,7 +40,13 @@ def psi(reference: DataFrame, current: DataFrame, features: list[str] | None = N
     for i in range(bins):
         aggs += [F.count_if((F.col("side") == "ref") & (F.col("bin") == i)).alias(f"r{i}"),
                  F.count_if((F.col("side") == "cur") & (F.col("bin") == i)).alias(f"c{i}")]
-    g = j.groupBy("feature", "fidx").agg(*aggs)
+    return j.groupBy("feature", "fidx").agg(*aggs)
+
+
+def psi(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
+        bins: int = C.PSI_BINS, eps: float = C.PSI_EPS) -> DataFrame:
+    """PSI per feature: eps-smoothed bin shares, 0 when the feature is constant."""
+    g = bin_counts(reference, current, features, bins)
     total = None
     for i in range(bins):
         r = (F.col(f"r{i}") + eps) / (F.col("n_ref") + eps * bins)
@@ -50,6 +58,26 @@ def psi(reference: DataFrame, current: DataFrame, features: list[str] | None = N
                     (value > C.PSI_THRESHOLD).alias("drifted"))
 
 
+def chi2(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
+         bins: int = C.PSI_BINS) -> DataFrame:
+    """Pearson chi-square statistic of side x bin per feature, with its degrees
+    of freedom (empty bins skipped): the dataset-level drift test (A16)."""
+    g = bin_counts(reference, current, features, bins)
+    n = F.col("n_ref") + F.col("n_cur")
+    stat, dof = None, None
+    for i in range(bins):
+        col_tot = F.col(f"r{i}") + F.col(f"c{i}")
+        er = F.col("n_ref") * col_tot / n
+        ec = F.col("n_cur") * col_tot / n
+        term = F.when(col_tot > 0, (F.col(f"r{i}") - er) * (F.col(f"r{i}") - er) / er
+                      + (F.col(f"c{i}") - ec) * (F.col(f"c{i}") - ec) / ec).otherwise(F.lit(0.0))
+        used = F.when(col_tot > 0, 1).otherwise(0)
+        stat = term if stat is None else stat + term
+        dof = used if dof is None else dof + used
+    return g.select("feature", "fidx", F.round(stat, 6).alias("chi2"),
+                    F.greatest(dof - 1, F.lit(0)).alias("dof"))
+
+
 def drift_verdict(psi_df: DataFrame, n_features: int = len(C.FEATURES)) -> DataFrame:
     """Share of drifted features over all listed features; drift when >= 0.30."""
     drifted = F.filter(F.array_sort(F.collect_list(F.struct("fidx", "feature", "drifted"))),

@@ -160,3 +160,21 @@ def feature_table(money: DataFrame, card: DataFrame) -> DataFrame:
 def distinct_categories(df: DataFrame, col: str) -> DataFrame:
     """Sorted distinct values (U4)."""
     return df.select(col).distinct().orderBy(col)
+
+
+def column_kinds(df: DataFrame, label: str = "is_fraud") -> tuple[list[str], list[str]]:
+    """Numeric and categorical columns from the schema, label excluded."""
+    from pyspark.sql.types import NumericType
+    num = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name != label]
+    cat = [f.name for f in df.schema.fields
+           if not isinstance(f.dataType, NumericType) and f.name != label]
+    return num, cat
+
+
+def align_features(df: DataFrame, features=C.FEATURES, keep: list[str] = ()) -> DataFrame:
+    """Keep ``keep`` plus the feature columns; absent features become 0.0."""
+    have = set(df.columns)
+    cols = [F.col(f"`{k}`") for k in keep]
+    cols += [F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f) if f in have
+             else F.lit(0.0).alias(f) for f in features]
+    return df.select(*cols)

@@ -63,13 +63,28 @@ def windowed_count(df: DataFrame, keys: list[str], ts_col: str, seconds: int,
 def day_running_sum(df: DataFrame, keys: list[str], ts_col: str, value: str, out: str,
                     where: Column | None = None) -> DataFrame:
     """Running total of ``value`` per key and calendar day, up to and including
-    the row (ties on time included).  The day is part of the window key, so a
-    partition never holds more than one key-day."""
+    the row (rows with the same time included).
+
+    Two levels, so one key-day never lands in one task: a running sum inside
+    each (key, day, hour), plus the hour's offset taken from a table of at
+    most 24 rows per key-day (its window is tiny), joined back on the fine key.
+    """
     counted = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    w = (Window.partitionBy(*keys, F.to_date(F.col(ts_col)))
-         .orderBy(_micros(F.col(ts_col)))
-         .rangeBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(out, F.sum(F.when(counted, F.col(value)).otherwise(0.0)).over(w))
+    t = _micros(F.col(ts_col))
+    d = (df.withColumn("__day", F.to_date(F.col(ts_col)))
+           .withColumn("__hr", F.hour(F.col(ts_col).cast("timestamp_ntz")))
+           .withColumn("__t", t)
+           .withColumn("__v", F.when(counted, F.col(value)).otherwise(F.lit(0.0))))
+    inner_w = (Window.partitionBy(*keys, "__day", "__hr").orderBy("__t")
+               .rangeBetween(Window.unboundedPreceding, 0))
+    inner = d.withColumn("__in", F.sum("__v").over(inner_w))
+    hours = d.groupBy(*keys, "__day", "__hr").agg(F.sum("__v").alias("__h"))
+    off_w = Window.partitionBy(*keys, "__day").orderBy("__hr").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hours.select(*keys, "__day", "__hr",
+                           F.coalesce(F.sum("__h").over(off_w), F.lit(0.0)).alias("__off"))
+    res = inner.join(offsets, [*keys, "__day", "__hr"])
+    return res.withColumn(out, F.col("__off") + F.col("__in")).drop("__day", "__hr", "__t", "__v",
+                                                                     "__in", "__off")
 
 
 def history_as_of(df: DataFrame, key: str, ts_col: str, item: str, id_col: str,

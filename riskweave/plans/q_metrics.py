@@ -199,3 +199,29 @@ SELECT f1_score, drift_share, drift_detected, len(reasons) > 0 AS retrain,
 FROM r""")
 def retrain_decision(spark, sf):
     return D.retrain_decision(classification_metrics(spark, sf), drift_verdict(spark, sf))
+
+
+def _chi2_sql() -> str:
+    bins = C.PSI_BINS
+    base = _PSI.split("v AS (")[0].rstrip().rstrip(",")
+    stat, dof = [], []
+    for i in range(bins):
+        tot = f"(r{i} + c{i})"
+        er = f"(n_ref * {tot} / (n_ref + n_cur))"
+        ec = f"(n_cur * {tot} / (n_ref + n_cur))"
+        stat.append(f"(CASE WHEN {tot} > 0 THEN (r{i} - {er}) * (r{i} - {er}) / {er} "
+                    f"+ (c{i} - {ec}) * (c{i} - {ec}) / {ec} ELSE 0.0 END)")
+        dof.append(f"(CASE WHEN {tot} > 0 THEN 1 ELSE 0 END)")
+    s_expr = stat[0]
+    for t in stat[1:]:
+        s_expr = f"({s_expr} + {t})"
+    d_expr = " + ".join(dof)
+    return (base + f"\nSELECT feature, fidx, round(CAST({s_expr} AS DOUBLE), 6) AS chi2, "
+            f"CAST(greatest({d_expr} - 1, 0) AS INTEGER) AS dof FROM g")
+
+
+@register("drift_chi2", _chi2_sql())
+def drift_chi2(spark, sf):
+    s = scored(spark, sf)
+    split = F.lit(C.DRIFT_SPLIT_DAY).cast("timestamp_ntz")
+    return D.chi2(s.where(F.col("ts") < split), s.where(F.col("ts") >= split))

@@ -27,3 +27,14 @@ def test_bvn_strict_raises(spark):
     df = spark.createDataFrame([("12345",)], "b string")
     with pytest.raises(Exception):
         df.select(I.bvn_hash(F.col("b"), strict=True)).collect()
+
+
+def test_column_kinds_and_alignment(spark):
+    from riskweave import config as C
+    from riskweave.operators.quality import align_features, column_kinds
+    df = spark.createDataFrame([("t1", 0.5, 1, "WEB")], "transaction_id string, amount double, is_fraud int, channel string")
+    assert column_kinds(df) == (["amount"], ["transaction_id", "channel"])
+    a = align_features(df, keep=["transaction_id"])
+    assert a.columns == ["transaction_id", *C.FEATURES]
+    r = a.first()
+    assert r["amount"] == 0.5 and r["channel_TRANSFER"] == 0.0
