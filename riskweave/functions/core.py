@@ -55,3 +55,18 @@ def key_uniform(*parts: Column) -> Column:
     """
     text = F.concat_ws(":", *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") / 4294967296.0
+
+
+def rnd(c, d: int = 0) -> Column:
+    """Round half away from zero at ``d`` decimals, on the binary value:
+    round(x * 10^d) / 10^d.
+
+    ``F.round`` rounds the shortest decimal form of a double, so 0.39035
+    (stored as 0.390349999...) would go up; this form decides on the stored
+    value, the same way the oracle SQL engine does.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    if d == 0:
+        return F.round(c, 0)
+    m = float(10 ** d)
+    return F.round(c * m, 0) / m

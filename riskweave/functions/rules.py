@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .core import rnd
 
 
 def with_defaults(amount, channel, location, history, device_new, velocity, bvn_matched):
@@ -46,7 +47,7 @@ def triggered_rules(flags) -> Column:
 
 def rule_score(flags) -> Column:
     """Maximum weight over the fired rules (0 when none), rounded to 2 dp."""
-    return F.round(F.greatest(F.lit(0.0), *[F.when(f, F.lit(C.RULE_WEIGHT[n])).otherwise(0.0)
+    return rnd(F.greatest(F.lit(0.0), *[F.when(f, F.lit(C.RULE_WEIGHT[n])).otherwise(0.0)
                                             for n, f in flags]), 2)
 
 
@@ -73,7 +74,7 @@ def stream_flag(prediction: Column, probability: Column, rule_decision: Column,
     """Flag when the model says fraud or the rules block / ask for OTP, with reasons."""
     model_hit = (prediction == 1) | (probability >= 0.5)
     rule_hit = rule_decision.isin("BLOCKED", "PENDING_OTP")
-    pct = F.format_string("Model Probability: %.1f%%", F.round(probability * 100, 1))
+    pct = F.format_string("Model Probability: %.1f%%", rnd(probability * 100, 1))
     reasons = F.concat(
         F.when(model_hit, F.array(pct)).otherwise(F.array().cast("array<string>")),
         F.when(rule_hit, rules).otherwise(F.array().cast("array<string>")),

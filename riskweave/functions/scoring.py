@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from .core import lookup
+from .core import rnd
 
 
 def serve_amount(amount: Column) -> Column:
@@ -57,7 +58,7 @@ def logodds_contributions(feat) -> list[tuple[str, Column]]:
     out = []
     for name in C.FEATURES:
         if name == "amount":
-            out.append((name, F.round(g("amount") * C.LOGODDS_AMOUNT, 4)))
+            out.append((name, rnd(g("amount") * C.LOGODDS_AMOUNT, 4)))
         elif name in flag_rule:
             on, off = flag_rule[name]
             out.append((name, F.when(g(name).cast("int") == 1, F.lit(on)).otherwise(F.lit(off))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import rules as R
 from ..functions.scoring import pretty_feature
+from ..functions.core import rnd
 
 BRAND = "riskweave"
 
@@ -33,7 +34,7 @@ def build_alerts(scored: DataFrame) -> DataFrame:
     return scored.where(flag).select(
         alert_id(F.col("transaction_id")).alias("alert_id"),
         "transaction_id", "amount", "channel", "location",
-        F.round("probability", 4).alias("model_probability"),
+        rnd("probability", 4).alias("model_probability"),
         "rule_risk_score", "triggered_rules", reasons.alias("flagged_reasons"),
         lat.alias("scoring_latency_ms"),
         F.col("ts").alias("timestamp"),
@@ -88,9 +89,9 @@ def top_reasons(alerts: DataFrame, n: int = 3) -> DataFrame:
     v = F.col("e.value")
     return ex.select("alert_id", (F.col("pos") + 1).alias("rank"),
                      pretty_feature(F.col("e.feature")).alias("feature"),
-                     F.round(v, 4).alias("shap_value"),
+                     rnd(v, 4).alias("shap_value"),
                      F.when(v > 0, "INCREASES").otherwise("DECREASES").alias("direction"),
-                     F.format_string("%.2f%%", F.round(F.abs(v) * 100, 2)).alias("impact_pct"))
+                     F.format_string("%.2f%%", rnd(F.abs(v) * 100, 2)).alias("impact_pct"))
 
 
 def message_text(alerts: DataFrame) -> Column:
@@ -104,7 +105,7 @@ def message_text(alerts: DataFrame) -> Column:
     reasons = (F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
                 .when(F.size(rules3) > 0, F.array_join(rules3, "\n"))
                 .otherwise(F.lit("  N/A")))
-    conf = F.round(F.greatest(F.col("model_probability"), F.col("rule_risk_score")) * 100, 2)
+    conf = rnd(F.greatest(F.col("model_probability"), F.col("rule_risk_score")) * 100, 2)
     return F.concat(
         F.lit(f"[{BRAND}] FRAUD ALERT\nTx: "), F.col("transaction_id"),
         F.lit("\nAmount: NGN "), F.format_number(F.col("amount"), 0),
@@ -133,8 +134,8 @@ def long_contributions(df: DataFrame, key: str, col: str = "contributions") -> D
 def importance(long: DataFrame) -> DataFrame:
     """Mean |contribution| (A17) and signed mean (A18) per feature, ranked."""
     g = long.groupBy("feature").agg(
-        F.round(F.avg(F.abs("contribution")), 6).alias("mean_abs"),
-        F.round(F.avg("contribution"), 6).alias("mean_signed"))
+        rnd(F.avg(F.abs("contribution")), 6).alias("mean_abs"),
+        rnd(F.avg("contribution"), 6).alias("mean_signed"))
     return g.select("feature", "mean_abs", "mean_signed",
                     F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature")).alias("rank"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.core import rnd
 
 
 def _long(df: DataFrame, features: list[str], side: str) -> DataFrame:
@@ -54,7 +55,7 @@ def psi(reference: DataFrame, current: DataFrame, features: list[str] | None = N
         t = (c - r) * F.ln(c / r)
         total = t if total is None else total + t
     value = F.when(F.col("hi") == F.col("lo"), F.lit(0.0)).otherwise(total)
-    return g.select("feature", "fidx", F.round(value, 6).alias("psi"),
+    return g.select("feature", "fidx", rnd(value, 6).alias("psi"),
                     (value > C.PSI_THRESHOLD).alias("drifted"))
 
 
@@ -74,7 +75,7 @@ def chi2(reference: DataFrame, current: DataFrame, features: list[str] | None =
         used = F.when(col_tot > 0, 1).otherwise(0)
         stat = term if stat is None else stat + term
         dof = used if dof is None else dof + used
-    return g.select("feature", "fidx", F.round(stat, 6).alias("chi2"),
+    return g.select("feature", "fidx", rnd(stat, 6).alias("chi2"),
                     F.greatest(dof - 1, F.lit(0)).alias("dof"))
 
 
@@ -84,7 +85,7 @@ def drift_verdict(psi_df: DataFrame, n_features: int = len(C.FEATURES)) -> DataF
                        lambda s: s["drifted"])
     g = psi_df.agg(F.count_if("drifted").alias("n_drifted"),
                    F.transform(drifted, lambda s: s["feature"]).alias("drifted_features"))
-    share = F.round(F.col("n_drifted") / float(max(n_features, 1)), 6)
+    share = rnd(F.col("n_drifted") / float(max(n_features, 1)), 6)
     return g.select("n_drifted", share.alias("drift_share"),
                     (share >= C.DRIFT_SHARE_THRESHOLD).alias("drift_detected"), "drifted_features")
 
@@ -96,7 +97,7 @@ def retrain_decision(metrics: DataFrame, verdict: DataFrame, force: bool = False
     names = F.concat(F.lit("["), F.array_join(
         F.transform("drifted_features", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
     drift_reason = F.when(F.col("drift_detected"), F.concat(
-        F.lit("Data drift detected: "), F.format_string("%.1f%%", F.round(F.col("drift_share") * 100, 1)),
+        F.lit("Data drift detected: "), F.format_string("%.1f%%", rnd(F.col("drift_share") * 100, 1)),
         F.lit(f" of features drifted (threshold={C.DRIFT_SHARE_THRESHOLD:.0%}). Drifted: "), names))
     forced = F.lit("Manual force retrain requested by operator") if force else F.lit(None).cast("string")
     # Both inputs are one-row aggregates; the F1 value enters as a scalar subquery.

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import safe_ratio
+from ..functions.core import rnd
 
 
 def confusion(df: DataFrame, label: str = "is_fraud", pred: str = "prediction") -> DataFrame:
@@ -30,8 +31,8 @@ def prf(tp: Column, fp: Column, tn: Column, fn: Column, digits: int = 6) -> list
     recall = safe_ratio(tp, tp + fn)
     f1 = safe_ratio(2 * tp, 2 * tp + fp + fn)
     acc = safe_ratio(tp + tn, tp + fp + tn + fn)
-    return [F.round(acc, digits).alias("accuracy"), F.round(precision, digits).alias("precision"),
-            F.round(recall, digits).alias("recall"), F.round(f1, digits).alias("f1_score")]
+    return [rnd(acc, digits).alias("accuracy"), rnd(precision, digits).alias("precision"),
+            rnd(recall, digits).alias("recall"), rnd(f1, digits).alias("f1_score")]
 
 
 def classification_metrics(df: DataFrame, label: str = "is_fraud",
@@ -49,9 +50,9 @@ def class_report(df: DataFrame, label: str = "is_fraud", pred: str = "prediction
     rows = []
     for cls, (a, b, d) in ((1, (tp, fp, fn)), (0, (tn, fn, fp))):
         rows.append(F.struct(F.lit(cls).alias("class"),
-                             F.round(safe_ratio(a, a + b), 6).alias("precision"),
-                             F.round(safe_ratio(a, a + d), 6).alias("recall"),
-                             F.round(safe_ratio(2 * a, 2 * a + b + d), 6).alias("f1_score"),
+                             rnd(safe_ratio(a, a + b), 6).alias("precision"),
+                             rnd(safe_ratio(a, a + d), 6).alias("recall"),
+                             rnd(safe_ratio(2 * a, 2 * a + b + d), 6).alias("f1_score"),
                              (a + d).alias("support")))
     return c.select(F.inline(F.array(*rows)))
 
@@ -96,7 +97,7 @@ def auc(df: DataFrame, score: str = "probability", label: str = "is_fraud") -> D
     sc = prefix_sums(score_counts(df, score, label), "score", ["pos", "neg"])
     num = F.sum(F.col("pos") * (2 * F.col("neg_before") + F.col("neg")))
     tot = sc.agg(num.alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return tot.select(F.round(safe_ratio(F.col("num"), 2 * F.col("P") * F.col("N"), 0.0), 6)
+    return tot.select(rnd(safe_ratio(F.col("num"), 2 * F.col("P") * F.col("N"), 0.0), 6)
                       .alias("auc_roc"), F.col("P").alias("positives"), F.col("N").alias("negatives"))
 
 
@@ -108,8 +109,8 @@ def roc_curve(df: DataFrame, score: str = "probability", label: str = "is_fraud"
     sc = sc.select("*", tot.alias("__tot"))
     P, N = F.col("__tot.P"), F.col("__tot.N")
     return sc.select(F.col("score").alias("threshold"),
-                     F.round(safe_ratio(N - F.col("neg_before"), N), 6).alias("fpr"),
-                     F.round(safe_ratio(P - F.col("pos_before"), P), 6).alias("tpr"))
+                     rnd(safe_ratio(N - F.col("neg_before"), N), 6).alias("fpr"),
+                     rnd(safe_ratio(P - F.col("pos_before"), P), 6).alias("tpr"))
 
 
 def threshold_sweep(df: DataFrame, thresholds: list[float], score: str = "probability",

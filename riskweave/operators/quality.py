@@ -10,6 +10,7 @@ from .. import config as C
 from ..functions.core import lookup
 from ..functions.scoring import one_hot
 from .stats import exact_median, min_max_scale, mode_value
+from ..functions.core import rnd
 
 
 def align_money(raw: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def fraud_summary(df: DataFrame) -> DataFrame:
         F.count_if(F.col("is_fraud") == 1).alias("fraudulent"))
     total = F.col("legitimate") + F.col("fraudulent")
     return g.select("source_dataset", "legitimate", "fraudulent", total.alias("total"),
-                    F.round(F.col("fraudulent") * 100.0 / total, 2).alias("fraud_rate_pct"))
+                    rnd(F.col("fraudulent") * 100.0 / total, 2).alias("fraud_rate_pct"))
 
 
 def class_counts(df: DataFrame, label: str = "is_fraud") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from .stats import exact_quantile
+from ..functions.core import rnd
 
 
 def alert_kpis(reg: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def alert_kpis(reg: DataFrame) -> DataFrame:
          .alias("total_amount_flagged"),
         F.count_if(F.col("status") == "BLOCKED").alias("blocked"),
         F.count_if(F.col("status") == "PENDING_OTP").alias("pending"),
-        F.round(F.coalesce(F.avg("risk_score"), F.lit(0.0)), 6).alias("avg_risk"),
+        rnd(F.coalesce(F.avg("risk_score"), F.lit(0.0)), 6).alias("avg_risk"),
         F.count_if(F.col("risk_score") >= C.HIGH_RISK_AT).alias("high_risk"))
 
 
@@ -32,10 +33,10 @@ def fraud_patterns(alerts: DataFrame) -> DataFrame:
     """Incidents, share of all incidents and average amount per triggered rule."""
     ex = alerts.select(F.explode("triggered_rules").alias("pattern"), "amount")
     g = ex.groupBy("pattern").agg(F.count(F.lit(1)).alias("incidents"),
-                                  F.round(F.avg("amount"), 2).alias("avg_amount"))
+                                  rnd(F.avg("amount"), 2).alias("avg_amount"))
     # Window over the small per-pattern aggregate only (six rules at most).
     return g.select("pattern", "incidents",
-                    F.round(F.col("incidents") * 100.0 / F.sum("incidents").over(Window.partitionBy()), 2)
+                    rnd(F.col("incidents") * 100.0 / F.sum("incidents").over(Window.partitionBy()), 2)
                     .alias("pct_of_total"), "avg_amount")
 
 
@@ -77,8 +78,8 @@ def latency_stats(df: DataFrame, col: str = "scoring_latency_ms",
     p95 = exact_quantile(df, col, 0.95)
     agg = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean_ms"), F.max(col).alias("max_ms"))
     p = F.lit(p95).cast("double")
-    return agg.select("n", F.round("mean_ms", 6).alias("mean_ms"), F.round("max_ms", 6).alias("max_ms"),
-                      F.round(p, 6).alias("p95_ms"),
+    return agg.select("n", rnd("mean_ms", 6).alias("mean_ms"), rnd("max_ms", 6).alias("max_ms"),
+                      rnd(p, 6).alias("p95_ms"),
                       ((F.col("mean_ms") < target) & (p < target)).alias("meets_target"))
 
 
@@ -89,5 +90,5 @@ def recent(df: DataFrame, n: int = 100, ts: str = "timestamp", key: str = "alert
 
 def with_share(g: DataFrame, count_col: str, out: str = "pct") -> DataFrame:
     """Percent-of-total over a small aggregate."""
-    return g.withColumn(out, F.round(F.col(count_col) * 100.0
+    return g.withColumn(out, rnd(F.col(count_col) * 100.0
                                      / F.sum(count_col).over(Window.partitionBy()), 2))

@@ -14,6 +14,7 @@ from ..sources.dims import geo
 from . import sqlfrag as Q
 from .q_rules import VEL_T, _RULED
 from .registry import register
+from ..functions.core import rnd
 
 
 # --------------------------------------------------------------------------
@@ -194,7 +195,7 @@ def importance(spark, sf):
     m = F.col("contributions")
     aggs = []
     for i, n in enumerate(C.FEATURES):
-        aggs += [F.round(F.avg(F.abs(m[n])), 6).alias(f"a{i}"), F.round(F.avg(m[n]), 6).alias(f"s{i}")]
+        aggs += [rnd(F.avg(F.abs(m[n])), 6).alias(f"a{i}"), rnd(F.avg(m[n]), 6).alias(f"s{i}")]
     one = s.agg(*aggs)
     long = one.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("feature"), F.col(f"a{i}").alias("mean_abs"), F.col(f"s{i}").alias("mean_signed"))

@@ -13,6 +13,7 @@ from ..sources import views as V
 from . import sqlfrag as Q
 from .q_rules import _FEAT_SQL_COLS, _logodds_sql
 from .registry import register
+from ..functions.core import rnd
 
 THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 20)]
 
@@ -100,8 +101,8 @@ SELECT round(1.0 / (1.0 + exp(-score)), 6) AS threshold, round(score, 6) AS thre
 FROM ({_SCORE_COUNTS}) sc, (SELECT sum(pos) AS P, sum(neg) AS N FROM ({_SCORE_COUNTS}) x) tot""")
 def roc_curve(spark, sf):
     r = M.roc_curve(scored(spark, sf), score="log_odds")
-    return r.select(F.round(1.0 / (1.0 + F.exp(-F.col("threshold"))), 6).alias("threshold"),
-                    F.round("threshold", 6).alias("threshold_log_odds"), "fpr", "tpr")
+    return r.select(rnd(1.0 / (1.0 + F.exp(-F.col("threshold"))), 6).alias("threshold"),
+                    rnd("threshold", 6).alias("threshold_log_odds"), "fpr", "tpr")
 
 
 _T_VALUES = "(VALUES " + ", ".join(f"({t})" for t in THRESHOLDS) + ") AS th(t)"

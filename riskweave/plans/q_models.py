@@ -11,6 +11,7 @@ from ..sources import views as V
 from . import sqlfrag as Q
 from .q_quality import _MIN_MAX
 from .registry import register
+from ..functions.core import rnd
 
 FEATURES_SQL = f"SELECT * EXCLUDE (lo, hi) FROM ({_MIN_MAX}) x"
 _U_SPLIT = Q.key_uniform_sql("transaction_id", "'split'")
@@ -141,7 +142,7 @@ def _scores(spark, sf, kind: str, params: dict | None = None):
 
 
 def _rounded(df):
-    return df.select("transaction_id", "is_fraud", F.round("probability", 6).alias("probability"),
+    return df.select("transaction_id", "is_fraud", rnd("probability", 6).alias("probability"),
                      "prediction")
 
 
@@ -189,7 +190,7 @@ def cv_f1(spark, sf, k: int = 5):
         m = MT.classification_metrics(MD.score(model, f.where(F.col("fold") == i)))
         r = m.select(F.lit(i).alias("fold"), "f1_score")
         rows = r if rows is None else rows.unionByName(r)
-    return rows.agg(F.round(F.avg("f1_score"), 6).alias("mean_f1"), F.count(F.lit(1)).alias("folds"))
+    return rows.agg(rnd(F.avg("f1_score"), 6).alias("mean_f1"), F.count(F.lit(1)).alias("folds"))
 
 
 @register("isolation_scores")
@@ -200,8 +201,8 @@ def isolation_scores(spark, sf):
     feats = tx.select("transaction_id", *S.anomaly_features(
         F.col("amount"), F.col("ts"), F.col("channel"), F.col("location"), F.col("tx_count_last_hour")))
     out = iso(feats, feats, "transaction_id")
-    return out.select("transaction_id", F.round("iso_score", 6).alias("iso_score"),
-                      F.round("anomaly_risk", 6).alias("anomaly_risk"))
+    return out.select("transaction_id", rnd("iso_score", 6).alias("iso_score"),
+                      rnd("anomaly_risk", 6).alias("anomaly_risk"))
 
 
 SEARCH_SPACE = {
@@ -237,5 +238,5 @@ def gbt_contributions(spark, sf):
     test = MD.prepare(s.where(~F.col("is_train")))
     safe = [f.replace("-", "_") for f in C.FEATURES]
     ex = X.explain(test, model.stages[-1], safe, C.FEATURES, "transaction_id")
-    return ex.select("transaction_id", F.round("base_value", 6).alias("base_value"),
-                     "contributions", F.round("raw_log_odds", 6).alias("raw_log_odds"))
+    return ex.select("transaction_id", rnd("base_value", 6).alias("base_value"),
+                     "contributions", rnd("raw_log_odds", 6).alias("raw_log_odds"))

@@ -11,6 +11,7 @@ from ..sources import views as V
 from . import sqlfrag as Q
 from .q_alerts import ALERTS_SQL, REGISTRY_SQL, SCORED_SQL, alerts_df, registry_df, scored_tx
 from .registry import register
+from ..functions.core import rnd
 
 
 @register("headline_kpis", f"""
@@ -22,7 +23,7 @@ def headline_kpis(spark, sf):
     t = V.transactions(spark, sf).agg(F.count(F.lit(1)).alias("total"))
     t = t.select("total", flagged.alias("flagged"))
     return t.select("total", "flagged",
-                    F.round(F.col("flagged") * 100.0 / F.col("total"), 2).alias("fraud_rate_pct"))
+                    rnd(F.col("flagged") * 100.0 / F.col("total"), 2).alias("fraud_rate_pct"))
 
 
 def _band(col, hi, mid, labels=("HIGH", "MEDIUM", "LOW")):

@@ -14,6 +14,7 @@ from ..operators.velocity import windowed_count, history_as_of
 from ..sources import views as V
 from . import sqlfrag as Q
 from .registry import register
+from ..functions.core import rnd
 
 # The test tables are sparse (about 150 senders over 30 days), so the
 # registered velocity rule uses a threshold of 2 prior transactions in the
@@ -54,7 +55,7 @@ def decision_distribution(spark, sf):
     g = ruled(spark, sf).groupBy("rule_decision").agg(F.count(F.lit(1)).alias("n"))
     # The window runs over the (at most three-row) aggregate only.
     return g.select("rule_decision", "n",
-                    F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 2).alias("pct"))
+                    rnd(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 2).alias("pct"))
 
 
 _ZSTATS = """(SELECT avg(amount) AS m,
@@ -75,8 +76,8 @@ FROM events_tx t, {_ZSTATS} st""")
 def zscore_anomaly(spark, sf):
     tx = V.transactions(spark, sf)
     z = risk.zscore_anomaly(tx.select("transaction_id", "amount"), tx)
-    return z.select("transaction_id", "amount", F.round("train_mean", 6).alias("train_mean"),
-                    F.round("train_std", 6).alias("train_std"), "anomaly_score")
+    return z.select("transaction_id", "amount", rnd("train_mean", 6).alias("train_mean"),
+                    rnd("train_std", 6).alias("train_std"), "anomaly_score")
 
 
 @register("combined_decision", f"""
@@ -147,8 +148,8 @@ SELECT transaction_id, round(log_odds, 6) AS log_odds, round(probability, 6) AS
 FROM ({_LOGODDS}) s""")
 def logodds_score(spark, sf):
     s = risk.logodds_from_features(event_features(spark, sf), with_map=False)
-    return s.select("transaction_id", F.round("log_odds", 6).alias("log_odds"),
-                    F.round("probability", 6).alias("probability"), "prediction")
+    return s.select("transaction_id", rnd("log_odds", 6).alias("log_odds"),
+                    rnd("probability", 6).alias("probability"), "prediction")
 
 
 @register("stream_flag_reasons", f"""
@@ -169,7 +170,7 @@ def stream_flag_reasons(spark, sf):
     s = risk.logodds_from_features(fdf, with_map=False)
     flag, reasons = R.stream_flag(F.col("prediction"), F.col("probability"),
                                   F.col("rule_decision"), F.col("triggered_rules"))
-    return s.select("transaction_id", F.round("probability", 4).alias("fraud_probability"),
+    return s.select("transaction_id", rnd("probability", 4).alias("fraud_probability"),
                     flag.alias("is_anomaly"), reasons.alias("flagged_reasons"))
 
 
