@@ -7,8 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .core import lookup
-from .core import rnd
+from .core import lookup, rnd
 
 
 def serve_amount(amount: Column) -> Column:

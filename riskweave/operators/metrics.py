@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import safe_ratio
-from ..functions.core import rnd
+from ..functions.core import rnd, safe_ratio
 
 
 def confusion(df: DataFrame, label: str = "is_fraud", pred: str = "prediction") -> DataFrame:

@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.core import lookup
+from ..functions.core import lookup, rnd
 from ..functions.scoring import one_hot
 from .stats import exact_median, min_max_scale, mode_value
-from ..functions.core import rnd
 
 
 def align_money(raw: DataFrame) -> DataFrame:

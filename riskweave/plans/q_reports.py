@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.core import key_uniform
+from ..functions.core import key_uniform, rnd
 from ..operators import reports as RP
 from ..sources import views as V
 from . import sqlfrag as Q
 from .q_alerts import ALERTS_SQL, REGISTRY_SQL, SCORED_SQL, alerts_df, registry_df, scored_tx
 from .registry import register
-from ..functions.core import rnd
 
 
 @register("headline_kpis", f"""
