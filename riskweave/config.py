@@ -8,7 +8,7 @@ fraud domain) are grouped under ``PROJECTION CHOICES``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must match the reference behaviour)
@@ -226,8 +226,6 @@ class Tunables:
     quantile_buckets: int = 1024
     # Hour buckets used to bound velocity-window partitions.
     velocity_bucket_seconds: int = 3600
-    # Score rounding for AUC pre-aggregation (None = exact scores).
-    extra: dict = field(default_factory=dict)
 
 
 TUNABLES = Tunables()

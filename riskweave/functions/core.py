@@ -26,26 +26,6 @@ def to_ts(c: Column) -> Column:
                       F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz"))
 
 
-def hash_uniform(*cols: Column, seed: int = 42) -> Column:
-    """Deterministic uniform in [0, 1) from a row key.
-
-    Unlike ``rand(seed)`` it does not depend on partitioning, so re-runs and
-    retried tasks give identical draws.
-    """
-    h = F.xxhash64(F.lit(seed), *cols)
-    return F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52)
-
-
-def scalar_struct(agg_df) -> Column:
-    """One-row, one-struct-column aggregate as a lazily planned scalar subquery.
-
-    Spark runs the aggregate once (partial per partition, merged once) and
-    feeds the value into the outer plan as a constant: no join, no broadcast
-    of anything that grows with the data.
-    """
-    return agg_df.scalar()
-
-
 def key_uniform(*parts: Column) -> Column:
     """Uniform in [0, 1) from the first 32 bits of SHA-256 over ``parts``.
 
