@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import config as C
 from ..functions import scoring as S
+from ..functions.core import to_ts
 from ..operators import alerts as A
 from ..operators import risk
 from ..sources.tables import EVENT_SCHEMA
@@ -52,8 +53,17 @@ def to_kafka_value(df: DataFrame, key: str = "transaction_id") -> DataFrame:
 
 def score_events(events: DataFrame, velocity_threshold: int = C.MAX_TX_PER_HOUR,
                  watermark: str | None = "1 hour", dedup: bool = True) -> DataFrame:
-    """Stateless scoring (G2) plus optional bounded de-duplication by id."""
-    ev = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    """Stateless scoring (G2) plus optional bounded de-duplication by id.
+
+    ISO-8601 text timestamps are parsed; an unparsable one stays NULL, never
+    fires the night rule, and the row is tagged ``BAD_TIMESTAMP``."""
+    # Missing event fields become NULL, so the rule defaults apply to them.
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields
+               if f.name not in events.columns]
+    ev = events.select("*", *missing)
+    ev = ev.withColumn("ts_status", F.when(to_ts(F.col("ts")).isNull(), F.lit("BAD_TIMESTAMP"))
+                                         .otherwise(F.lit("OK")))
+    ev = ev.withColumn("ts", to_ts(F.col("ts")).cast("timestamp"))
     if watermark:
         ev = ev.withWatermark("ts", watermark)
         if dedup:

@@ -114,3 +114,12 @@ def test_stream_daily_ussd_matches_batch(spark, scratch):
               .groupBy("sender", F.to_date("ts").alias("d"))
               .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("t")).collect())
     assert sorted((r.sender, r.d, r.n, r.t) for r in got) == sorted((r.sender, r.d, r.n, r.t) for r in want)
+
+
+def test_text_timestamps(spark):
+    rows = [("a", "2024-01-10T23:30:00", 600000.0), ("b", "not a time", 600000.0)]
+    df = spark.createDataFrame(rows, "transaction_id string, ts string, amount double")
+    out = ST.score_events(df, watermark=None).select("transaction_id", "ts_status", "triggered_rules")
+    got = {r.transaction_id: (r.ts_status, list(r.triggered_rules)) for r in out.collect()}
+    assert got["a"] == ("OK", ["NIGHT_WINDOW_LARGE_TRANSFER"])
+    assert got["b"] == ("BAD_TIMESTAMP", [])
