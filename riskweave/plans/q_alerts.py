@@ -163,9 +163,14 @@ def top_reasons(spark, sf):
     return A.top_reasons(alerts_df(spark, sf), 3)
 
 
-_LINES = ("array_to_string(list_transform(list_slice(entries, 1, 3), lambda e, i: "
-          f"printf('  %d. %s (%s%.4f)', i, {_PRETTY.format(x='e.feature')}, "
-          "CASE WHEN e.value > 0 THEN '+' ELSE '-' END, abs(e.value))), chr(10))")
+def _line_sql(i: int) -> str:
+    e = f"entries[{i}]"
+    return (f"printf('  %d. %s (%s%.4f)', {i}, {_PRETTY.format(x=e + '.feature')}, "
+            f"CASE WHEN {e}.value > 0 THEN '+' ELSE '-' END, abs({e}.value))")
+
+
+# Every row carries all 13 contributions, so the top three always exist.
+_LINES = " || chr(10) || ".join(_line_sql(i) for i in (1, 2, 3))
 
 
 @register("notification_outbox", f"""

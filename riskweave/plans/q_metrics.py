@@ -190,8 +190,7 @@ r AS (SELECT m.f1_score, v.drift_share, v.drift_detected,
                CASE WHEN v.drift_detected
                     THEN ['Data drift detected: ' || printf('%.1f%%', round(v.drift_share * 100, 1))
                           || ' of features drifted (threshold={C.DRIFT_SHARE_THRESHOLD:.0%}). Drifted: ['
-                          || array_to_string(list_transform(v.drifted_features, lambda x: '''' || x || ''''), ', ')
-                          || ']']
+                          || '''' || array_to_string(v.drifted_features, ''', ''') || '''' || ']']
                     ELSE []::VARCHAR[] END) AS reasons
       FROM m, v)
 SELECT f1_score, drift_share, drift_detected, len(reasons) > 0 AS retrain,

@@ -80,3 +80,19 @@ def test_velocity_hot_sender_is_split(spark):
                     .groupBy(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600))
                     .count().agg(F.max("count")).first()[0])
     assert 2 * per_bucket < hot / 10
+
+
+def test_retrain_reasons_text(spark):
+    m = spark.createDataFrame([(0.1234,)], "f1_score double")
+    v = spark.createDataFrame([(0.384615, True, ["amount", "channel_DEBIT"])],
+                              "drift_share double, drift_detected boolean, drifted_features array<string>")
+    r = D.retrain_decision(m, v).first()
+    assert r.retrain is True
+    assert r.reason == ("F1-score (0.1234) below threshold (0.85) | Data drift detected: 38.5% of "
+                        "features drifted (threshold=30%). Drifted: ['amount', 'channel_DEBIT']")
+    ok = D.retrain_decision(spark.createDataFrame([(0.9,)], "f1_score double"),
+                            v.withColumn("drift_detected", F.lit(False))).first()
+    assert ok.retrain is False and ok.reason == "No drift or performance degradation detected"
+    forced = D.retrain_decision(spark.createDataFrame([(0.9,)], "f1_score double"),
+                                v.withColumn("drift_detected", F.lit(False)), force=True).first()
+    assert forced.retrain is True and forced.reason == "Manual force retrain requested by operator"
