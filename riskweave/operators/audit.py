@@ -122,3 +122,18 @@ def backups_to_keep(spark: SparkSession, root: str, keep: int) -> DataFrame:
     w = Window.orderBy(F.desc("timestamp"), F.desc("id"))
     return ev.select("backup_path", "timestamp",
                      (F.row_number().over(w) <= keep).alias("keep"))
+
+
+def prune_backups(spark: SparkSession, root: str, keep: int) -> list[str]:
+    """Delete model backups beyond the newest ``keep`` (S16) through the Hadoop
+    file system of each path (works for HDFS / object stores alike)."""
+    old = [r.backup_path for r in backups_to_keep(spark, root, keep).where(~F.col("keep")).collect()]
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = []
+    for p in old:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path) and fs.delete(path, True):
+            deleted.append(p)
+    return deleted

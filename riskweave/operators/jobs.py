@@ -6,6 +6,7 @@ scheduler; every run leaves an audit row, also when it fails.
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 import traceback
 
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from .. import config as C
 from . import audit, balance, drift, metrics, models
 
+# Weekly cadence of the external scheduler, recorded as the next run.
+CHECK_INTERVAL_DAYS = 7
+
 
 def retrain(data: DataFrame, model_root: str, audit_root: str, reason: str,
             check_id: str | None = None, metrics_before: dict | None = None,
@@ -61,6 +65,7 @@ def drift_check(scored_current: DataFrame, reference: DataFrame, current: DataFr
     current data; ``reference`` / ``current`` hold the feature columns.
     """
     spark = scored_current.sparkSession
+    audit.append(spark, audit_root, "scheduler_log", {"event": "CHECK_STARTED", "message": "drift check"})
     m = metrics.classification_metrics(scored_current)
     a = metrics.auc(scored_current)
     perf = m.first().asDict()
@@ -83,4 +88,8 @@ def drift_check(scored_current: DataFrame, reference: DataFrame, current: DataFr
         summary["retrain"] = retrain(training_data, model_root, audit_root, decision["reason"],
                                      check_id, {k: perf[k] for k in ("f1_score", "auc_roc")},
                                      params=retrain_params)
+        audit.prune_backups(spark, audit_root, C.MAX_BACKUPS)
+    next_run = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) + dt.timedelta(days=CHECK_INTERVAL_DAYS)
+    audit.append(spark, audit_root, "scheduler_log",
+                 {"event": "CHECK_DONE", "message": decision["reason"], "next_run": next_run})
     return summary

@@ -45,6 +45,8 @@ def test_drift_check_and_retrain(spark, scratch):
     assert os.path.exists(rt["model_path"])
     rows = audit.read(spark, os.path.join(scratch, "audit"), "retrain_events").collect()
     assert len(rows) == 1 and rows[0].check_id == summary["check_id"]
+    log = audit.read(spark, os.path.join(scratch, "audit"), "scheduler_log").collect()
+    assert sorted(r.event for r in log) == ["CHECK_DONE", "CHECK_STARTED"]
 
 
 def test_retrain_failure_is_audited(spark, scratch):
@@ -76,3 +78,17 @@ def test_seed_and_sinks(spark, scratch):
     p = os.path.join(scratch, "csv")
     write_csv(a, p)
     assert read_csv(spark, first_existing("/nonexistent", p), a.schema).first().x == 1
+
+
+def test_prune_backups(spark, scratch):
+    import time
+    paths = []
+    for i in range(3):
+        p = os.path.join(scratch, "models", f"b{i}")
+        os.makedirs(p)
+        paths.append(p)
+        audit.append(spark, scratch, "retrain_events", {"backup_path": p, "success": True})
+        time.sleep(0.01)
+    deleted = audit.prune_backups(spark, scratch, keep=1)
+    assert sorted(deleted) == sorted(paths[:2])
+    assert os.path.exists(paths[2]) and not os.path.exists(paths[0])
