@@ -178,3 +178,22 @@ def align_features(df: DataFrame, features=C.FEATURES, keep: list[str] = ()) ->
     cols += [F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f) if f in have
              else F.lit(0.0).alias(f) for f in features]
     return df.select(*cols)
+
+
+def cast_text(df: DataFrame, schema) -> DataFrame:
+    """Per-column ``try_cast`` of an all-string scan (S2) to ``schema``; a value
+    that is present but does not parse is recorded in ``type_errors``."""
+    typed, errors = [], []
+    for f in schema.fields:
+        raw = F.col(f"`{f.name}`")
+        cast = raw.try_cast(f.dataType)
+        typed.append(cast.alias(f.name))
+        errors.append(F.when(raw.isNotNull() & cast.isNull(), F.lit(f"{f.name}_type")))
+    return df.select(*typed, F.array_compact(F.array(*errors)).alias("type_errors"))
+
+
+def validate_text(df: DataFrame, schema, checks) -> DataFrame:
+    """Typed rows with all violation codes: parse errors first, then the checks."""
+    t = cast_text(df, schema)
+    return t.withColumn("violations", F.concat(F.col("type_errors"), violations(checks))) \
+            .drop("type_errors")
