@@ -4,7 +4,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from riskweave import config as C
 from riskweave.operators import audit, balance, jobs
 from riskweave.sources.sinks import first_existing, seed_if_empty, write_csv
 from riskweave.sources.tables import read_csv

@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from riskweave.operators import quality as QL
 from riskweave.sources.tables import MONEY_SCHEMA, read_csv
