@@ -8,9 +8,9 @@ Two building blocks keep every step shuffle-only and skew-safe:
   array per group), numbered inside (group, bucket), and shifted by the
   bucket offsets taken from a (groups x buckets) count table.
 * SMOTE neighbours inside a one-hot cell differ only in ``amount``, so the k
-  nearest are among the k rank positions on either side: an equi-join on
-  (cell, rank +- d) instead of all pairs.  Rows of tiny cells (<= k rows)
-  also look across cells, with a salted two-phase top-k.
+  nearest are held by the k distinct points on either side in rank order:
+  an equi-join on (cell, point rank +- d) instead of all pairs.  Rows of
+  tiny cells (<= k rows) are probed into the other cells' rankings.
 """
 
 from __future__ import annotations
@@ -80,30 +80,81 @@ def ranked_minority(minority: DataFrame, key: str = "transaction_id",
     return rank_within(m, ["cell"], "amount", key, "rk")
 
 
+def _points(r: DataFrame, k: int, key: str, salt: int = 64) -> DataFrame:
+    """Distinct (cell, amount) points with their k smallest row keys, ranked.
+
+    Identical rows are never each other's neighbours, so the search runs over
+    distinct points.  A point repeated a billion times keeps only k keys: a
+    salted partial top-k, then the final top-k over (salt x k) rows."""
+    s1 = r.select("cell", "amount", F.col(key).alias("__k"),
+                  F.pmod(F.xxhash64(key), F.lit(salt)).alias("__s"))
+    w1 = Window.partitionBy("cell", "amount", "__s").orderBy("__k")
+    p1 = s1.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= k)
+    w2 = Window.partitionBy("cell", "amount").orderBy("__k")
+    p2 = p1.withColumn("__r", F.row_number().over(w2)).where(F.col("__r") <= k)
+    pts = p2.groupBy("cell", "amount").agg(F.sort_array(F.collect_list("__k")).alias("__keys"))
+    return rank_within(pts, ["cell"], "amount", "amount", "__prk")
+
+
+def _cross_cell_candidates(r: DataFrame, pts: DataFrame, k: int, key: str) -> DataFrame | None:
+    """Candidates in other cells for rows of cells with at most k rows.
+
+    Each such row is inserted as a probe into every other cell (the cell list
+    is bounded by the one-hot patterns) and ranked together with that cell's
+    distinct points; the points next to a probe in rank order hold its
+    candidates, since inside one cell the distance only grows with the amount
+    gap.  No pairwise join; ``None`` when every cell has more than k rows.
+    """
+    sizes = r.groupBy("cell").agg(F.count(F.lit(1)).alias("n_cell"))
+    small = r.join(sizes.where(F.col("n_cell") <= k), "cell", "left_semi")
+    n_small = small.count()
+    if n_small == 0:
+        return None
+    cells = [row.cell for row in sizes.select("cell").collect()]
+    probes = (small.select(F.col(key).alias("__sk"), "cell", "amount",
+                           F.explode(F.array(*[F.lit(c) for c in cells])).alias("__pc"))
+                   .where(F.col("__pc") != F.col("cell"))
+                   .select("__sk", F.col("__pc").alias("cell"), "amount", F.lit(True).alias("__probe")))
+    real = pts.select(F.lit(None).cast("string").alias("__sk"), "cell", "amount",
+                      F.lit(False).alias("__probe"), "__keys")
+    u = rank_within(real.unionByName(probes, allowMissingColumns=True), ["cell"], "amount",
+                    "__probe", "__urk")
+    # Other probes can sit between a probe and the points: widen by their count.
+    reach = k + n_small
+    offs = [d for d in range(-reach, reach + 1) if d != 0]
+    a = (u.where(F.col("__probe"))
+          .select("__sk", "cell", "__urk", F.explode(F.array(*[F.lit(d) for d in offs])).alias("__d"))
+          .select("__sk", "cell", (F.col("__urk") + F.col("__d")).alias("__urk")))
+    b = u.where(~F.col("__probe")).select("cell", "__urk", "__keys")
+    return (a.join(b, ["cell", "__urk"])
+             .select(F.col("__sk").alias(key), F.explode("__keys").alias("nbr_key")))
+
+
 def smote_neighbours(minority: DataFrame | None, k: int, key: str = "transaction_id",
                      features=C.FEATURES, salt: int = 64,
                      ranked: DataFrame | None = None) -> DataFrame:
-    """k nearest other minority rows per row: (key, nbr_rank, nbr_key, distance)."""
-    r = ranked if ranked is not None else ranked_minority(minority, key, features)
+    """k nearest other minority rows per row: (key, nbr_rank, nbr_key, distance).
+
+    Rows identical to the sample are skipped, as in the reference."""
+    # Both tables are read several times below (and by eager size checks):
+    # written once to the shared checkpoint folder instead of recomputed.
+    r = ranked if ranked is not None else cut_lineage(ranked_minority(minority, key, features))
+    pts = cut_lineage(_points(r, k, key, salt))
+    own = r.select(key, "cell", "amount").join(pts.select("cell", "amount", "__prk"),
+                                               ["cell", "amount"])
     offs = [d for d in range(-k, k + 1) if d != 0]
-    a = (r.select(F.struct(*[F.col(f"`{c}`") for c in [key, *features]]).alias("s"), "cell", "rk",
-                  F.explode(F.array(*[F.lit(d) for d in offs])).alias("__d"))
-          .select("s", "cell", (F.col("rk") + F.col("__d")).alias("nrk")))
-    b = r.select(F.struct(*[F.col(f"`{c}`") for c in [key, *features]]).alias("n"), "cell",
-                 F.col("rk").alias("nrk"))
-    in_cell = a.join(b, ["cell", "nrk"]).select("s", "n")
-    # Tiny cells: at most (number of cells) x k rows, a bounded broadcast side.
-    sizes = r.groupBy("cell").agg(F.count(F.lit(1)).alias("n_cell"))
-    small = (r.join(sizes.where(F.col("n_cell") <= k), "cell", "left_semi")
-              .select(F.struct(*[F.col(f"`{c}`") for c in [key, *features]]).alias("s"),
-                      F.col("cell").alias("s_cell")))
-    others = r.select(F.struct(*[F.col(f"`{c}`") for c in [key, *features]]).alias("n"),
-                      F.col("cell").alias("n_cell"))
-    cross = others.join(F.broadcast(small), F.col("s_cell") != F.col("n_cell")).select("s", "n")
-    cand = (in_cell.unionByName(cross)
-                   .select(F.col(f"s.`{key}`").alias(key), F.col(f"n.`{key}`").alias("nbr_key"),
-                           _dist("s", "n", features).alias("distance"))
-                   .where(F.col("distance") > 0))
+    a = (own.select(key, "cell", F.explode(F.array(*[F.lit(d) for d in offs])).alias("__d"), "__prk")
+            .select(key, "cell", (F.col("__prk") + F.col("__d")).alias("__prk")))
+    in_cell = (a.join(pts.select("cell", "__prk", "__keys"), ["cell", "__prk"])
+                .select(key, F.explode("__keys").alias("nbr_key")))
+    cross = _cross_cell_candidates(r, pts, k, key)
+    pairs = in_cell if cross is None else in_cell.unionByName(cross)
+    feats = [F.col(f"`{c}`") for c in [key, *features]]
+    sv = r.select(F.col(key).alias("__a"), F.struct(*feats).alias("s"))
+    nv = r.select(F.col(key).alias("__b"), F.struct(*feats).alias("n"))
+    cand = (pairs.join(sv, pairs[key] == sv["__a"]).join(nv, F.col("nbr_key") == nv["__b"])
+                 .select(F.col(key), "nbr_key", _dist("s", "n", features).alias("distance"))
+                 .where(F.col("distance") > 0))
     # Two-phase top-k: salted partial top-k, then final top-k over salt x k rows.
     cand = cand.withColumn("__salt", F.pmod(F.xxhash64("nbr_key"), F.lit(salt)))
     w1 = Window.partitionBy(key, "__salt").orderBy("distance", "nbr_key")
