@@ -105,12 +105,14 @@ def _cross_cell_candidates(r: DataFrame, pts: DataFrame, k: int, key: str) -> Da
     candidates, since inside one cell the distance only grows with the amount
     gap.  No pairwise join; ``None`` when every cell has more than k rows.
     """
-    sizes = r.groupBy("cell").agg(F.count(F.lit(1)).alias("n_cell"))
-    small = r.join(sizes.where(F.col("n_cell") <= k), "cell", "left_semi")
-    n_small = small.count()
-    if n_small == 0:
+    # One row per one-hot cell: a bounded table, read once on the driver.
+    sizes = {row.cell: row.n for row in r.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small_cells = [c for c, n in sizes.items() if n <= k]
+    if not small_cells:
         return None
-    cells = [row.cell for row in sizes.select("cell").collect()]
+    n_small = sum(sizes[c] for c in small_cells)
+    cells = sorted(sizes)
+    small = r.where(F.col("cell").isin(small_cells))
     probes = (small.select(F.col(key).alias("__sk"), "cell", "amount",
                            F.explode(F.array(*[F.lit(c) for c in cells])).alias("__pc"))
                    .where(F.col("__pc") != F.col("cell"))
