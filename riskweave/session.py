@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, app: str = "riskweave",
         "spark.ui.showConsoleProgress": "false",
         # Only takes effect when this call starts the JVM (local runs).
         "spark.driver.memory": "8g",
+        # Remove checkpoint files of lineages that are no longer referenced.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
