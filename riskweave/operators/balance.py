@@ -208,7 +208,8 @@ def smote_rows(train: DataFrame, label: str = "is_fraud", key: str = "transactio
                    .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("nbr_rank", "nv"))).alias("nbrs")))
         g = g.join(lists, key, "left")
     else:
-        g = g.withColumn("nbrs", F.lit(None).cast("array<struct<nbr_rank:int,nv:struct<x:double>>>"))
+        nv_type = "struct<" + ",".join(f"`{f}`:double" for f in features) + ">"
+        g = g.withColumn("nbrs", F.lit(None).cast(f"array<struct<nbr_rank:int,nv:{nv_type}>>"))
     syn = g.where(F.col("n_syn") > 0).select(
         "*", F.explode(F.sequence(F.lit(0), F.col("n_syn") - 1)).alias("j"))
     n_nbrs = F.coalesce(F.size("nbrs"), F.lit(0))

@@ -48,3 +48,14 @@ def test_neighbours_match_brute_force(spark):
     assert got == _brute(rows, 2)
     # The single-row cell found neighbours in other cells.
     assert len(got["k000"]) == 2
+
+
+def test_single_minority_row_jitters(spark):
+    rows = _rows()[:4]
+    schema = "transaction_id string, " + ", ".join(f"`{f}` double" for f in C.FEATURES) + ", is_fraud int"
+    df = spark.createDataFrame([r + ((1 if i == 0 else 0),) for i, r in enumerate(rows)], schema)
+    syn = B.smote_rows(df).collect()
+    assert len(syn) == 2
+    base = rows[0]
+    for r in syn:
+        assert all(abs(r[f] - v) <= 0.01 + 1e-12 for f, v in zip(C.FEATURES, base[1:]))
