@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import key_uniform
+from ..session import cut_lineage
 from .stats import exact_quantile
 
 ANOMALY_FEATURES = ["amount", "hour", "channel_encoded", "location_encoded", "tx_count_last_hour"]
@@ -142,9 +143,12 @@ def isolation_scores(train: DataFrame, df: DataFrame, key: str, contamination: f
                      n_trees: int = 100) -> DataFrame:
     """Risk in [0, 1] from an isolation forest fitted on ``train``."""
     forest, n_sub = fit_forest(train, key, n_trees=n_trees)
-    trained = score_forest(train, forest, n_sub)
+    # Scores are written once: the quantile search reads them several times and
+    # the Python scorer should run once per row.
+    scored = cut_lineage(score_forest(df, forest, n_sub))
+    trained = scored if df is train else cut_lineage(
+        score_forest(train, forest, n_sub).select("iso_score"))
     offset = exact_quantile(trained, "iso_score", contamination)
-    scored = score_forest(df, forest, n_sub)
     decision = F.col("iso_score") - F.lit(offset)
     risk = F.least(F.greatest(F.lit(1.0) - (decision + 0.5), F.lit(0.0)), F.lit(1.0))
     return scored.select("*", decision.alias("decision"), risk.alias("anomaly_risk"))
