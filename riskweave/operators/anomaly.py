@@ -120,7 +120,8 @@ def _path_lengths(forest: pd.DataFrame, x: np.ndarray) -> np.ndarray:
             node[idx] = np.where(go_left, left[nd], right[nd])
             depth[idx] += 1
             active = feat[node] >= 0
-        total += depth + np.array([_c(s) for s in size[node]])
+        c_leaf = np.array([_c(s) for s in size])  # per node (<= 511), not per row
+        total += depth + c_leaf[node]
     return total / forest["tree"].nunique()
 
 
