@@ -28,7 +28,7 @@ def get_spark(master: str | None = None, app: str = "riskweave",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         # Only takes effect when this call starts the JVM (local runs).
-        "spark.driver.memory": "8g",
+        "spark.driver.memory": _local_driver_memory(),
         # Remove checkpoint files of lineages that are no longer referenced.
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
@@ -43,6 +43,16 @@ def get_spark(master: str | None = None, app: str = "riskweave",
     return spark
 
 
+def _local_driver_memory() -> str:
+    """Half of this machine's memory, between 1 and 8 GiB (local mode only)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    gib = max(1, min(8, int(total / 2 / 2**30)))
+    return f"{gib}g"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
