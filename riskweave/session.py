@@ -79,3 +79,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: written to the shared folder, survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scale_conf(input_bytes: float, total_cores: int, shuffle_fraction: float = 0.2,
+               target_partition_bytes: int = 256 * 2**20) -> dict:
+    """Settings for a cluster run sized from the input volume.
+
+    * scans: ``maxPartitionBytes`` = target size, so a 100 TB input gives
+      about 400k scan tasks (hundreds of waves on 8k cores, each task small);
+    * shuffles: the initial partition count covers the expected shuffled
+      bytes (pruned columns are a fraction of the input) at the target size,
+      at least 3 tasks per core; AQE then coalesces small partitions and
+      splits skewed ones at the same advisory size.
+    """
+    shuffle_bytes = max(input_bytes * shuffle_fraction, 1)
+    parts = max(3 * total_cores, int(shuffle_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        # Broadcasts in this package are fixed lists or tables bounded by
+        # construction; keep Spark's own size-based broadcast modest.
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 2**20),
+    }
