@@ -59,3 +59,28 @@ def test_single_minority_row_jitters(spark):
     base = rows[0]
     for r in syn:
         assert all(abs(r[f] - v) <= 0.01 + 1e-12 for f, v in zip(C.FEATURES, base[1:]))
+
+
+def test_synthetic_points_on_segments(spark):
+    rows = _rows()
+    schema = "transaction_id string, " + ", ".join(f"`{f}` double" for f in C.FEATURES) + ", is_fraud int"
+    # Minority = the given rows; add enough majority rows to need synthetic ones.
+    major = [(f"m{i:03d}", *([0.5] + [0.0] * (len(C.FEATURES) - 1))) for i in range(150)]
+    df = spark.createDataFrame([r + (1,) for r in rows] + [r + (0,) for r in major], schema)
+    syn = B.smote_rows(df).collect()
+    assert len(syn) == 150 - len(rows)
+    by_key = {r[0]: r for r in rows}
+    nbrs = _brute(rows, 2)
+    for s in syn:
+        src = s.transaction_id[len("SYN_"):].rsplit("_", 1)[0]
+        base = by_key[src]
+        ok = False
+        for n in nbrs[src]:
+            other = by_key[n]
+            # s = base + r * (other - base) for one r in [0, 1], on every feature.
+            rs = {round((s[f] - b) / (o - b), 9) for f, b, o in zip(C.FEATURES, base[1:], other[1:])
+                  if o != b}
+            same = all(abs(s[f] - b) < 1e-12 for f, b, o in zip(C.FEATURES, base[1:], other[1:]) if o == b)
+            if same and len(rs) == 1 and 0.0 <= next(iter(rs)) <= 1.0:
+                ok = True
+        assert ok, s.transaction_id
