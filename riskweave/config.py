@@ -48,6 +48,27 @@ HIGH_RISK_AT = 0.85
 NOTIFY_AT = 0.85
 DEFAULT_CUTOFF = 0.5
 
+# Decision and status labels.
+BLOCKED = "BLOCKED"
+PENDING_OTP = "PENDING_OTP"
+APPROVED = "APPROVED"
+UNKNOWN_CHANNEL = "UNKNOWN"
+INCREASES = "INCREASES"
+DECREASES = "DECREASES"
+
+# Text formats (printf style) and fixed messages.
+MODEL_REASON_FORMAT = "Model Probability: %.1f%%"
+F1_REASON_FORMAT = "F1-score (%.4f) below threshold (%s)"
+DRIFT_REASON_PREFIX = "Data drift detected: "
+DRIFT_REASON_MIDDLE = " of features drifted (threshold={threshold:.0%}). Drifted: "
+FORCED_REASON = "Manual force retrain requested by operator"
+NO_RETRAIN_REASON = "No drift or performance degradation detected"
+REASON_SEPARATOR = " | "
+FEATURE_RENAMES = [("channel_", "Channel: "), ("source_dataset_", "Pipeline: ")]
+MESSAGE_HEADER = "[{brand}] FRAUD ALERT"
+MESSAGE_FACTORS = "Top Risk Factors:"
+MESSAGE_FOOTER = "-- Auto-blocked by {brand} --"
+
 # Event defaults when a field is missing.
 DEFAULT_CHANNEL = "MobileApp"
 DEFAULT_LOCATION = "Lagos"

@@ -53,9 +53,9 @@ def rule_score(flags) -> Column:
 
 def decision(score: Column) -> Column:
     """Three-tier transaction decision."""
-    return (F.when(score >= C.BLOCK_AT, "BLOCKED")
-             .when(score >= C.OTP_AT, "PENDING_OTP")
-             .otherwise("APPROVED"))
+    return (F.when(score >= C.BLOCK_AT, C.BLOCKED)
+             .when(score >= C.OTP_AT, C.PENDING_OTP)
+             .otherwise(C.APPROVED))
 
 
 def combined_decision(rule: Column, anomaly: Column) -> tuple[Column, Column]:
@@ -66,15 +66,15 @@ def combined_decision(rule: Column, anomaly: Column) -> tuple[Column, Column]:
 
 def alert_status(risk: Column) -> Column:
     """Two-tier alert status."""
-    return F.when(risk >= C.ALERT_BLOCK_AT, "BLOCKED").otherwise("PENDING_OTP")
+    return F.when(risk >= C.ALERT_BLOCK_AT, C.BLOCKED).otherwise(C.PENDING_OTP)
 
 
 def stream_flag(prediction: Column, probability: Column, rule_decision: Column,
                 rules: Column) -> tuple[Column, Column]:
     """Flag when the model says fraud or the rules block / ask for OTP, with reasons."""
     model_hit = (prediction == 1) | (probability >= 0.5)
-    rule_hit = rule_decision.isin("BLOCKED", "PENDING_OTP")
-    pct = F.format_string("Model Probability: %.1f%%", rnd(probability * 100, 1))
+    rule_hit = rule_decision.isin(C.BLOCKED, C.PENDING_OTP)
+    pct = F.format_string(C.MODEL_REASON_FORMAT, rnd(probability * 100, 1))
     reasons = F.concat(
         F.when(model_hit, F.array(pct)).otherwise(F.array().cast("array<string>")),
         F.when(rule_hit, rules).otherwise(F.array().cast("array<string>")),

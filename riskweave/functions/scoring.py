@@ -106,10 +106,12 @@ def reverse_one_hot(df_columns: list[str]) -> Column:
     """First channel flag equal to 1 (feature order), else UNKNOWN."""
     names = [c for c in df_columns if c.startswith("channel_")]
     return F.coalesce(*[F.when(F.col(f"`{n}`") == 1, F.lit(n[len("channel_"):])) for n in names],
-                      F.lit("UNKNOWN"))
+                      F.lit(C.UNKNOWN_CHANNEL))
 
 
 def pretty_feature(name: Column) -> Column:
     """Presentation rename used in messages and reports."""
-    return F.replace(F.replace(name, F.lit("channel_"), F.lit("Channel: ")),
-                     F.lit("source_dataset_"), F.lit("Pipeline: "))
+    out = name
+    for prefix, label in C.FEATURE_RENAMES:
+        out = F.replace(out, F.lit(prefix), F.lit(label))
+    return out

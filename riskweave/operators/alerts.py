@@ -90,7 +90,7 @@ def top_reasons(alerts: DataFrame, n: int = 3) -> DataFrame:
     return ex.select("alert_id", (F.col("pos") + 1).alias("rank"),
                      pretty_feature(F.col("e.feature")).alias("feature"),
                      rnd(v, 4).alias("shap_value"),
-                     F.when(v > 0, "INCREASES").otherwise("DECREASES").alias("direction"),
+                     F.when(v > 0, C.INCREASES).otherwise(C.DECREASES).alias("direction"),
                      F.format_string("%.2f%%", rnd(F.abs(v) * 100, 2)).alias("impact_pct"))
 
 
@@ -107,13 +107,13 @@ def message_text(alerts: DataFrame) -> Column:
                 .otherwise(F.lit("  N/A")))
     conf = rnd(F.greatest(F.col("model_probability"), F.col("rule_risk_score")) * 100, 2)
     return F.concat(
-        F.lit(f"[{BRAND}] FRAUD ALERT\nTx: "), F.col("transaction_id"),
+        F.lit(C.MESSAGE_HEADER.format(brand=BRAND) + "\nTx: "), F.col("transaction_id"),
         F.lit("\nAmount: NGN "), F.format_number(F.col("amount"), 0),
         F.lit("\nChannel: "), F.col("channel"), F.lit(" | "), F.col("location"),
         F.lit("\nTime: "), F.date_format("timestamp", "yyyy-MM-dd HH:mm"),
         F.lit("\nConfidence: "), F.format_string("%.2f%%", conf),
-        F.lit("\nTop Risk Factors:\n"), reasons,
-        F.lit(f"\n-- Auto-blocked by {BRAND} --"))
+        F.lit("\n" + C.MESSAGE_FACTORS + "\n"), reasons,
+        F.lit("\n" + C.MESSAGE_FOOTER.format(brand=BRAND)))
 
 
 def outbox(alerts: DataFrame, threshold: float = C.NOTIFY_AT, channel: str = "sms") -> DataFrame:

@@ -93,13 +93,13 @@ def drift_verdict(psi_df: DataFrame, n_features: int = len(C.FEATURES)) -> DataF
 def retrain_decision(metrics: DataFrame, verdict: DataFrame, force: bool = False) -> DataFrame:
     """Retrain when F1 < 0.85, when drift is detected, or when forced."""
     f1_reason = F.when(F.col("f1_score") < C.F1_THRESHOLD, F.format_string(
-        "F1-score (%.4f) below threshold (%s)", F.col("f1_score"), F.lit(str(C.F1_THRESHOLD))))
+        C.F1_REASON_FORMAT, F.col("f1_score"), F.lit(str(C.F1_THRESHOLD))))
     names = F.concat(F.lit("["), F.array_join(
         F.transform("drifted_features", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
     drift_reason = F.when(F.col("drift_detected"), F.concat(
-        F.lit("Data drift detected: "), F.format_string("%.1f%%", rnd(F.col("drift_share") * 100, 1)),
-        F.lit(f" of features drifted (threshold={C.DRIFT_SHARE_THRESHOLD:.0%}). Drifted: "), names))
-    forced = F.lit("Manual force retrain requested by operator") if force else F.lit(None).cast("string")
+        F.lit(C.DRIFT_REASON_PREFIX), F.format_string("%.1f%%", rnd(F.col("drift_share") * 100, 1)),
+        F.lit(C.DRIFT_REASON_MIDDLE.format(threshold=C.DRIFT_SHARE_THRESHOLD)), names))
+    forced = F.lit(C.FORCED_REASON) if force else F.lit(None).cast("string")
     # Both inputs are one-row aggregates; the F1 value enters as a scalar subquery.
     f1 = metrics.agg(F.first("f1_score")).scalar()
     row = verdict.select(f1.alias("f1_score"), "drift_share", "drift_detected", "drifted_features")
@@ -107,6 +107,6 @@ def retrain_decision(metrics: DataFrame, verdict: DataFrame, force: bool = False
     reasons = F.when(F.size(reasons) == 0, F.array_compact(F.array(forced))).otherwise(reasons)
     return row.select("f1_score", "drift_share", "drift_detected",
                       ((F.size(reasons) > 0) | F.lit(force)).alias("retrain"),
-                      F.when(F.size(reasons) > 0, F.array_join(reasons, " | "))
-                       .otherwise(F.lit("No drift or performance degradation detected"))
+                      F.when(F.size(reasons) > 0, F.array_join(reasons, C.REASON_SEPARATOR))
+                       .otherwise(F.lit(C.NO_RETRAIN_REASON))
                        .alias("reason"))

@@ -16,8 +16,8 @@ def alert_kpis(reg: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_alerts"),
         F.coalesce(F.sum(F.col("amount").cast("decimal(20,2)")), F.lit(0)).cast("double")
          .alias("total_amount_flagged"),
-        F.count_if(F.col("status") == "BLOCKED").alias("blocked"),
-        F.count_if(F.col("status") == "PENDING_OTP").alias("pending"),
+        F.count_if(F.col("status") == C.BLOCKED).alias("blocked"),
+        F.count_if(F.col("status") == C.PENDING_OTP).alias("pending"),
         rnd(F.coalesce(F.avg("risk_score"), F.lit(0.0)), 6).alias("avg_risk"),
         F.count_if(F.col("risk_score") >= C.HIGH_RISK_AT).alias("high_risk"))
 

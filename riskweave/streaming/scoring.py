@@ -104,7 +104,7 @@ def start_scoring(events: DataFrame, out_root: str, checkpoint: str,
 
     ``observe`` publishes processed / anomaly counters per batch (G9)."""
     scored = score_events(events, velocity_threshold)
-    flag = (F.col("prediction") == 1) | F.col("rule_decision").isin("BLOCKED", "PENDING_OTP")
+    flag = (F.col("prediction") == 1) | F.col("rule_decision").isin(C.BLOCKED, C.PENDING_OTP)
     scored = scored.observe("counters", F.count(F.lit(1)).alias("processed"),
                             F.count_if(flag).alias("anomalies"))
     w = scored.writeStream.foreachBatch(batch_writer(out_root)).option("checkpointLocation", checkpoint)
