@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import config as C
 from ..functions import scoring as S
-from ..functions.core import to_ts
+from ..functions.core import rnd, to_ts
 from ..operators import alerts as A
 from ..operators import risk
 from ..sources.tables import EVENT_SCHEMA
@@ -52,11 +53,15 @@ def to_kafka_value(df: DataFrame, key: str = "transaction_id") -> DataFrame:
 
 
 def score_events(events: DataFrame, velocity_threshold: int = C.MAX_TX_PER_HOUR,
-                 watermark: str | None = "1 hour", dedup: bool = True) -> DataFrame:
+                 watermark: str | None = "1 hour", dedup: bool = True, scorer="rules") -> DataFrame:
     """Stateless scoring (G2) plus optional bounded de-duplication by id.
 
-    ISO-8601 text timestamps are parsed; an unparsable one stays NULL, never
-    fires the night rule, and the row is tagged ``BAD_TIMESTAMP``."""
+    ``scorer``: a fitted ``PipelineModel`` over the 13 serving features; or
+    "rules" (no model: the probability is the rule score, as the stream does
+    without a model); or "additive" (the additive log-odds scorer, with
+    per-feature contributions).  ISO-8601 text timestamps are parsed; an
+    unparsable one stays NULL, never fires the night rule, and the row is
+    tagged ``BAD_TIMESTAMP``."""
     # Missing event fields become NULL, so the rule defaults apply to them.
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields
                if f.name not in events.columns]
@@ -69,10 +74,32 @@ def score_events(events: DataFrame, velocity_threshold: int = C.MAX_TX_PER_HOUR,
         if dedup:
             ev = ev.dropDuplicatesWithinWatermark(["transaction_id"])
     ruled = risk.apply_rules(ev, velocity_threshold)
-    contribs = S.logodds_contributions(S.event_feature_map(F.col("amount"), F.col("channel")))
-    lo, prob, pred = S.logodds_score(contribs)
-    return ruled.select("*", lo.alias("log_odds"), prob.alias("probability"), pred.alias("prediction"),
-                        S.contributions_map(contribs).alias("contributions"))
+    fmap = S.event_feature_map(F.col("amount"), F.col("channel"))
+    if scorer == "additive":
+        contribs = S.logodds_contributions(fmap)
+        lo, prob, pred = S.logodds_score(contribs)
+        return ruled.select("*", lo.alias("log_odds"), prob.alias("probability"),
+                            pred.alias("prediction"),
+                            S.contributions_map(contribs).alias("contributions"))
+    empty = F.create_map().cast("map<string,double>")
+    if scorer == "rules":
+        prob = F.col("rule_risk_score")
+        return ruled.select("*", prob.alias("probability"),
+                            F.when(prob >= 0.5, 1).otherwise(0).alias("prediction"),
+                            empty.alias("contributions"))
+    # A fitted pyspark.ml pipeline: Spark applies it to every micro-batch.
+    # The model's "amount" is the scaled serving feature: keep the raw amount aside.
+    safe = {f: f.replace("-", "_") for f in C.FEATURES}
+    raw = ruled.withColumnRenamed("amount", "__raw_amount")
+    fm = S.event_feature_map(F.col("__raw_amount"), F.col("channel"))
+    with_feats = raw.select("*", *[fm[f].cast("double").alias(safe[f]) for f in C.FEATURES])
+    out = scorer.transform(with_feats)
+    prob = rnd(vector_to_array(F.col("probability"))[1], 4)
+    keep = [F.col("__raw_amount").alias("amount") if c == "amount" else F.col(f"`{c}`")
+            for c in ruled.columns]
+    return out.select(*keep, prob.alias("probability"),
+                      F.when(prob >= 0.5, 1).otherwise(0).alias("prediction"),
+                      empty.alias("contributions"))
 
 
 def _write(df: DataFrame, root: str, name: str, batch_id: int) -> None:
@@ -99,11 +126,11 @@ def batch_writer(out_root: str, notify_at: float = C.NOTIFY_AT):
 
 def start_scoring(events: DataFrame, out_root: str, checkpoint: str,
                   available_now: bool = True, interval: str = "5 seconds",
-                  velocity_threshold: int = C.MAX_TX_PER_HOUR):
+                  velocity_threshold: int = C.MAX_TX_PER_HOUR, scorer="rules"):
     """Start the scoring query: bounded run (availableNow) or daemon.
 
     ``observe`` publishes processed / anomaly counters per batch (G9)."""
-    scored = score_events(events, velocity_threshold)
+    scored = score_events(events, velocity_threshold, scorer=scorer)
     flag = (F.col("prediction") == 1) | F.col("rule_decision").isin(C.BLOCKED, C.PENDING_OTP)
     scored = scored.observe("counters", F.count(F.lit(1)).alias("processed"),
                             F.count_if(flag).alias("anomalies"))

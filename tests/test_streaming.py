@@ -37,7 +37,8 @@ def _events(spark, scratch):
 def test_batch_equals_stream_and_restart(spark, scratch):
     tx, path = _events(spark, scratch)
     out, ck = os.path.join(scratch, "out"), os.path.join(scratch, "ck")
-    q = ST.start_scoring(ST.event_stream(spark, path, max_files_per_trigger=1), out, ck)
+    q = ST.start_scoring(ST.event_stream(spark, path, max_files_per_trigger=1), out, ck,
+                         scorer="additive")
     q.awaitTermination(300)
     assert q.exception() is None
     streamed = spark.read.parquet(os.path.join(out, "alerts"))
@@ -52,7 +53,7 @@ def test_batch_equals_stream_and_restart(spark, scratch):
     s = sorted((r.alert_id, r.status, tuple(r.triggered_rules)) for r in streamed.collect())
     assert b == s and len(b) > 0
     # Restart on the same checkpoint: no new batches, no duplicate alerts.
-    q2 = ST.start_scoring(ST.event_stream(spark, path), out, ck)
+    q2 = ST.start_scoring(ST.event_stream(spark, path), out, ck, scorer="additive")
     q2.awaitTermination(300)
     again = spark.read.parquet(os.path.join(out, "alerts"))
     assert again.count() == len(s)
@@ -123,3 +124,19 @@ def test_text_timestamps(spark):
     got = {r.transaction_id: (r.ts_status, list(r.triggered_rules)) for r in out.collect()}
     assert got["a"] == ("OK", ["NIGHT_WINDOW_LARGE_TRANSFER"])
     assert got["b"] == ("BAD_TIMESTAMP", [])
+
+
+def test_stream_scorers(spark, scratch):
+    """No model: the probability is the rule score; with a fitted pipeline the
+    stream applies it batch by batch."""
+    from riskweave import config as C
+    from riskweave.operators import models as MD
+    tx = V.transactions(spark, SF)
+    rows = ST.score_events(tx.limit(50), watermark=None).collect()
+    assert all(r.probability == r.rule_risk_score and r.prediction == int(r.rule_risk_score >= 0.5)
+               and r.contributions == {} for r in rows)
+    fm = S.event_feature_map(F.col("amount"), F.col("channel"))
+    train = tx.select("transaction_id", "is_fraud", *[fm[f].cast("double").alias(f) for f in C.FEATURES])
+    model = MD.fit(train, "lr", params={"maxIter": 10})
+    scored = ST.score_events(tx.limit(50), watermark=None, scorer=model).collect()
+    assert all(0.0 <= r.probability <= 1.0 for r in scored) and len(scored) == 50
