@@ -96,3 +96,26 @@ def test_retrain_reasons_text(spark):
     forced = D.retrain_decision(spark.createDataFrame([(0.9,)], "f1_score double"),
                                 v.withColumn("drift_detected", F.lit(False)), force=True).first()
     assert forced.retrain is True and forced.reason == "Manual force retrain requested by operator"
+
+
+def _np_psi(ref, cur, bins=10, eps=1e-6):
+    lo, hi = min(ref.min(), cur.min()), max(ref.max(), cur.max())
+    if hi == lo:
+        return 0.0
+    edges = np.linspace(lo, hi, bins + 1)
+    r = (np.histogram(ref, bins=edges)[0] + eps) / (len(ref) + eps * bins)
+    c = (np.histogram(cur, bins=edges)[0] + eps) / (len(cur) + eps * bins)
+    return float(np.sum((c - r) * np.log(c / r)))
+
+
+def test_psi_matches_histogram_formula(spark):
+    rng = np.random.default_rng(11)
+    ref = rng.normal(0, 1, 3000)
+    cur = rng.normal(0.4, 1.3, 2000)
+    flag_r = (rng.random(3000) < 0.3).astype(float)
+    flag_c = (rng.random(2000) < 0.6).astype(float)
+    a = spark.createDataFrame([(float(x), float(f)) for x, f in zip(ref, flag_r)], "amount double, channel_DEBIT double")
+    b = spark.createDataFrame([(float(x), float(f)) for x, f in zip(cur, flag_c)], "amount double, channel_DEBIT double")
+    got = {r.feature: r.psi for r in D.psi(a, b, ["amount", "channel_DEBIT"]).collect()}
+    assert got["amount"] == pytest.approx(_np_psi(ref, cur), abs=1e-6)
+    assert got["channel_DEBIT"] == pytest.approx(_np_psi(flag_r, flag_c), abs=1e-6)
