@@ -119,3 +119,20 @@ def test_psi_matches_histogram_formula(spark):
     got = {r.feature: r.psi for r in D.psi(a, b, ["amount", "channel_DEBIT"]).collect()}
     assert got["amount"] == pytest.approx(_np_psi(ref, cur), abs=1e-6)
     assert got["channel_DEBIT"] == pytest.approx(_np_psi(flag_r, flag_c), abs=1e-6)
+
+
+def test_drift_verdict_positive(spark):
+    from riskweave import config as C
+    rng = np.random.default_rng(5)
+    def frame(shift):
+        rows = []
+        for _ in range(800):
+            vals = [float(rng.random())] + [0.0] * (len(C.FEATURES) - 1)
+            for j in range(1, 5):          # four channel flags flip with the shift
+                vals[j] = float(rng.random() < (0.8 if shift else 0.1))
+            rows.append(tuple(vals))
+        return spark.createDataFrame(rows, ", ".join(f"`{f}` double" for f in C.FEATURES))
+    v = D.drift_verdict(D.psi(frame(False), frame(True))).first()
+    assert v.n_drifted == 4 and v.drift_detected
+    assert list(v.drifted_features) == C.FEATURES[1:5]
+    assert v.drift_share == round(4 / 13, 6)
