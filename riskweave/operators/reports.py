@@ -92,3 +92,17 @@ def with_share(g: DataFrame, count_col: str, out: str = "pct") -> DataFrame:
     """Percent-of-total over a small aggregate."""
     return g.withColumn(out, rnd(F.col(count_col) * 100.0
                                      / F.sum(count_col).over(Window.partitionBy()), 2))
+
+
+def bank_summary(tx: DataFrame, banks: DataFrame) -> DataFrame:
+    """Per bank code: name (default "Unknown Bank"), transactions and valid
+    accounts (V1, V4, J1).  Aggregated first, so the lookup join sees one row
+    per bank code; the bank table is the fixed list (broadcast)."""
+    from ..functions.identity import nuban_valid
+    g = tx.groupBy("bank_code").agg(
+        F.count(F.lit(1)).alias("n_transactions"),
+        F.sum(F.when(nuban_valid(F.col("account"), F.col("bank_code")), 1).otherwise(0))
+         .alias("n_valid_accounts"))
+    j = g.join(F.broadcast(banks), g.bank_code == F.col("code"), "left")
+    return j.select("bank_code", F.coalesce(F.col("name"), F.lit(C.UNKNOWN_BANK)).alias("bank_name"),
+                    "n_transactions", F.col("n_valid_accounts").cast("long").alias("n_valid_accounts"))

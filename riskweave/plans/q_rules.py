@@ -268,14 +268,6 @@ SELECT t.bank_code, coalesce(b.name, {Q.q(C.UNKNOWN_BANK)}) AS bank_name, count(
 FROM ({Q.TX_BASE}) t LEFT JOIN {_BANKS_SQL} ON t.bank_code = b.code
 GROUP BY t.bank_code, coalesce(b.name, {Q.q(C.UNKNOWN_BANK)})""")
 def bank_lookup(spark, sf):
+    from ..operators.reports import bank_summary
     from ..sources.dims import banks
-    tx = V.transactions(spark, sf)
-    # Aggregate first (one row per bank code), then look the names up: the
-    # join input is bounded by the number of distinct bank codes.
-    g = tx.groupBy("bank_code").agg(
-        F.count(F.lit(1)).alias("n_transactions"),
-        F.sum(F.when(I.nuban_valid(F.col("account"), F.col("bank_code")), 1).otherwise(0))
-         .alias("n_valid_accounts"))
-    j = g.join(F.broadcast(banks(spark)), g.bank_code == F.col("code"), "left")
-    return j.select("bank_code", F.coalesce(F.col("name"), F.lit(C.UNKNOWN_BANK)).alias("bank_name"),
-                    "n_transactions", F.col("n_valid_accounts").cast("long").alias("n_valid_accounts"))
+    return bank_summary(V.transactions(spark, sf), banks(spark))

@@ -31,3 +31,13 @@ def test_alert_kpis_empty_and_full(spark):
     k = RP.alert_kpis(spark.createDataFrame(rows, schema)).first()
     assert (k.n_alerts, k.total_amount_flagged, k.blocked, k.pending, k.avg_risk, k.high_risk) == \
         (2, 150.5, 1, 1, 0.75, 1)
+
+
+def test_bank_summary_unknown_code(spark):
+    from riskweave.sources.dims import banks
+    tx = spark.createDataFrame([("058", "0110000001"), ("058", "0110000002"), ("999", "0000000000")],
+                               "bank_code string, account string")
+    got = {r.bank_code: (r.bank_name, r.n_transactions, r.n_valid_accounts)
+           for r in RP.bank_summary(tx, banks(spark)).collect()}
+    assert got["058"] == ("Guaranty Trust Bank (GTBank)", 2, 1)
+    assert got["999"][0] == "Unknown Bank"
