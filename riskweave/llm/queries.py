@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality
 from .store import read
 
+#: Folder of the public vocabulary files; the package names it if it is installed.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -17,3 +26,8 @@ def query(fn):
 @query
 def op4_quality_classifier(spark, sf_dir):
     return quality.op4_quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
