@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality
+from . import jaccard, packing, quality
 from .store import read
 
 #: Folder of the public vocabulary files; the package names it if it is installed.
@@ -31,3 +31,8 @@ def op4_quality_classifier(spark, sf_dir):
 @query
 def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op3_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.join(read(spark, sf_dir, "documents"))
