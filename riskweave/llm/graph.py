@@ -2,8 +2,9 @@
 
 ``linked`` finds the components that all verified links would give, without
 emitting all pairs of a bucket: in every round each unresolved bucket's
-leaders are verified against its members of other components; members that
-became connected need no further test.  A bucket is done when all its members
+leaders (the member that shares most buckets and two by hash) are verified
+against its members of other components; members that became connected need
+no further test.  A bucket is done when all its members
 are in one component or every pair across components has been tested, so no
 link between different components can be missed.
 """
@@ -17,9 +18,6 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-#: Leaders are the members with the smallest ids under these masks, one per mask, besides the best connected one.
-MASKS = (0x5555555555555555, 0x2AAAAAAAAAAAAAAA, 0x0F0F0F0F0F0F0F0F, 0x33CC33CC33CC33CC)
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every end of ``edges`` (a, b); component: its smallest node.
@@ -87,10 +85,9 @@ def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], links: D
             y = b.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
             pairs = x.join(y, "sig").where("ca < cb").select("a", "b").distinct()
         else:
-            masks = [m ^ (done * 0x1234567) for m in MASKS[:2]] if done else MASKS[:2]
             lead = b.groupBy("sig").agg(F.min(F.struct("rank", "node"))["node"].alias("l0"), *[
-                F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"l{i + 1}")
-                for i, m in enumerate(masks)])
+                F.min(F.struct(F.xxhash64(F.lit(2 * done + i), "node").alias("h"), "node"))["node"].alias(f"l{i}")
+                for i in (1, 2)])
             lead = written(lead.select("sig", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("lead")), "leaders")
             heads = lead.join(b.select("sig", F.col("node").alias("lead"), F.col("comp").alias("head")), ["sig", "lead"])
             heads = written(heads, "leaders")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, quality
+from . import jaccard, lines, packing, quality
 from .store import read
 
 #: Folder of the public vocabulary files; the package names it if it is installed.
@@ -36,3 +36,8 @@ def op6_best_fit_packing(spark, sf_dir):
 @query
 def op3_ngram_jaccard_join(spark, sf_dir):
     return jaccard.join(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_line_dedup(spark, sf_dir):
+    return lines.report(read(spark, sf_dir, "documents"))
