@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, packing, quality
+from . import jaccard, lines, lm, packing, quality
 from .store import read
 
 #: Folder of the public vocabulary files; the package names it if it is installed.
@@ -41,3 +41,8 @@ def op3_ngram_jaccard_join(spark, sf_dir):
 @query
 def op10_line_dedup(spark, sf_dir):
     return lines.report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_lm_scoring(spark, sf_dir):
+    return lm.op1_lm_scoring(read(spark, sf_dir, "documents"))
