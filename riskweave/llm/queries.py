@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, lm, packing, quality
+from . import jaccard, lines, lm, mixing, packing, quality
 from .store import read
 
 #: Folder of the public vocabulary files; the package names it if it is installed.
@@ -46,3 +46,8 @@ def op10_line_dedup(spark, sf_dir):
 @query
 def op1_lm_scoring(spark, sf_dir):
     return lm.op1_lm_scoring(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_mixing_to_targets(spark, sf_dir):
+    return mixing.op2_mixing(read(spark, sf_dir, "documents"))
