@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    The cleaner acts when the driver's objects are collected; a long job asks
+    for that after a phase whose result has been written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` once nothing reads it any more."""
     spark = df.sparkSession
