@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, lm, mixing, packing, quality
+from . import balltree, jaccard, lines, lm, mixing, packing, quality, vamana
 from .store import read
 
 #: Folder of the public vocabulary files; the package names it if it is installed.
@@ -51,3 +51,25 @@ def op1_lm_scoring(spark, sf_dir):
 @query
 def op2_mixing_to_targets(spark, sf_dir):
     return mixing.op2_mixing(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_exact_top_k(spark, sf_dir):
+    return balltree.top_k(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op5_exact_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+           FROM (SELECT DISTINCT vec_id, embedding FROM embeddings)
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
+@query
+def op9_approximate_neighbours(spark, sf_dir):
+    return vamana.nearest(read(spark, sf_dir, "embeddings"))
