@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import balltree, jaccard, lines, lm, mixing, packing, quality, vamana
+from . import balltree, jaccard, licenses, lines, lm, mixing, packing, quality, vamana
 from .store import read
 
 #: Folder of the public vocabulary files; the package names it if it is installed.
@@ -73,3 +73,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 @query
 def op9_approximate_neighbours(spark, sf_dir):
     return vamana.nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_license_scan(spark, sf_dir):
+    return licenses.op8_license_scan(read(spark, sf_dir, "documents"))
