@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import balltree, jaccard, licenses, lines, lm, mixing, packing, quality, vamana
+from . import balltree, jaccard, licenses, lines, lm, mixing, packing, quality, trainorder, vamana
 from .store import read
 
 #: Folder of the public vocabulary files; the package names it if it is installed.
@@ -78,3 +78,8 @@ def op9_approximate_neighbours(spark, sf_dir):
 @query
 def op8_license_scan(spark, sf_dir):
     return licenses.op8_license_scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_training_order(spark, sf_dir):
+    return trainorder.materialise(read(spark, sf_dir, "documents"), vocabulary())[1]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import os
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id's decimal text (a null id counts as an empty text: 0)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")))
+
+
+# ---------------------------------------------------------------- files that tasks write themselves
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder, and the folder's path in it (also inside tasks)."""
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+
+
+def put(uri: str, name: str, data) -> None:
+    """Write one file so that it appears whole; a repeated task writes the same content again."""
+    store, path = file_system(uri)
+    store.create_dir(path, recursive=True)
+    tmp = f"{path}/.{name}.{os.getpid()}.{os.urandom(4).hex()}"
+    with store.open_output_stream(tmp) as f:
+        f.write(data)
+    store.move(tmp, f"{path}/{name}")
