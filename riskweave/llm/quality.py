@@ -199,31 +199,34 @@ def score_block(raw: np.ndarray, offs: np.ndarray, p: Params, table: np.ndarray,
     return 1.0 / (1.0 + np.exp(-(total / np.maximum(cnt, 1) + bias[1] - bias[0])))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Every row's ``keep`` columns (default ``doc_id``) with ``score`` and ``predicted``.
+def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """Columns k0, k1, ... (the ``keep`` columns in order), score and predicted for every row.
 
     The broadcast model has ``buckets`` x 2 numbers, whatever the corpus.
     """
-    keep = keep or ["doc_id"]
     got = docs.sparkSession.sparkContext.broadcast((model.params, model.table, model.bias))
+    names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches):
         p, table, bias = got.value
         for rb in batches:
-            raw, offs = utf8(rb.column("__text"))
-            s = [score_block(raw, offs[lo:hi + 1], p, table, bias) for lo, hi in blocks(offs)]
-            s = np.concatenate(s) if s else np.zeros(0)
-            cols = [rb.column(f"__k{i}") for i in range(len(keep))]
+            raw, offs = utf8(rb.column("text"))
+            s = np.concatenate([np.zeros(0)] + [score_block(raw, offs[lo:hi + 1], p, table, bias) for lo, hi in blocks(offs)])
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
-                names=[*keep, "score", "predicted"])
+                [*(rb.column(n) for n in names), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
+                names=[*names, "score", "predicted"])
 
-    given = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col("text").alias("__text"))
-    schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep],
+    given = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for c, n in zip(keep, names)],
                            T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return given.mapInArrow(run, schema)
 
 
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score (probability of label 1) and predicted for every row."""
+    return scored(docs, model, ["doc_id"]).withColumnRenamed("k0", "doc_id")
+
+
 def held_out(modulus: int = 3, remainder: int = 1):
     return (id_crc() % modulus) == remainder
 
@@ -238,4 +241,5 @@ def op4_quality_classifier(docs: DataFrame, labels: DataFrame, params: Params |
 def keep_good(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
     model = fit(docs, labels.where(~held_out()), params)
-    return score(docs, model, keep=docs.columns).where("predicted = 1").drop("score", "predicted")
+    good = scored(docs, model, docs.columns).where("predicted = 1")
+    return good.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
