@@ -245,8 +245,21 @@ class Tunables:
     # Groups of at most this many rows are collected by exact quantile search.
     quantile_collect_limit: int = 100_000
     quantile_buckets: int = 1024
+    # Rows per equal-depth bucket of exact ranks and prefix sums.
+    rank_rows: int = 1_000_000
     # Hour buckets used to bound velocity-window partitions.
     velocity_bucket_seconds: int = 3600
 
 
 TUNABLES = Tunables()
+
+
+# Labels of alerts that a model alone raised.
+MODEL_HIGH_AT = 0.85
+MODEL_HIGH = "MODEL_HIGH_FRAUD_RISK"
+MODEL_SUSPICIOUS = "MODEL_SUSPICIOUS_RISK"
+
+# Further required fields of the two sources, by column name.
+MONEY_REQUIRED = ["nameOrig", "oldbalanceOrg", "newbalanceOrig", "nameDest", "oldbalanceDest", "newbalanceDest",
+                  "isFlaggedFraud"]
+CARD_REQUIRED = ["TransactionDT"]

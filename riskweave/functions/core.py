@@ -50,3 +50,8 @@ def rnd(c, d: int = 0) -> Column:
         return F.round(c, 0)
     m = float(10 ** d)
     return F.round(c * m, 0) / m
+
+
+def nan_to_null(c: Column) -> Column:
+    """NaN counts as missing, as in a CSV read."""
+    return F.when(~F.isnan(c), c)

@@ -69,6 +69,11 @@ def alert_status(risk: Column) -> Column:
     return F.when(risk >= C.ALERT_BLOCK_AT, C.BLOCKED).otherwise(C.PENDING_OTP)
 
 
+def model_reason(probability: Column) -> Column:
+    """Label of an alert that a model alone raised (R13): high from 0.85 on, else suspicious."""
+    return F.when(probability >= C.MODEL_HIGH_AT, F.lit(C.MODEL_HIGH)).otherwise(F.lit(C.MODEL_SUSPICIOUS))
+
+
 def stream_flag(prediction: Column, probability: Column, rule_decision: Column,
                 rules: Column) -> tuple[Column, Column]:
     """Flag when the model says fraud or the rules block / ask for OTP, with reasons."""

@@ -9,18 +9,23 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import path_exists
+
 DRIFT_CHECKS = T.StructType([
     T.StructField("id", T.StringType(), False),
     T.StructField("timestamp", T.TimestampType(), False),
     T.StructField("check_type", T.StringType(), True),
     T.StructField("datasets", T.StringType(), True),
+    T.StructField("reference_dataset", T.StringType(), True),
+    T.StructField("current_dataset", T.StringType(), True),
+    T.StructField("fraud_rows", T.LongType(), True),
+    T.StructField("legit_rows", T.LongType(), True),
     T.StructField("f1_score", T.DoubleType(), True),
     T.StructField("accuracy", T.DoubleType(), True),
     T.StructField("precision", T.DoubleType(), True),
@@ -35,6 +40,7 @@ DRIFT_CHECKS = T.StructType([
     T.StructField("retrain_triggered", T.BooleanType(), True),
     T.StructField("retrain_reason", T.StringType(), True),
     T.StructField("report_path", T.StringType(), True),
+    T.StructField("error", T.StringType(), True),
 ])
 
 RETRAIN_EVENTS = T.StructType([
@@ -50,6 +56,10 @@ RETRAIN_EVENTS = T.StructType([
     T.StructField("backup_path", T.StringType(), True),
     T.StructField("metrics_before", T.StringType(), True),
     T.StructField("metrics_after", T.StringType(), True),
+    T.StructField("f1_before", T.DoubleType(), True),
+    T.StructField("f1_after", T.DoubleType(), True),
+    T.StructField("accuracy_after", T.DoubleType(), True),
+    T.StructField("auc_after", T.DoubleType(), True),
     T.StructField("success", T.BooleanType(), True),
     T.StructField("error", T.StringType(), True),
     T.StructField("duration_sec", T.DoubleType(), True),
@@ -68,7 +78,7 @@ SCHEMAS = {"drift_checks": DRIFT_CHECKS, "retrain_events": RETRAIN_EVENTS,
 
 
 def _path(root: str, table: str) -> str:
-    return os.path.join(root, table)
+    return f"{root.rstrip('/')}/{table}"
 
 
 def append(spark: SparkSession, root: str, table: str, row: dict) -> str:
@@ -90,7 +100,7 @@ def append(spark: SparkSession, root: str, table: str, row: dict) -> str:
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     p = _path(root, table)
     schema = T.StructType(SCHEMAS[table].fields + [T.StructField("day", T.DateType())])
-    if not os.path.exists(p):
+    if not path_exists(spark, p):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(p)
 

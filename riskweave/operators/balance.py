@@ -30,9 +30,29 @@ def split(df: DataFrame, key: str = "transaction_id", train_frac: float = 0.8,
     return df.withColumn("is_train", key_uniform(F.col(key), F.lit(seed)) < train_frac)
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Equal-depth buckets for exact ranks: one per ``rank_rows`` rows, at least 64 (edges stay a bounded array)."""
+    return min(10_000, max(64, -(-df.count() // C.TUNABLES.rank_rows)))
+
+
+def stratified_split(df: DataFrame, label: str = "is_fraud", key: str = "transaction_id",
+                     train_frac: float = 0.8, seed: str = "split") -> DataFrame:
+    """80/20 split inside each class (M1): the first 80 % of a class by key hash are ``is_train``."""
+    r = rank_within(df.withColumn("__u", key_uniform(F.col(key), F.lit(seed))), [label], "__u", key, "__rk")
+    size = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    out = r.join(F.broadcast(size), label)          # one row per class
+    return out.withColumn("is_train", F.col("__rk") < F.round(F.col("__n") * train_frac)) \
+              .select(*df.columns, "is_train")
+
+
 def rank_within(df: DataFrame, groups: list[str], order: str, tie: str,
-                out: str = "rk", buckets: int = 64) -> DataFrame:
-    """Exact 0-based rank by (order, tie) inside each group (see module doc)."""
+                out: str = "rk", buckets: int | None = None) -> DataFrame:
+    """Exact 0-based rank by (order, tie) inside each group (see module doc).
+
+    The number of buckets follows from the row count, so that a bucket holds
+    about ``C.TUNABLES.rank_rows`` rows whatever the size of the table.
+    """
+    buckets = buckets or bucket_count(df)
     probs = [i / buckets for i in range(1, buckets)]
     edges = df.groupBy(*groups).agg(F.percentile_approx(order, probs, 10000).alias("__edges"))
     # Edges and offsets have (groups x buckets) rows; groups here are classes

@@ -1,9 +1,10 @@
 """Population Stability Index and drift verdict.
 
-Both sides are stacked into one long (feature, side, value) relation; one
-aggregate gives the joint min / max per feature, a second gives per-bin
-counts for both sides as conditional sums (one row per feature, no join
-between reference and current).
+Both sides stay wide: one aggregate gives every feature's joint minimum and
+maximum, a second the counts of all features, bins and sides as conditional
+counts; the result, one row, is then unfolded to one row per feature.  A value
+belongs to the bin of the last edge it reaches (edges: minimum + i * width,
+the last bin closed).  NaN counts as missing.
 """
 
 from __future__ import annotations
@@ -12,36 +13,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.core import rnd
-
-
-def _long(df: DataFrame, features: list[str], side: str) -> DataFrame:
-    pairs = [F.struct(F.lit(f).alias("feature"), F.lit(i).alias("fidx"),
-                      F.col(f"`{f}`").cast("double").alias("x")) for i, f in enumerate(features)]
-    return df.select(F.lit(side).alias("side"), F.inline(F.array(*pairs)))
+from ..functions.core import nan_to_null, rnd
 
 
 def bin_counts(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
                bins: int = C.PSI_BINS) -> DataFrame:
     """Per feature: joint min / max and per-bin counts for both sides.
 
-    Equal-width bins over the joint range, the last bin closed; a constant
-    feature puts everything in bin 0.  One row per feature."""
+    A constant feature puts everything in bin 0.  One row per feature."""
     features = features or [f for f in C.FEATURES if f in reference.columns and f in current.columns]
-    long = _long(reference, features, "ref").unionByName(_long(current, features, "cur"))
-    rng = long.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    # The range table has one row per feature (a bounded, fixed list).
-    j = long.join(F.broadcast(rng), "feature")
-    width = F.col("hi") - F.col("lo")
-    b = F.least(F.floor((F.col("x") - F.col("lo")) / width * bins), F.lit(bins - 1)).cast("int")
-    j = j.withColumn("bin", F.when(width > 0, b).otherwise(F.lit(0)))
-    aggs = [F.count_if(F.col("side") == "ref").alias("n_ref"),
-            F.count_if(F.col("side") == "cur").alias("n_cur"),
-            F.first("lo").alias("lo"), F.first("hi").alias("hi")]
-    for i in range(bins):
-        aggs += [F.count_if((F.col("side") == "ref") & (F.col("bin") == i)).alias(f"r{i}"),
-                 F.count_if((F.col("side") == "cur") & (F.col("bin") == i)).alias(f"c{i}")]
-    return j.groupBy("feature", "fidx").agg(*aggs)
+    side = lambda df, name: df.select(F.lit(name).alias("side"), *[
+        nan_to_null(F.col(f"`{f}`").cast("double")).alias(f"x{i}") for i, f in enumerate(features)])
+    both = side(reference, "ref").unionByName(side(current, "cur"))
+    n = range(len(features))
+    rng = both.agg(F.struct(*[e for i in n for e in (F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"))])).scalar()
+    b = both.select("*", rng.alias("rng"))
+    at = []
+    for i in n:
+        x, lo, hi = F.col(f"x{i}"), F.col(f"rng.lo{i}"), F.col(f"rng.hi{i}")
+        step = (hi - lo) / bins
+        place = sum(((x >= lo + F.lit(float(j)) * step).cast("int") for j in range(1, bins)), F.lit(0))
+        at.append(F.when(x.isNotNull(), F.when(hi > lo, place).otherwise(0)).alias(f"b{i}"))
+    b = b.select("side", "rng", *at)
+    ref, cur = F.col("side") == "ref", F.col("side") == "cur"
+    aggs = [F.first("rng").alias("rng")]
+    for i in n:
+        got = F.col(f"b{i}")
+        aggs += [F.count_if(ref & got.isNotNull()).alias(f"nr{i}"), F.count_if(cur & got.isNotNull()).alias(f"nc{i}")]
+        for j in range(bins):
+            aggs += [F.count_if(ref & (got == j)).alias(f"r{i}_{j}"), F.count_if(cur & (got == j)).alias(f"c{i}_{j}")]
+    rows = [F.struct(F.lit(f).alias("feature"), F.lit(i).alias("fidx"), F.col(f"nr{i}").alias("n_ref"),
+                     F.col(f"nc{i}").alias("n_cur"), F.col(f"rng.lo{i}").alias("lo"), F.col(f"rng.hi{i}").alias("hi"),
+                     *[e for j in range(bins) for e in (F.col(f"r{i}_{j}").alias(f"r{j}"), F.col(f"c{i}_{j}").alias(f"c{j}"))])
+            for i, f in enumerate(features)]
+    return b.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
 def psi(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
@@ -79,6 +84,34 @@ def chi2(reference: DataFrame, current: DataFrame, features: list[str] | None =
                     F.greatest(dof - 1, F.lit(0)).alias("dof"))
 
 
+def missing_summary(reference: DataFrame, current: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """Missing values (NULL or NaN) per feature on both sides, one aggregate each."""
+    features = features or [f for f in C.FEATURES if f in reference.columns and f in current.columns]
+
+    def side(df, name):
+        aggs = [F.count_if(nan_to_null(F.col(f"`{f}`").cast("double")).isNull()).alias(f"m{i}") for i, f in enumerate(features)]
+        one = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
+        return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col("rows").alias(f"{name}_rows"),
+                                                      F.col(f"m{i}").alias(f"{name}_missing"))
+                                             for i, f in enumerate(features)])))
+    return side(reference, "reference").join(side(current, "current"), "feature")
+
+
+def chi2_test(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """p-value and verdict of ``chi2`` rows (A16), by the Wilson-Hilferty normal approximation.
+
+    The survival function of the normal is evaluated with a rational
+    approximation (absolute error below 1e-7).
+    """
+    k = F.greatest(F.col("dof"), F.lit(1)).cast("double")
+    z = (F.pow(F.col("chi2") / k, F.lit(1.0 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.exp(-z * z / 2) / 2.5066282746310002 * poly
+    p = F.when(F.col("dof") <= 0, F.lit(1.0)).when(z >= 0, upper).otherwise(1 - upper)
+    return stats.withColumn("p_value", rnd(p, 6)).withColumn("drifted", p < alpha)
+
+
 def drift_verdict(psi_df: DataFrame, n_features: int = len(C.FEATURES)) -> DataFrame:
     """Share of drifted features over all listed features; drift when >= 0.30."""
     drifted = F.filter(F.array_sort(F.collect_list(F.struct("fidx", "feature", "drifted"))),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import rnd, safe_ratio
+from .balance import bucket_count
 
 
 def confusion(df: DataFrame, label: str = "is_fraud", pred: str = "prediction") -> DataFrame:
@@ -62,7 +63,7 @@ def score_counts(df: DataFrame, score: str = "probability", label: str = "is_fra
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def prefix_sums(df: DataFrame, order: str, cols: list[str], buckets: int = 256) -> DataFrame:
+def prefix_sums(df: DataFrame, order: str, cols: list[str], buckets: int | None = None) -> DataFrame:
     """Add ``<c>_before``: sum of ``c`` over rows with a strictly smaller ``order``.
 
     ``order`` must be unique per row (e.g. a distinct-score table).  Rows are
@@ -70,6 +71,7 @@ def prefix_sums(df: DataFrame, order: str, cols: list[str], buckets: int = 256)
     from one aggregate, fetched once); each bucket runs its own window, and each bucket's
     offset comes from a table of at most ``buckets + 1`` rows.
     """
+    buckets = buckets or bucket_count(df)
     probs = [i / buckets for i in range(1, buckets)]
     # Bucket edges: one aggregate whose result is a bounded array (buckets - 1 values).
     edges = df.agg(F.percentile_approx(order, probs, 10000)).first()[0] or []

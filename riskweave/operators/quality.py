@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.core import lookup, rnd
+from ..functions.core import lookup, nan_to_null, rnd
 from ..functions.scoring import one_hot
 from .stats import exact_median, min_max_scale, mode_value
 
@@ -17,7 +17,7 @@ def align_money(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.concat(F.lit("PAYSIM_"), F.col("step").cast("string"), F.lit("_"),
                  F.col("order_key").cast("string")).alias("transaction_id"),
-        F.col("amount").cast("double").alias("amount"),
+        nan_to_null(F.col("amount").cast("double")).alias("amount"),
         F.col("isFraud").cast("int").alias("is_fraud"),
         F.col("type").alias("channel"),
         F.lit("PaySim").alias("source_dataset"))
@@ -27,7 +27,7 @@ def align_card(raw: DataFrame) -> DataFrame:
     """Card rows -> common schema with product-code recode and default."""
     return raw.select(
         F.concat(F.lit("IEEE_"), F.col("TransactionID").cast("string")).alias("transaction_id"),
-        F.col("TransactionAmt").cast("double").alias("amount"),
+        nan_to_null(F.col("TransactionAmt").cast("double")).alias("amount"),
         F.col("isFraud").cast("int").alias("is_fraud"),
         lookup(F.col("ProductCD"), C.PRODUCT_CHANNEL, C.CARD_OTHER).alias("channel"),
         F.lit("IEEE-CIS").alias("source_dataset"))
@@ -40,9 +40,15 @@ def merge_sources(money: DataFrame, card: DataFrame) -> DataFrame:
 
 # --- validation -----------------------------------------------------------
 
-def money_checks() -> list[tuple[str, Column]]:
-    amt = F.col("amount")
-    return [
+def _required(columns, fields) -> list[tuple[str, Column]]:
+    """Missing-value checks of the other required fields that the table has."""
+    return [(f"{f}_required", F.col(f"`{f}`").isNull()) for f in fields if columns is not None and f in columns]
+
+
+def money_checks(columns: list[str] | None = None) -> list[tuple[str, Column]]:
+    """Checks of the mobile-money source; ``columns``: those of the table, for the fields not all tables carry."""
+    amt = nan_to_null(F.col("amount").cast("double"))
+    return _required(columns, C.MONEY_REQUIRED) + [
         ("step_required", F.col("step").isNull()),
         ("type_required", F.col("type").isNull()),
         ("amount_required", amt.isNull()),
@@ -51,9 +57,10 @@ def money_checks() -> list[tuple[str, Column]]:
     ]
 
 
-def card_checks() -> list[tuple[str, Column]]:
-    amt = F.col("TransactionAmt")
-    return [
+def card_checks(columns: list[str] | None = None) -> list[tuple[str, Column]]:
+    """Checks of the card source; ``columns`` as for the mobile-money source."""
+    amt = nan_to_null(F.col("TransactionAmt").cast("double"))
+    return _required(columns, C.CARD_REQUIRED) + [
         ("id_required", F.col("TransactionID").isNull()),
         ("amount_required", amt.isNull()),
         ("amount_negative", amt < 0),
@@ -125,7 +132,7 @@ def impute(df: DataFrame, numeric: list[str] = ("amount",),
     for c in numeric:
         med = exact_median(df, c)
         if med is not None:
-            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(med)))
+            out = out.withColumn(c, F.coalesce(nan_to_null(F.col(c)), F.lit(med)))
     for c in categorical:
         out = out.withColumn(c, F.coalesce(F.col(c), mode_value(df, c)))
     return out

@@ -10,10 +10,13 @@ the middle value, or the mean of the two middle values.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.core import nan_to_null
 
 
 def _non_null(df: DataFrame, col: str) -> DataFrame:
@@ -21,36 +24,50 @@ def _non_null(df: DataFrame, col: str) -> DataFrame:
         F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def _values_at_ranks(x: DataFrame, st, k1: int, k2: int, collect_limit: int,
-                     buckets: int) -> tuple[float, float]:
-    """Values at 0-based ranks k1 <= k2 of the sorted column ``x``."""
-    lo, hi, below, inside = st["lo"], st["hi"], 0, st["n"]
-    for _ in range(16):
-        if lo == hi:
-            return float(lo), float(lo)
-        if inside <= collect_limit:
-            break
+def _value_at_rank(x: DataFrame, st, k: int, collect_limit: int, buckets: int) -> float:
+    """Value at 0-based rank ``k`` of the sorted column ``x``.
+
+    Infinite values are counted apart.  Each pass cuts the bracket to the one
+    histogram bucket that holds the rank, with the smallest and largest value
+    in it as new ends; both ends lie in different buckets as long as they
+    differ, so the bracket shrinks until it is one value or small enough.
+    """
+    if k < st["neg"]:
+        return -math.inf
+    if k >= st["n"] - st["pos"]:
+        return math.inf
+    lo, hi, below, inside = st["lo"], st["hi"], st["neg"], st["n"] - st["neg"] - st["pos"]
+    while lo < hi and inside > collect_limit:
         cur = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(hi - lo) * buckets),
-                    F.lit(buckets - 1)).alias("b")
-        hist = sorted(cur.groupBy(b).agg(F.count("x").alias("c"), F.min("x").alias("mn"),
-                                         F.max("x").alias("mx")).collect(), key=lambda r: r["b"])
-        acc, b1, b2, new_below = below, None, None, below
+        part = (F.col("x") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+        b = F.greatest(F.lit(0), F.least(F.floor(part * buckets), F.lit(buckets - 1)))
+        # the ends keep buckets of their own even if rounding puts them together
+        b = F.when(F.col("x") == hi, F.lit(buckets)).when(F.col("x") == lo, F.lit(-1)).otherwise(b)
+        hist = sorted(cur.groupBy(b.alias("b")).agg(F.count("x").alias("c"), F.min("x").alias("mn"),
+                                                    F.max("x").alias("mx")).collect(), key=lambda r: r["b"])
         for r in hist:
-            if b1 is None and acc + r["c"] > k1:
-                b1, new_below = r, acc
-            if b2 is None and acc + r["c"] > k2:
-                b2 = r
-            acc += r["c"]
-        lo, hi = b1["mn"], b2["mx"]
-        inside = sum(r["c"] for r in hist if b1["b"] <= r["b"] <= b2["b"])
-        below = new_below
+            if below + r["c"] > k:
+                lo, hi, inside = r["mn"], r["mx"], r["c"]
+                break
+            below += r["c"]
+    if lo == hi:
+        return float(lo)
     vals = sorted(r[0] for r in x.where((F.col("x") >= lo) & (F.col("x") <= hi)).collect())
-    return vals[k1 - below], vals[k2 - below]
+    return vals[k - below]
+
+
+def _values_at_ranks(x: DataFrame, st, k1: int, k2: int, collect_limit: int,
+                     buckets: int) -> tuple[float, float]:
+    """Values at 0-based ranks k1 <= k2, searched one by one (they may lie far apart)."""
+    a = _value_at_rank(x, st, k1, collect_limit, buckets)
+    return a, a if k1 == k2 else _value_at_rank(x, st, k2, collect_limit, buckets)
 
 
 def _stats(x: DataFrame):
-    return x.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    inf = F.lit(math.inf)
+    fin = F.when(F.abs("x") < inf, F.col("x"))
+    return x.agg(F.count("x").alias("n"), F.min(fin).alias("lo"), F.max(fin).alias("hi"),
+                 F.count_if(F.col("x") == -inf).alias("neg"), F.count_if(F.col("x") == inf).alias("pos")).first()
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, collect_limit: int | None = None,
@@ -66,7 +83,7 @@ def exact_quantile(df: DataFrame, col: str, q: float, collect_limit: int | None
     k2 = min(k1 + 1, n - 1)
     a, b = _values_at_ranks(x, st, k1, k2, collect_limit or C.TUNABLES.quantile_collect_limit,
                             buckets or C.TUNABLES.quantile_buckets)
-    return a + (b - a) * (h - k1)
+    return a if a == b else a + (b - a) * (h - k1)
 
 
 def exact_median(df: DataFrame, col: str, collect_limit: int | None = None,
@@ -80,7 +97,7 @@ def exact_median(df: DataFrame, col: str, collect_limit: int | None = None,
     a, b = _values_at_ranks(x, st, (n - 1) // 2, n // 2,
                             collect_limit or C.TUNABLES.quantile_collect_limit,
                             buckets or C.TUNABLES.quantile_buckets)
-    return (a + b) / 2.0
+    return a if a == b else a / 2.0 + b / 2.0
 
 
 def mode_value(df: DataFrame, col: str) -> Column:
@@ -96,6 +113,7 @@ def mode_value(df: DataFrame, col: str) -> Column:
 def min_max_scale(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """(x - min) / (max - min); a constant column becomes 0.0."""
     out = out or col
+    df = df.withColumn(col, nan_to_null(F.col(f"`{col}`"))) if dict(df.dtypes)[col] in ("float", "double") else df
     st = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
     # Bind the subquery once; the scaling expression references the columns.
     b = df.select("*", st.alias("__st")).select(

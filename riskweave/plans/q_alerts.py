@@ -74,20 +74,20 @@ FROM (SELECT *, ({C.LOGODDS_BASE} + {_total}) AS log_odds, list_sort({_ENTRIES})
             FROM (SELECT *, {_MCH} AS mch FROM ({_RULED}) r0) r1) r2) r3
 """
 
-_FLAGGED = "(probability >= 0.5 OR rule_decision IN ('BLOCKED', 'PENDING_OTP'))"
+_FLAGGED = "(round(probability, 4) >= 0.5 OR rule_decision IN ('BLOCKED', 'PENDING_OTP'))"
 _RISK = "greatest(model_probability, rule_risk_score)"
 
 ALERTS_SQL = f"""
-SELECT 'ALT' || upper(substr(sha256(transaction_id), 1, 10)) AS alert_id,
+SELECT 'ALT' || upper(sha256(transaction_id)) AS alert_id,
        transaction_id, amount, channel, location, round(probability, 4) AS model_probability,
        rule_risk_score, triggered_rules,
-       list_concat(CASE WHEN probability >= 0.5
-                        THEN [printf('Model Probability: %.1f%%', round(probability * 100, 1))]
+       list_concat(CASE WHEN round(probability, 4) >= 0.5
+                        THEN [printf('Model Probability: %.1f%%', round(round(probability, 4) * 100, 1))]
                         ELSE []::VARCHAR[] END,
                    CASE WHEN rule_decision IN ('BLOCKED', 'PENDING_OTP')
                         THEN triggered_rules ELSE []::VARCHAR[] END) AS flagged_reasons,
        scoring_latency_ms, ts AS "timestamp",
-       CASE WHEN greatest(probability, rule_risk_score) >= {C.ALERT_BLOCK_AT}
+       CASE WHEN greatest(round(probability, 4), rule_risk_score) >= {C.ALERT_BLOCK_AT}
             THEN 'BLOCKED' ELSE 'PENDING_OTP' END AS status,
        entries, event_id, beneficiary
 FROM ({SCORED_SQL}) s WHERE {_FLAGGED}
@@ -165,8 +165,8 @@ def top_reasons(spark, sf):
 
 def _line_sql(i: int) -> str:
     e = f"entries[{i}]"
-    return (f"printf('  %d. %s (%s%.4f)', {i}, {_PRETTY.format(x=e + '.feature')}, "
-            f"CASE WHEN {e}.value > 0 THEN '+' ELSE '-' END, abs({e}.value))")
+    return (f"printf('  %d. %s (%s%.3f)', {i}, {_PRETTY.format(x=e + '.feature')}, "
+            f"CASE WHEN {e}.value > 0 THEN '+' ELSE '-' END, round(abs({e}.value), 3))")
 
 
 # Every row carries all 13 contributions, so the top three always exist.
@@ -179,7 +179,7 @@ SELECT alert_id, transaction_id, 'sms' AS channel,
        || 'Amount: NGN ' || format('{{:,.0f}}', amount) || chr(10)
        || 'Channel: ' || channel || ' | ' || location || chr(10)
        || 'Time: ' || strftime("timestamp", '%Y-%m-%d %H:%M') || chr(10)
-       || 'Confidence: ' || printf('%.2f%%', round(greatest(model_probability, rule_risk_score) * 100, 2)) || chr(10)
+       || 'Confidence: ' || printf('%.1f%%', round(greatest(model_probability, rule_risk_score) * 100, 1)) || chr(10)
        || 'Top Risk Factors:' || chr(10) || {_LINES} || chr(10)
        || '-- Auto-blocked by {A.BRAND} --' AS message,
        'QUEUED' AS delivery_status
@@ -195,33 +195,26 @@ SELECT feature, mean_abs, mean_signed,
 FROM (SELECT e.feature AS feature, round(avg(abs(e.value)), 6) AS mean_abs, round(avg(e.value), 6) AS mean_signed
       FROM (SELECT unnest(entries) AS e FROM ({SCORED_SQL}) s) t GROUP BY e.feature) g""")
 def importance(spark, sf):
-    s = scored_tx(spark, sf)
-    # One aggregate with two columns per feature; no per-feature explode.
-    m = F.col("contributions")
-    aggs = []
-    for i, n in enumerate(C.FEATURES):
-        aggs += [rnd(F.avg(F.abs(m[n])), 6).alias(f"a{i}"), rnd(F.avg(m[n]), 6).alias(f"s{i}")]
-    one = s.agg(*aggs)
-    long = one.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("feature"), F.col(f"a{i}").alias("mean_abs"), F.col(f"s{i}").alias("mean_signed"))
-        for i, n in enumerate(C.FEATURES)])))
-    from pyspark.sql import Window
-    return long.select("feature", "mean_abs", "mean_signed",
-                       F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature")).alias("rank"))
+    return A.importance(scored_tx(spark, sf))
 
 
 @register("waterfall", f"""
+WITH g AS (SELECT alert_id, CASE WHEN i <= 8 THEN i ELSE 9 END AS step,
+                  CASE WHEN i <= 8 THEN e.feature ELSE 'OTHER' END AS feature,
+                  sum(CAST(e.value AS DECIMAL(18,6))) AS contribution
+           FROM (SELECT alert_id, unnest(entries) AS e, unnest(range(1, len(entries) + 1)) AS i
+                 FROM ({ALERTS_SQL}) a) t
+           GROUP BY ALL),
+t AS (SELECT alert_id, CAST({C.LOGODDS_BASE} AS DECIMAL(18,6)) + sum(contribution) AS total FROM g GROUP BY alert_id)
 SELECT alert_id, CAST(step AS INTEGER) AS step, feature, CAST(contribution AS DOUBLE) AS contribution,
        CAST(CAST({C.LOGODDS_BASE} AS DECIMAL(18,6))
             + sum(contribution) OVER (PARTITION BY alert_id ORDER BY step
-                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
-         AS running_log_odds
-FROM (SELECT alert_id, CASE WHEN i <= 8 THEN i ELSE 9 END AS step,
-             CASE WHEN i <= 8 THEN e.feature ELSE 'OTHER' END AS feature,
-             sum(CAST(e.value AS DECIMAL(18,6))) AS contribution
-      FROM (SELECT alert_id, unnest(entries) AS e, unnest(range(1, len(entries) + 1)) AS i
-            FROM ({ALERTS_SQL}) a) t
-      GROUP BY ALL) g""")
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running_log_odds,
+       CAST(NULL AS DOUBLE) AS probability
+FROM g
+UNION ALL SELECT alert_id, 0, 'BASE', {C.LOGODDS_BASE}, {C.LOGODDS_BASE}, NULL FROM t
+UNION ALL SELECT alert_id, 10, 'TOTAL', CAST(total AS DOUBLE), CAST(total AS DOUBLE),
+                 round(1.0 / (1.0 + exp(-CAST(total AS DOUBLE))), 6) FROM t""")
 def waterfall(spark, sf):
     return A.waterfall(alerts_df(spark, sf))
 
@@ -277,10 +270,7 @@ def geo_incidents(spark, sf):
 SELECT beneficiary, count(*) AS flagged, CAST(sum(CAST(amount AS DECIMAL(20,2))) AS DOUBLE) AS amount
 FROM ({ALERTS_SQL}) a GROUP BY beneficiary ORDER BY flagged DESC, beneficiary LIMIT 10""")
 def top_beneficiaries(spark, sf):
-    s = scored_tx(spark, sf)
-    flagged = A.build_alerts(s).select("transaction_id").join(
-        s.select("transaction_id", "beneficiary", "amount"), "transaction_id")
-    return RP.top_counts(flagged, "beneficiary", 10)
+    return RP.top_counts(A.build_alerts(scored_tx(spark, sf), ["beneficiary"]), "beneficiary", 10)
 
 
 @register("daily_trend", f"""

@@ -142,7 +142,7 @@ WITH l AS ({long}),
 rng AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY feature),
 b AS (SELECT l.*, rng.lo, rng.hi,
              CASE WHEN rng.hi - rng.lo > 0
-                  THEN CAST(least(floor((x - rng.lo) / (rng.hi - rng.lo) * {bins}), {bins - 1}) AS INTEGER)
+                  THEN {' + '.join(f"CAST(x >= rng.lo + {float(j)} * ((rng.hi - rng.lo) / {bins}) AS INTEGER)" for j in range(1, bins))}
                   ELSE 0 END AS bin
       FROM l JOIN rng USING (feature)),
 g AS (SELECT feature, fidx, count(*) FILTER (WHERE side = 'ref') AS n_ref,

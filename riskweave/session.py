@@ -62,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="riskweave-ckpt-")
         sc.setCheckpointDir(d)
     elif not sc.getCheckpointDir():
@@ -69,10 +71,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediates."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, asked of the file system that holds it (local, HDFS or an object store)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+from ..session import path_exists
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -26,9 +26,10 @@ def append_alert_log(alerts: DataFrame, path: str) -> None:
 
 
 def first_existing(*paths: str) -> str:
-    """Preferred path, else the fallback (S11); resolved before reading."""
+    """Preferred path, else the fallback (S11); asked of each path's own file system."""
+    spark = SparkSession.builder.getOrCreate()
     for p in paths:
-        if p and os.path.exists(p):
+        if p and path_exists(spark, p):
             return p
     raise FileNotFoundError(f"none of {paths} exists")
 

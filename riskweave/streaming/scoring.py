@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -53,15 +54,21 @@ def to_kafka_value(df: DataFrame, key: str = "transaction_id") -> DataFrame:
 
 
 def score_events(events: DataFrame, velocity_threshold: int = C.MAX_TX_PER_HOUR,
-                 watermark: str | None = "1 hour", dedup: bool = True, scorer="rules") -> DataFrame:
-    """Stateless scoring (G2) plus optional bounded de-duplication by id.
+                 scorer="rules", explain_model=None) -> DataFrame:
+    """Stateless scoring (G2): every event is scored, however late it comes.
+
+    A transaction that is delivered again gets the same alert id, so repeats
+    meet in ``latest_alerts``; within a micro-batch they are dropped (X6).
 
     ``scorer``: a fitted ``PipelineModel`` over the 13 serving features; or
     "rules" (no model: the probability is the rule score, as the stream does
     without a model); or "additive" (the additive log-odds scorer, with
     per-feature contributions).  ISO-8601 text timestamps are parsed; an
     unparsable one stays NULL, never fires the night rule, and the row is
-    tagged ``BAD_TIMESTAMP``."""
+    tagged ``BAD_TIMESTAMP``.
+
+    Rows scored by a model carry contributions too: those of the additive
+    scorer, or of ``explain_model`` (feature columns -> map column)."""
     # Missing event fields become NULL, so the rule defaults apply to them.
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields
                if f.name not in events.columns]
@@ -69,10 +76,6 @@ def score_events(events: DataFrame, velocity_threshold: int = C.MAX_TX_PER_HOUR,
     ev = ev.withColumn("ts_status", F.when(to_ts(F.col("ts")).isNull(), F.lit("BAD_TIMESTAMP"))
                                          .otherwise(F.lit("OK")))
     ev = ev.withColumn("ts", to_ts(F.col("ts")).cast("timestamp"))
-    if watermark:
-        ev = ev.withWatermark("ts", watermark)
-        if dedup:
-            ev = ev.dropDuplicatesWithinWatermark(["transaction_id"])
     ruled = risk.apply_rules(ev, velocity_threshold)
     fmap = S.event_feature_map(F.col("amount"), F.col("channel"))
     if scorer == "additive":
@@ -95,11 +98,12 @@ def score_events(events: DataFrame, velocity_threshold: int = C.MAX_TX_PER_HOUR,
     with_feats = raw.select("*", *[fm[f].cast("double").alias(safe[f]) for f in C.FEATURES])
     out = scorer.transform(with_feats)
     prob = rnd(vector_to_array(F.col("probability"))[1], 4)
+    contribs = S.contributions_map(S.logodds_contributions(fm)) if explain_model is None else explain_model(fm)
     keep = [F.col("__raw_amount").alias("amount") if c == "amount" else F.col(f"`{c}`")
             for c in ruled.columns]
     return out.select(*keep, prob.alias("probability"),
                       F.when(prob >= 0.5, 1).otherwise(0).alias("prediction"),
-                      empty.alias("contributions"))
+                      contribs.alias("contributions"))
 
 
 def _write(df: DataFrame, root: str, name: str, batch_id: int) -> None:
@@ -113,7 +117,7 @@ def batch_writer(out_root: str, notify_at: float = C.NOTIFY_AT):
         scored = batch.withColumn(
             "e2e_latency_ms",
             F.when(F.col("produce_time").isNotNull(), (sink_time - F.col("produce_time")) * 1000.0))
-        scored = scored.persist()
+        scored = scored.dropDuplicates(["transaction_id"]).persist()
         try:
             _write(scored.drop("contributions"), out_root, "scored", batch_id)
             alerts = A.build_alerts(scored)
@@ -124,6 +128,19 @@ def batch_writer(out_root: str, notify_at: float = C.NOTIFY_AT):
     return handle
 
 
+def latest_alerts(spark: SparkSession, out_root: str) -> DataFrame:
+    """One row per alert id over all micro-batches: the one of the first batch that raised it."""
+    a = spark.read.parquet(os.path.join(out_root, "alerts"))
+    first = a.groupBy("alert_id").agg(F.min("batch").alias("batch"))
+    return a.join(first, ["alert_id", "batch"]).drop("batch")
+
+
+def write_alerts_topic(alerts: DataFrame, servers: str, topic: str) -> None:
+    """Alerts topic writer (S6): key and JSON value through the Kafka connector."""
+    to_kafka_value(alerts, "alert_id").write.format("kafka").option("kafka.bootstrap.servers", servers) \
+        .option("topic", topic).save()
+
+
 def start_scoring(events: DataFrame, out_root: str, checkpoint: str,
                   available_now: bool = True, interval: str = "5 seconds",
                   velocity_threshold: int = C.MAX_TX_PER_HOUR, scorer="rules"):
@@ -156,35 +173,29 @@ def _velocity_fn(window_us: int):
             # Nothing arrived for a full window past the watermark: drop the key.
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
-        outs = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "transaction_id"])
-            t_us = (pdf["ts"].astype("int64") // 1000).tolist()
-            counts = []
-            for t in t_us:
-                lo = t - window_us
-                times = [x for x in times if x >= lo]
-                counts.append(len(times))
-                times.append(t)
-            outs.append(pd.DataFrame({"transaction_id": pdf["transaction_id"].values,
-                                      "sender": pdf["sender"].values, "ts": pdf["ts"].values,
-                                      "tx_count_last_hour": pd.Series(counts, dtype="int32")}))
-        # Only the last hour is kept: state per sender is bounded by its
-        # activity in one window, not by its history.
-        if times:
-            state.update((times,))
-            state.setTimeoutTimestamp(max(times) // 1000 + window_us // 1000)
-        for o in outs:
-            yield o
+        new = pd.concat(list(pdfs), ignore_index=True)
+        t = (new["ts"].astype("datetime64[us]").astype("int64")).to_numpy()
+        old = np.array(state.get[0] if state.exists else [], dtype=np.int64)
+        known = np.sort(np.concatenate([old, t]))
+        # All rows of the micro-batch count, whatever their order; a row at the same time counts, itself not.
+        count = np.searchsorted(known, t, side="right") - np.searchsorted(known, t - window_us, side="left") - 1
+        last = int(known[-1])
+        # Only one window is kept: state per sender is bounded by its activity in it.
+        state.update((known[known >= last - window_us].tolist(),))
+        state.setTimeoutTimestamp(last // 1000 + window_us // 1000)
+        yield pd.DataFrame({"transaction_id": new["transaction_id"], "sender": new["sender"], "ts": new["ts"],
+                            "tx_count_last_hour": pd.Series(count, dtype="int32")})
     return fn
 
 
 def stream_velocity(events: DataFrame, seconds: int = 3600, watermark: str = "1 hour") -> DataFrame:
     """Exact prior-transaction count per sender over the last ``seconds``.
 
-    Events are assumed to arrive in time order per sender within the
-    watermark; state holds only the sender's timestamps inside the window.
+    Counts what has arrived up to and including the row's micro-batch, in any
+    order; state holds the sender's times in the window before its newest.
+    Lateness rule: a row that comes after later micro-batches of its sender is
+    counted against what is still in the state, and rows behind the watermark
+    are not seen by this stateful query (scoring itself sees them all).
     """
     ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return ev.select("transaction_id", "sender", "ts").groupBy("sender").applyInPandasWithState(

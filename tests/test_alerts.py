@@ -39,7 +39,7 @@ def test_waterfall_ends_at_log_odds(spark):
     lo = scored.select(A.alert_id(F.col("transaction_id")).alias("alert_id"), "log_odds")
     j = last.join(lo, "alert_id").select(F.max(F.abs(F.col("running_log_odds") - F.col("log_odds"))).alias("e"))
     assert j.first().e < 1e-9
-    assert wf.groupBy("alert_id").count().where("count <> 9").count() == 0
+    assert wf.groupBy("alert_id").count().where("count <> 11").count() == 0
 
 
 def test_outbox_message_shape(spark):

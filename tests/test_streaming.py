@@ -75,7 +75,7 @@ def test_stream_velocity_matches_batch(spark, scratch):
     assert got == want
 
 
-def test_late_rows_dropped_and_alert_log(spark, scratch):
+def test_late_rows_are_scored_and_alert_log(spark, scratch):
     from riskweave.operators.reports import recent
     from riskweave.sources.sinks import append_alert_log
     from riskweave.sources.tables import read_alert_log
@@ -84,17 +84,21 @@ def test_late_rows_dropped_and_alert_log(spark, scratch):
     q = ST.start_scoring(ST.event_stream(spark, path), out, ck)
     q.awaitTermination(300)
     n0 = spark.read.parquet(os.path.join(out, "scored")).count()
-    # A replayed old event (far behind the watermark) arrives later: dropped.
-    old = spark.read.json(path, schema=EVENT_SCHEMA).orderBy("ts").limit(1) \
-               .withColumn("transaction_id", F.lit("TXN_LATE"))
-    old.coalesce(1).write.mode("append").json(path)
+    a0 = ST.latest_alerts(spark, out).count()
+    # An old event arrives long after newer ones, and known ones are delivered again.
+    events = spark.read.json(path, schema=EVENT_SCHEMA)
+    old = events.orderBy("ts").limit(1).withColumn("transaction_id", F.lit("TXN_LATE"))
+    again = events.orderBy(F.desc("ts")).limit(40)
+    old.union(again).coalesce(1).write.mode("append").json(path)
     q2 = ST.start_scoring(ST.event_stream(spark, path), out, ck)
     q2.awaitTermination(300)
     scored = spark.read.parquet(os.path.join(out, "scored"))
-    assert scored.count() == n0
-    assert scored.where(F.col("transaction_id") == "TXN_LATE").count() == 0
+    assert scored.count() == n0 + 41
+    assert scored.where(F.col("transaction_id") == "TXN_LATE").count() == 1
+    late_alert = spark.read.parquet(os.path.join(out, "alerts")).where(F.col("transaction_id") == "TXN_LATE").count()
+    assert ST.latest_alerts(spark, out).count() == a0 + late_alert
     # Alert log sink / source round trip and the recent-alerts view.
-    alerts = spark.read.parquet(os.path.join(out, "alerts"))
+    alerts = ST.latest_alerts(spark, out)
     log = os.path.join(scratch, "alert_log")
     append_alert_log(alerts.drop("flagged_reasons"), log)
     back = read_alert_log(spark, log)
@@ -120,7 +124,7 @@ def test_stream_daily_ussd_matches_batch(spark, scratch):
 def test_text_timestamps(spark):
     rows = [("a", "2024-01-10T23:30:00", 600000.0), ("b", "not a time", 600000.0)]
     df = spark.createDataFrame(rows, "transaction_id string, ts string, amount double")
-    out = ST.score_events(df, watermark=None).select("transaction_id", "ts_status", "triggered_rules")
+    out = ST.score_events(df).select("transaction_id", "ts_status", "triggered_rules")
     got = {r.transaction_id: (r.ts_status, list(r.triggered_rules)) for r in out.collect()}
     assert got["a"] == ("OK", ["NIGHT_WINDOW_LARGE_TRANSFER"])
     assert got["b"] == ("BAD_TIMESTAMP", [])
@@ -132,11 +136,11 @@ def test_stream_scorers(spark, scratch):
     from riskweave import config as C
     from riskweave.operators import models as MD
     tx = V.transactions(spark, SF)
-    rows = ST.score_events(tx.limit(50), watermark=None).collect()
+    rows = ST.score_events(tx.limit(50)).collect()
     assert all(r.probability == r.rule_risk_score and r.prediction == int(r.rule_risk_score >= 0.5)
                and r.contributions == {} for r in rows)
     fm = S.event_feature_map(F.col("amount"), F.col("channel"))
     train = tx.select("transaction_id", "is_fraud", *[fm[f].cast("double").alias(f) for f in C.FEATURES])
     model = MD.fit(train, "lr", params={"maxIter": 10})
-    scored = ST.score_events(tx.limit(50), watermark=None, scorer=model).collect()
+    scored = ST.score_events(tx.limit(50), scorer=model).collect()
     assert all(0.0 <= r.probability <= 1.0 for r in scored) and len(scored) == 50
