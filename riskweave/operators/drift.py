@@ -1,8 +1,8 @@
 """Population Stability Index and drift verdict.
 
 Both sides stay wide: one aggregate gives every feature's joint minimum and
-maximum, a second the counts of all features, bins and sides as conditional
-counts; the result, one row, is then unfolded to one row per feature.  A value
+maximum, a second counts the rows of every combination of bins (partial counts
+before the shuffle); only that small result is unfolded to one row per feature.  A value
 belongs to the bin of the last edge it reaches (edges: minimum + i * width,
 the last bin closed).  NaN counts as missing.
 """
@@ -34,19 +34,20 @@ def bin_counts(reference: DataFrame, current: DataFrame, features: list[str] | N
         step = (hi - lo) / bins
         place = sum(((x >= lo + F.lit(float(j)) * step).cast("int") for j in range(1, bins)), F.lit(0))
         at.append(F.when(x.isNotNull(), F.when(hi > lo, place).otherwise(0)).alias(f"b{i}"))
-    b = b.select("side", "rng", *at)
-    ref, cur = F.col("side") == "ref", F.col("side") == "cur"
-    aggs = [F.first("rng").alias("rng")]
-    for i in n:
-        got = F.col(f"b{i}")
-        aggs += [F.count_if(ref & got.isNotNull()).alias(f"nr{i}"), F.count_if(cur & got.isNotNull()).alias(f"nc{i}")]
-        for j in range(bins):
-            aggs += [F.count_if(ref & (got == j)).alias(f"r{i}_{j}"), F.count_if(cur & (got == j)).alias(f"c{i}_{j}")]
-    rows = [F.struct(F.lit(f).alias("feature"), F.lit(i).alias("fidx"), F.col(f"nr{i}").alias("n_ref"),
-                     F.col(f"nc{i}").alias("n_cur"), F.col(f"rng.lo{i}").alias("lo"), F.col(f"rng.hi{i}").alias("hi"),
-                     *[e for j in range(bins) for e in (F.col(f"r{i}_{j}").alias(f"r{j}"), F.col(f"c{i}_{j}").alias(f"c{j}"))])
-            for i, f in enumerate(features)]
-    return b.agg(*aggs).select(F.inline(F.array(*rows)))
+    # Rows with the same bins everywhere are counted together before anything is unfolded.
+    g = b.select("side", *at).groupBy("side", *[f"b{i}" for i in n]).agg(F.count(F.lit(1)).alias("n"))
+    long = g.select("side", "n", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.lit(i).alias("fidx"), F.col(f"b{i}").alias("bin"))
+        for i, f in enumerate(features)])))
+    ref, cur, some = F.col("side") == "ref", F.col("side") == "cur", F.col("bin").isNotNull()
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    aggs = [total(ref & some).alias("n_ref"), total(cur & some).alias("n_cur")]
+    for j in range(bins):
+        aggs += [total(ref & (F.col("bin") == j)).alias(f"r{j}"), total(cur & (F.col("bin") == j)).alias(f"c{j}")]
+    ends = both.agg(*[e for i in n for e in (F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"))]).select(
+        F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
+                           for i, f in enumerate(features)])))
+    return long.groupBy("feature", "fidx").agg(*aggs).join(F.broadcast(ends), "feature")   # one row per feature
 
 
 def psi(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
