@@ -9,12 +9,15 @@ Two building blocks keep every step shuffle-only and skew-safe:
   bucket offsets taken from a (groups x buckets) count table.
 * SMOTE neighbours inside a one-hot cell differ only in ``amount``, so the k
   nearest are held by the k distinct points on either side in rank order:
-  an equi-join on (cell, point rank +- d) instead of all pairs.  Rows of
-  tiny cells (<= k rows) are probed into the other cells' rankings.
+  an equi-join on (cell, point rank +- d) instead of all pairs.  A row is
+  also probed into the rankings of the cells that are no farther than its
+  k-th neighbour inside its own cell.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +81,8 @@ def stratified_folds(df: DataFrame, label: str = "is_fraud", key: str = "transac
 
 
 def cell_key(features=C.FEATURES) -> F.Column:
-    """One-hot pattern of a feature row (everything but amount)."""
-    return F.concat_ws("", *[F.col(f"`{f}`").cast("int").cast("string")
-                             for f in features if f != "amount"])
+    """Values of a feature row besides the amount; any numeric flags do, as long as few patterns occur."""
+    return F.concat_ws("|", *[F.col(f"`{f}`").cast("double").cast("string") for f in features if f != "amount"])
 
 
 def _dist(a: str, b: str, features=C.FEATURES):
@@ -116,40 +118,48 @@ def _points(r: DataFrame, k: int, key: str, salt: int = 64) -> DataFrame:
     return rank_within(pts, ["cell"], "amount", "amount", "__prk")
 
 
-def _cross_cell_candidates(r: DataFrame, pts: DataFrame, k: int, key: str) -> DataFrame | None:
-    """Candidates in other cells for rows of cells with at most k rows.
+def _cross_cell_candidates(own: DataFrame, pts: DataFrame, reach: DataFrame, k: int, key: str,
+                           cells: DataFrame) -> DataFrame:
+    """Candidates (key, nbr_key) in other cells for the rows that may have a nearer one there.
 
-    Each such row is inserted as a probe into every other cell (the cell list
-    is bounded by the one-hot patterns) and ranked together with that cell's
-    distinct points; the points next to a probe in rank order hold its
-    candidates, since inside one cell the distance only grows with the amount
-    gap.  No pairwise join; ``None`` when every cell has more than k rows.
+    ``reach``: (key, kth) the distance of the k-th neighbour found inside the
+    cell, infinite where there are fewer; ``cells``: (cell, other, base) the
+    distances between cells' flags, the least distance of their rows.  A row
+    is probed into every cell that is not farther than its reach: its place
+    among that cell's points by amount is the number of points below it
+    (bucketed running counts), and the k points on either side hold the k
+    nearest, since inside one cell the distance only grows with the amount gap.
     """
-    # One row per one-hot cell: a bounded table, read once on the driver.
-    sizes = {row.cell: row.n for row in r.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small_cells = [c for c, n in sizes.items() if n <= k]
-    if not small_cells:
-        return None
-    n_small = sum(sizes[c] for c in small_cells)
-    cells = sorted(sizes)
-    small = r.where(F.col("cell").isin(small_cells))
-    probes = (small.select(F.col(key).alias("__sk"), "cell", "amount",
-                           F.explode(F.array(*[F.lit(c) for c in cells])).alias("__pc"))
-                   .where(F.col("__pc") != F.col("cell"))
-                   .select("__sk", F.col("__pc").alias("cell"), "amount", F.lit(True).alias("__probe")))
-    real = pts.select(F.lit(None).cast("string").alias("__sk"), "cell", "amount",
-                      F.lit(False).alias("__probe"), "__keys")
-    u = rank_within(real.unionByName(probes, allowMissingColumns=True), ["cell"], "amount",
-                    "__probe", "__urk")
-    # Other probes can sit between a probe and the points: widen by their count.
-    reach = k + n_small
-    offs = [d for d in range(-reach, reach + 1) if d != 0]
-    a = (u.where(F.col("__probe"))
-          .select("__sk", "cell", "__urk", F.explode(F.array(*[F.lit(d) for d in offs])).alias("__d"))
-          .select("__sk", "cell", (F.col("__urk") + F.col("__d")).alias("__urk")))
-    b = u.where(~F.col("__probe")).select("cell", "__urk", "__keys")
-    return (a.join(b, ["cell", "__urk"])
-             .select(F.col("__sk").alias(key), F.explode("__keys").alias("nbr_key")))
+    probes = (own.select(key, "cell", "amount").join(reach, key).join(F.broadcast(cells), "cell")
+                 .where(F.col("base") <= F.col("kth"))
+                 .select(F.col(key).alias("__sk"), F.col("other").alias("cell"), "amount", F.lit(0).alias("__real")))
+    real = pts.select(F.lit(None).cast("string").alias("__sk"), "cell", "amount", F.lit(1).alias("__real"))
+    u = real.unionByName(probes)
+    buckets = bucket_count(pts)
+    edges = pts.groupBy("cell").agg(F.percentile_approx("amount", [i / buckets for i in range(1, buckets)], 10000)
+                                    .alias("__edges"))
+    u = u.join(F.broadcast(edges), "cell").withColumn(       # one row per cell
+        "__b", F.size(F.filter("__edges", lambda e: e < F.col("amount")))).drop("__edges")
+    count = u.groupBy("cell", "__b").agg(F.sum("__real").alias("__c"))
+    wo = Window.partitionBy("cell").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offset = count.select("cell", "__b", F.coalesce(F.sum("__c").over(wo), F.lit(0)).alias("__o"))
+    w = Window.partitionBy("cell", "__b").orderBy("amount", "__real").rowsBetween(Window.unboundedPreceding, 0)
+    at = (u.withColumn("__in", F.sum("__real").over(w)).where("__real = 0").join(F.broadcast(offset), ["cell", "__b"])
+           .select("__sk", "cell", F.explode(F.sequence(F.lit(-k), F.lit(k - 1))).alias("__d"),
+                   (F.col("__in") + F.col("__o")).alias("__p"))
+           .select("__sk", "cell", (F.col("__p") + F.col("__d")).alias("__prk")))
+    return (at.join(pts.select("cell", "__prk", "__keys"), ["cell", "__prk"])
+              .select(F.col("__sk").alias(key), F.explode("__keys").alias("nbr_key")))
+
+
+def cell_distances(r: DataFrame, features=C.FEATURES) -> DataFrame | None:
+    """(cell, other, base): distance between the flags of every two cells; ``None`` for a single cell.
+
+    The cells are the one-hot patterns that occur, a list that the features bound."""
+    flags = [f for f in features if f != "amount"]
+    rows = r.select("cell", *[F.col(f"`{f}`") for f in flags]).distinct().collect()
+    out = [(x.cell, y.cell, math.sqrt(sum((x[f] - y[f]) ** 2 for f in flags))) for x in rows for y in rows if x.cell != y.cell]
+    return r.sparkSession.createDataFrame(out, "cell string, other string, base double") if out else None
 
 
 def smote_neighbours(minority: DataFrame | None, k: int, key: str = "transaction_id",
@@ -165,12 +175,18 @@ def smote_neighbours(minority: DataFrame | None, k: int, key: str = "transaction
     own = r.select(key, "cell", "amount").join(pts.select("cell", "amount", "__prk"),
                                                ["cell", "amount"])
     offs = [d for d in range(-k, k + 1) if d != 0]
-    a = (own.select(key, "cell", F.explode(F.array(*[F.lit(d) for d in offs])).alias("__d"), "__prk")
-            .select(key, "cell", (F.col("__prk") + F.col("__d")).alias("__prk")))
-    in_cell = (a.join(pts.select("cell", "__prk", "__keys"), ["cell", "__prk"])
-                .select(key, F.explode("__keys").alias("nbr_key")))
-    cross = _cross_cell_candidates(r, pts, k, key)
-    pairs = in_cell if cross is None else in_cell.unionByName(cross)
+    a = (own.select(key, "cell", "amount", F.explode(F.array(*[F.lit(d) for d in offs])).alias("__d"), "__prk")
+            .select(key, "cell", "amount", (F.col("__prk") + F.col("__d")).alias("__prk")))
+    near = a.withColumnRenamed("amount", "__from").join(pts.select("cell", "__prk", "__keys", "amount"), ["cell", "__prk"])
+    in_cell = near.select(key, F.explode("__keys").alias("nbr_key"))
+    pairs = in_cell
+    cells = cell_distances(r, features)
+    if cells is not None:
+        gaps = near.select(key, F.explode(F.array_repeat(F.abs(F.col("amount") - F.col("__from")), F.size("__keys"))).alias("g"))
+        kth = gaps.groupBy(key).agg(F.sort_array(F.collect_list("g")).alias("g"))     # at most 2 k * k numbers
+        reach = r.select(key).join(kth, key, "left").select(
+            key, F.coalesce(F.get("g", F.lit(k - 1)), F.lit(math.inf)).alias("kth"))
+        pairs = in_cell.unionByName(_cross_cell_candidates(own, pts, reach, k, key, cells))
     feats = [F.col(f"`{c}`") for c in [key, *features]]
     sv = r.select(F.col(key).alias("__a"), F.struct(*feats).alias("s"))
     nv = r.select(F.col(key).alias("__b"), F.struct(*feats).alias("n"))

@@ -84,3 +84,33 @@ def test_synthetic_points_on_segments(spark):
             if same and len(rs) == 1 and 0.0 <= next(iter(rs)) <= 1.0:
                 ok = True
         assert ok, s.transaction_id
+
+
+def _neighbours(spark, rows, k):
+    schema = "transaction_id string, " + ", ".join(f"`{f}` double" for f in C.FEATURES)
+    got = {}
+    for r in B.smote_neighbours(spark.createDataFrame(rows, schema), k).collect():
+        got.setdefault(r.transaction_id, []).append((r.nbr_rank, r.nbr_key))
+    return {key: [n for _, n in sorted(v)] for key, v in got.items()}
+
+
+def _make(spec):
+    rows = []
+    for i, (ch, amount) in enumerate(spec):
+        feats = {f: 0.0 for f in C.FEATURES} | {"amount": float(amount), f"channel_{ch}": 1.0}
+        rows.append((f"k{i:03d}", *[feats[f] for f in C.FEATURES]))
+    return rows
+
+
+def test_repeated_points_and_one_value_cells(spark):
+    # five equal rows in one cell: their neighbours are in the other cells
+    rows = _make([("DEBIT", 0.5)] * 5 + [("TRANSFER", x / 10) for x in range(6)] + [("CASH_OUT", 0.5)] * 3)
+    for k in (1, 2, 3):
+        assert _neighbours(spark, rows, k) == {a: n for a, n in _brute(rows, k).items() if n}
+
+
+def test_unscaled_amounts_cross_cells(spark):
+    rng = random.Random(9)
+    rows = _make([(rng.choice(["DEBIT", "TRANSFER", "CASH_OUT", "CARD_WEB"]), rng.choice([rng.randrange(5000), rng.randrange(40)]))
+                  for _ in range(90)])
+    assert _neighbours(spark, rows, 2) == _brute(rows, 2)
