@@ -45,6 +45,8 @@ class Params:
     cell_bits: int = 17        # cells of the frequency table: 2**cell_bits, whatever the corpus
     classes: int = 64          # classes of the frequent elements
     frequent: float = 8.0      # an element is frequent from so many times the mean cell on
+    band: int = 4              # a size band spans a factor of (den / num)**band
+    parts: int = 64            # counts by part of the element space that bound a pair's intersection
 
     @property
     def small(self) -> int:
@@ -128,24 +130,34 @@ def signatures(elem: np.ndarray, freq: np.ndarray, mean: float, p: Params) -> np
                     i, j = np.triu_indices(len(part), 1)
                     a, b = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
                     keys.append(combine([a, b], salt=2))
-    # linked sets are at most num / den apart in size: in the same size band or the next one
-    band = int(math.log(n) / math.log(p.den / p.num * (1 + 1e-9)))
+    # a larger partner has at most den / num times the size: it is in the same size band, or in the next one
+    # for a set whose own size is that close to its end
+    step = math.log(n) / math.log(p.den / p.num * (1 + 1e-9))
     k = np.unique(np.concatenate(keys))
-    return np.concatenate([combine([k], salt=band), combine([k], salt=band + 1)])
+    return np.concatenate([combine([k], salt=band) for band in
+                           dict.fromkeys((int(step / p.band), int((step + 1) / p.band)))])
+
+
+def part_counts(elem: np.ndarray, ptr: np.ndarray, parts: int) -> list[bytes]:
+    """How many elements of each set lie in each part of the element space (32-bit counts)."""
+    doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    part = (mix(elem) % np.uint64(parts)).astype(np.int64)
+    got = np.bincount(doc * parts + part, minlength=(len(ptr) - 1) * parts).astype(np.uint32)
+    return [row.tobytes() for row in got.reshape(-1, parts)]
 
 
 def profiles(docs: DataFrame, freq, p: Params) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, index keys."""
+    """doc_id, n_shingles, two fingerprints of the set, counts by part, index keys."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
                            T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()),
-                           T.StructField("sigs", T.ArrayType(T.LongType()))])
+                           T.StructField("parts", T.BinaryType()), T.StructField("sigs", T.ArrayType(T.LongType()))])
 
     def run(batches):
         table = freq.value
         mean = table.sum() / len(table)
         for rb in batches:
             raw, offs = utf8(rb.column("text"))
-            size, f1, f2, sigs = [], [], [], []
+            size, f1, f2, parts, sigs = [], [], [], [], []
             for lo, hi in blocks(offs):
                 elem, ptr = shingle_sets(raw, offs[lo:hi + 1], p.n)
                 one = np.concatenate([[0], np.cumsum(mix(elem ^ np.uint64(0x1111)))]).astype(np.uint64)
@@ -153,6 +165,7 @@ def profiles(docs: DataFrame, freq, p: Params) -> DataFrame:
                 size.append(np.diff(ptr))
                 f1.append(one[ptr[1:]] - one[ptr[:-1]])
                 f2.append(two[ptr[1:]] - two[ptr[:-1]])
+                parts += part_counts(elem, ptr, p.parts)
                 sigs += [signatures(elem[a:b], table, mean, p) if b > a else np.zeros(0, np.uint64)
                          for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist())]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])])
@@ -160,7 +173,7 @@ def profiles(docs: DataFrame, freq, p: Params) -> DataFrame:
             num = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (size, f1, f2)]
             yield pa.RecordBatch.from_arrays(
                 [rb.column("doc_id"), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in num),
-                 ragged(flat.view(np.int64), ends, pa.int64())], names=schema.names)
+                 pa.array(parts, pa.binary()), ragged(flat.view(np.int64), ends, pa.int64())], names=schema.names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(run, schema)
 
@@ -179,26 +192,44 @@ def sets_of(docs: DataFrame, ids: DataFrame, p: Params) -> DataFrame:
     return given.join(ids, "node", "left_semi").mapInArrow(run, "node long, elems binary")
 
 
-def verifier(sets: DataFrame, p: Params):
-    """Keeps the pairs (a, b) whose sets meet the threshold."""
-    def run(batches):
+def meets(common, u, v, p: Params):
+    return p.den * common >= p.num * (u + v - common)
+
+
+def verifier(docs: DataFrame, counts: DataFrame, p: Params):
+    """Keeps the pairs (a, b) whose sets meet the threshold; counts: (node, parts).
+
+    An intersection is at most the sum over parts of the smaller count.  Only
+    pairs that this bound lets through have their sets built and compared.
+    """
+    def bounded(batches):
+        for rb in batches:
+            a, b = (np.frombuffer(b"".join(rb.column(c).to_pylist()), np.uint32).reshape(-1, p.parts).astype(np.int64)
+                    for c in ("pa", "pb"))
+            ok = pa.array(meets(np.minimum(a, b).sum(axis=1), a.sum(axis=1), b.sum(axis=1), p))
+            yield pa.RecordBatch.from_arrays([rb.column("a").filter(ok), rb.column("b").filter(ok)], names=["a", "b"])
+
+    def exact(batches):
         for rb in batches:
             keep = []
             for x, y in zip(rb.column("ea"), rb.column("eb")):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(u) * p.den < len(v) * p.num or len(v) * p.den < len(u) * p.num:
-                    keep.append(False)
-                    continue
                 at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                common = int((v[at] == u).sum())
-                keep.append(p.den * common >= p.num * (len(u) + len(v) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([rb.column("a").filter(mask), rb.column("b").filter(mask)], names=["a", "b"])
+                keep.append(bool(meets(int((v[at] == u).sum()), len(u), len(v), p)))
+            ok = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([rb.column("a").filter(ok), rb.column("b").filter(ok)], names=["a", "b"])
+
+    def with_both(pairs: DataFrame, table: DataFrame, col: str) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(table.select(F.col("node").alias(c), F.col(col).alias(col[0] + c)), c)
+        return pairs
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("node").alias("a"), F.col("elems").alias("ea"))
-        b = sets.select(F.col("node").alias("b"), F.col("elems").alias("eb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long").distinct()
+        near = with_both(pairs, counts, "parts").select("a", "b", "pa", "pb").mapInArrow(bounded, "a long, b long")
+        near = written(near.distinct(), "near")
+        ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = written(sets_of(docs, written(ids, "ids"), p), "sets")
+        return with_both(near, sets, "elems").select("a", "b", "ea", "eb").mapInArrow(exact, "a long, b long").distinct()
     return verify
 
 
@@ -209,15 +240,19 @@ def join(docs: DataFrame, params: Params | None = None) -> DataFrame:
     prof = written(profiles(docs, freq, p), "profiles")
     full = prof.where("doc_id is not null and n_shingles > 0")
     reps = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    keys = full.select("doc_id", "f1", "f2", "n_shingles", "sigs").join(
-        reps.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "n_shingles", "doc_id"], "left_semi")
-    shared = shared_buckets(keys.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("node")))
-    sets = written(sets_of(docs, shared.select("node").distinct(), p), "sets")
+    named = full.select("doc_id", "f1", "f2", "n_shingles", "parts").join(reps, ["f1", "f2", "n_shingles"])
+    named = written(named.select("doc_id", "rep", "parts"), "named")
+    counts = written(named.where("doc_id = rep").select(F.col("rep").alias("node"), "parts").distinct(), "counts")
+    shared = shared_buckets(full.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("node")))
+    # copies stand for one another: keep each bucket's representatives
+    name = written(named.where("doc_id <> rep").select(F.col("doc_id").alias("node"), "rep").distinct(), "copies")
+    shared = shared.join(name, "node", "left").select("sig", F.coalesce("rep", "node").alias("node")).distinct()
+    shared = shared_buckets(written(shared, "buckets"))
     # rows of one id with different texts are one document: connect their sets through it
     twice = full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     same_id = (full.join(twice, "doc_id").join(reps, ["f1", "f2", "n_shingles"])
                .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
-    label = linked(shared, verifier(sets, p), same_id)
+    label = linked(shared, verifier(docs, counts, p), same_id)
     out = prof.join(reps, ["f1", "f2", "n_shingles"], "left").join(
         label.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep"))
@@ -225,7 +260,7 @@ def join(docs: DataFrame, params: Params | None = None) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """The documents without those that are linked to a kept one; kept: the smallest id, one row of it."""
+    """The documents without those that are linked to one with a smaller id (rows with a null id stay)."""
     got = join(docs, params)
-    gone = got.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = got.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
