@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import id_crc, shared_folder, written
+from .store import file_system, id_crc, put, release, shared_folder, written
 from .text import Words, blocks, combine, mix, utf8
 
 BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B1), np.uint64(0xE0E0E0E0E0E0E0E1)
@@ -96,8 +96,9 @@ def _out(level: int, cols, counts, key, bits: int):
     cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist() + [len(shard)]
     rows = []
     for a, b in zip(cut[:-1], cut[1:]):
-        small = counts[a:b].astype(np.min_scalar_type(int(counts[a:b].max())))
-        rows.append((level, int(shard[a]), b"".join(c[a:b].tobytes() for c in cols), small.tobytes(), b - a))
+        like = np.lexsort([c[a:b] for c in cols[:-1]]) if len(cols) > 1 else slice(None)   # runs of a context shuffle small
+        small = counts[a:b][like].astype(np.min_scalar_type(int(counts[a:b].max())))
+        rows.append((level, int(shard[a]), b"".join(c[a:b][like].tobytes() for c in cols), small.tobytes(), b - a))
     for at in range(0, len(rows), 64):
         part = list(zip(*rows[at:at + 64]))
         yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()),
@@ -140,27 +141,15 @@ def _counted(order: int, bits: int):
 
 
 # ---------------------------------------------------------------- files in the shared folder
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
-
-
 def _put(uri: str, name: str, array: np.ndarray) -> None:
-    """Write one array file so that it appears whole (a repeated task writes the same content)."""
-    store, path = _store(uri)
     data = io.BytesIO()
     np.save(data, array)
-    store.create_dir(path, recursive=True)
-    tmp = f"{path}/.{name}.{os.getpid()}.{os.urandom(4).hex()}"
-    with store.open_output_stream(tmp) as f:
-        f.write(data.getbuffer())
-    store.move(tmp, f"{path}/{name}.npy")
+    put(uri, f"{name}.npy", data.getbuffer())
 
 
 @functools.lru_cache(maxsize=4096)
 def _mapped(uri: str, name: str) -> np.ndarray:
-    store, path = _store(uri)
+    store, path = file_system(uri)
     full = f"{path}/{name}.npy"
     if isinstance(store, fs.LocalFileSystem):
         return np.load(full, mmap_mode="r") if os.path.exists(full) else np.zeros(0, np.uint64)
@@ -185,9 +174,10 @@ def _write_level(uri: str, level: int, shard: int, cols, counts, key) -> None:
         c, n = ctx[order], counts[order]
         first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
         _put(uri, f"{name}-context", c[first])
-        _put(uri, f"{name}-total", np.add.reduceat(n, first))
-        for i, seen in enumerate((n == 1, n == 2, n > 2), 1):
-            _put(uri, f"{name}-n{i}", np.add.reduceat(seen.astype(np.uint32), first))
+        totals = {"total": n, **{f"n{i}": seen for i, seen in enumerate((n == 1, n == 2, n > 2), 1)}}
+        for what, x in totals.items():
+            x = np.add.reduceat(x.astype(np.int64), first)
+            _put(uri, f"{name}-{what}", x.astype(np.min_scalar_type(int(x.max()))))
 
 
 STATS = T.StructType([*BLOBS.fields, T.StructField("stats", T.ArrayType(T.LongType()))])
@@ -265,6 +255,7 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
             if r["level"] in here:
                 stats[r["level"]] = np.array(r[1:], dtype=np.int64)
         rows = done.where("stats is null").select(*BLOBS.names)
+        release(spark)
     none = np.zeros(6, np.int64)
     low = stats.get(1, none)
     return Model(uri, order, bits, {k: discounts(*(int(x) for x in stats.get(k, none)[:4])) for k in range(1, order + 1)},
