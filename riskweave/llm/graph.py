@@ -16,7 +16,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import release, written
+
+
+#: Pairs across components, per bucket row, that are verified one by one instead of by leaders.
+PAIRS = 32
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -56,22 +60,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """The rows (sig, node) of buckets that hold more than one row, written to the shared folder."""
+    """The rows (sig, node) of buckets that hold more than one row, written to the shared folder.
+
+    Of buckets with the same members only one is kept (members are compared by
+    their number and two 64-bit combined hashes).
+    """
     many = buckets.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    return written(buckets.join(many, "sig"), "buckets")
+    shared = written(buckets.join(many, "sig"), "buckets")
+    members = shared.groupBy("sig").agg(F.count("*").alias("n"), *[
+        F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)])
+    one = written(members.groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig"), "sigs")
+    return written(shared.join(one, "sig"), "buckets")
 
 
 def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None,
-           leader_rounds: int = 2) -> DataFrame:
+           leader_rounds: int = 1) -> DataFrame:
     """(node, component) of the nodes that have a link; shared: from ``shared_buckets``.
 
     ``verify`` keeps the linked pairs of a table (a, b); ``links`` are links
     known beforehand.  Leader rounds go on until the pairs that are left
-    across components are no more than the bucket rows were at the start (and
-    at least ``leader_rounds`` times); these are then verified one by one.
+    across components are at most ``PAIRS`` times the bucket rows (and at least
+    ``leader_rounds`` times); these are then verified one by one, each in the
+    first bucket that its two nodes share.
     """
     b = shared
-    budget = b.count()
+    budget = PAIRS * b.count()
     nodes = b.groupBy("node").agg((-F.count("*")).alias("rank"))
     b = written(b.join(nodes, "node").select("sig", "node", "rank", F.col("node").alias("comp")), "buckets")
     edges, done = links, 0
@@ -81,9 +94,13 @@ def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], links: D
                 .agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0])
         last = done >= leader_rounds and left <= budget
         if last:
-            x = b.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            y = b.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "sig").where("ca < cb").select("a", "b").distinct()
+            own = b.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+            b = written(b.join(own, "node"), "buckets")
+            x = b.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sigs").alias("sa"))
+            y = b.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sigs").alias("sb"))
+            first = F.array_min(F.array_intersect("sa", "sb"))
+            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("ca") < F.col("cb")) & (first == x["sig"])) \
+                .select("a", "b").distinct()
         else:
             lead = b.groupBy("sig").agg(F.min(F.struct("rank", "node"))["node"].alias("l0"), *[
                 F.min(F.struct(F.xxhash64(F.lit(2 * done + i), "node").alias("h"), "node"))["node"].alias(f"l{i}")
@@ -105,4 +122,5 @@ def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], links: D
                  .where("lo < hi").select("sig"))
         b = written(rest.join(open_, "sig"), "buckets")
         done += 1
+        release(b.sparkSession)
     return components(edges if edges is not None else b.select(F.col("node").alias("a"), F.col("node").alias("b")))

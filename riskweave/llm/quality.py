@@ -85,7 +85,9 @@ def gram_features(b: np.ndarray, bounds: np.ndarray, n: int, p: Params) -> tuple
 
 
 def _sample_features(p: Params):
-    """mapInArrow: (label, text) -> (label, bucket ids, counts), one row per document."""
+    """mapInArrow: (label, text) -> (label, bucket ids, shares of the features), one row per document."""
+    kind = np.min_scalar_type(p.buckets - 1)
+
     def run(batches):
         for rb in batches:
             raw, offs = utf8(rb.column("text"))
@@ -102,12 +104,12 @@ def _sample_features(p: Params):
                 key = np.concatenate(key)
                 u, c = np.unique(key, return_counts=True)
                 ptr = np.searchsorted(u, np.arange(n_docs + 1) * p.buckets)
-                f = (u % p.buckets).astype(np.int32)
+                f = (u % p.buckets).astype(kind)
                 for i in range(n_docs):
                     s = slice(ptr[i], ptr[i + 1])
                     rows.append(labels[lo + i])
                     ids.append(f[s].tobytes())
-                    cnt.append(c[s].astype(np.int32).tobytes())
+                    cnt.append((c[s] / max(c[s].sum(), 1)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int32()), pa.array(ids, pa.binary()), pa.array(cnt, pa.binary())],
                 names=["label", "ids", "cnt"])
@@ -115,14 +117,14 @@ def _sample_features(p: Params):
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], p: Params) -> Model:
-    """Numpy SGD with a linearly falling rate over (label, bucket ids, counts) rows."""
+    """Numpy SGD with a linearly falling rate over (label, bucket ids, shares) rows."""
     rng = np.random.default_rng(p.seed)
     embed = ((rng.random((p.buckets, p.dim)) - 0.5) * (2.0 / p.dim)).astype(np.float32)
     out = np.zeros((2, p.dim), dtype=np.float32)
     share = np.mean([r[0] for r in rows]) if rows else 0.5
     share = min(max(share, 1e-3), 1 - 1e-3)
     bias = np.log(np.array([1 - share, share], dtype=np.float32))
-    rows = [(y, i, c / c.sum()) for y, i, c in rows if len(i)]
+    rows = [r for r in rows if len(r[1])]
     steps, done = p.epochs * max(1, -(-len(rows) // p.batch)), 0
     for _ in range(p.epochs):
         order = rng.permutation(len(rows))
@@ -130,7 +132,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], p: Params) -> Model:
             pick = [rows[k] for k in order[at:at + p.batch]]
             y = np.array([r[0] for r in pick])
             idx = np.concatenate([r[1] for r in pick])
-            wgt = np.concatenate([r[2] for r in pick]).astype(np.float32)
+            wgt = np.concatenate([r[2] for r in pick])
             ptr = np.cumsum([0] + [len(r[1]) for r in pick])
             hid = np.add.reduceat(embed[idx] * wgt[:, None], ptr[:-1], axis=0)
             z = hid @ out.T + bias
@@ -167,9 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None, label:
               .select("label", "text"))
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("ids", T.BinaryType()),
                            T.StructField("cnt", T.BinaryType())])
-    got = sample.mapInArrow(_sample_features(p), schema).toArrow().to_pylist()
-    rows = [(r["label"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["cnt"], np.int32)) for r in got]
-    return train(rows, p)
+    got = sample.mapInArrow(_sample_features(p), schema).toArrow()
+    kind = np.min_scalar_type(p.buckets - 1)
+    return train([(y, np.frombuffer(i.as_buffer(), kind), np.frombuffer(c.as_buffer(), np.float32))
+                  for y, i, c in zip(got["label"].to_pylist(), got["ids"], got["cnt"])], p)
 
 
 def _sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:

@@ -40,6 +40,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows up to which a written table of a few short columns is broadcast in a join (some tens of MB).
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows; beyond that the join shuffles both sides."""
+    return F.broadcast(df) if df.limit((rows or SMALL_ROWS) + 1).count() <= (rows or SMALL_ROWS) else df
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` once nothing reads it any more."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 MASK64 = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1  # odd, so invertible modulo 2**64
 
