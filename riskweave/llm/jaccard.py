@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .graph import linked, shared_buckets
 from .store import written
-from .text import Words, blocks, combine, mix, powers, ragged, utf8, windows
+from .text import Words, blocks, combine, mix, ragged, utf8, windows
 
 
 @dataclass(frozen=True)

@@ -322,7 +322,7 @@ def score_block(m: Model, raw: np.ndarray, offs: np.ndarray):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, __crc, n_tokens, n_known, base_score, score for every row; ``model`` is a few numbers and a path."""
+    """doc_id, n_tokens, n_known, base_score, score for every row; ``model`` is a few numbers and a path."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()),
                            T.StructField("score", T.DoubleType())])

@@ -49,15 +49,6 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit((rows or SMALL_ROWS) + 1).count() <= (rows or SMALL_ROWS) else df
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, files = spark._jvm, df.inputFiles()
-    if files:
-        p = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
