@@ -26,14 +26,15 @@ def bin_counts(reference: DataFrame, current: DataFrame, features: list[str] | N
         nan_to_null(F.col(f"`{f}`").cast("double")).alias(f"x{i}") for i, f in enumerate(features)])
     both = side(reference, "ref").unionByName(side(current, "cur"))
     n = range(len(features))
-    rng = both.agg(F.struct(*[e for i in n for e in (F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"))])).scalar()
-    b = both.select("*", rng.alias("rng"))
+    # One row with the ends of all features; they enter the second pass as literals.
+    ends = both.agg(*[e for i in n for e in (F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"))]).first()
     at = []
     for i in n:
-        x, lo, hi = F.col(f"x{i}"), F.col(f"rng.lo{i}"), F.col(f"rng.hi{i}")
-        step = (hi - lo) / bins
-        place = sum(((x >= lo + F.lit(float(j)) * step).cast("int") for j in range(1, bins)), F.lit(0))
-        at.append(F.when(x.isNotNull(), F.when(hi > lo, place).otherwise(0)).alias(f"b{i}"))
+        x, lo, hi = F.col(f"x{i}"), ends[f"lo{i}"], ends[f"hi{i}"]
+        edges = [lo + float(j) * ((hi - lo) / bins) for j in range(1, bins)] if lo is not None and hi > lo else []
+        place = sum(((x >= F.lit(e)).cast("int") for e in edges), F.lit(0))
+        at.append(F.when(x.isNotNull(), place).alias(f"b{i}"))
+    b = both
     # Rows with the same bins everywhere are counted together before anything is unfolded.
     g = b.select("side", *at).groupBy("side", *[f"b{i}" for i in n]).agg(F.count(F.lit(1)).alias("n"))
     long = g.select("side", "n", F.inline(F.array(*[
@@ -44,10 +45,12 @@ def bin_counts(reference: DataFrame, current: DataFrame, features: list[str] | N
     aggs = [total(ref & some).alias("n_ref"), total(cur & some).alias("n_cur")]
     for j in range(bins):
         aggs += [total(ref & (F.col("bin") == j)).alias(f"r{j}"), total(cur & (F.col("bin") == j)).alias(f"c{j}")]
-    ends = both.agg(*[e for i in n for e in (F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"))]).select(
-        F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
-                           for i, f in enumerate(features)])))
-    return long.groupBy("feature", "fidx").agg(*aggs).join(F.broadcast(ends), "feature")   # one row per feature
+    low = F.lit(None).cast("double")
+    high = low
+    for i in n:
+        low = F.when(F.col("fidx") == i, F.lit(ends[f"lo{i}"]).cast("double")).otherwise(low)
+        high = F.when(F.col("fidx") == i, F.lit(ends[f"hi{i}"]).cast("double")).otherwise(high)
+    return long.groupBy("feature", "fidx").agg(*aggs).withColumns({"lo": low, "hi": high})
 
 
 def psi(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
