@@ -60,15 +60,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """The rows (sig, node) of buckets that hold more than one row, written to the shared folder.
+    """The distinct rows (sig, node) of buckets that hold more than one node, written to the shared folder.
 
     Of buckets with the same members only one is kept (members are compared by
-    their number and two 64-bit combined hashes).
+    their number and two 64-bit combined hashes; the rows are made distinct
+    first, as a member that stands on two rows would cancel itself in these).
     """
     many = buckets.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    shared = written(buckets.join(many, "sig"), "buckets")
+    shared = written(buckets.join(many, "sig").select("sig", "node").distinct(), "buckets")
     members = shared.groupBy("sig").agg(F.count("*").alias("n"), *[
-        F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)])
+        F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)]).where("n > 1")
     one = written(members.groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig"), "sigs")
     return written(shared.join(one, "sig"), "buckets")
 

@@ -122,6 +122,26 @@ def test_rows_of_one_id_are_one_document(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def test_repeated_rows_keep_every_bucket(spark):
+    rows = [(1, n) for n in "aabb"] + [(2, n) for n in "ccdd"] + [(3, n) for n in "aax"] + [(4, n) for n in "bbx"] + [(5, n) for n in "ee"]
+    got = {}
+    for r in graph.shared_buckets(spark.createDataFrame(rows, "sig long, node string")).collect():
+        got.setdefault(r.sig, []).append(r.node)
+    assert {s: sorted(n) for s, n in got.items()} == {1: ["a", "b"], 2: ["c", "d"], 3: ["a", "x"], 4: ["b", "x"]}
+
+
+def test_jaccard_join_of_a_table_that_repeats_every_row(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(30):                                             # pairs of near copies, each row twice
+        t = [f"v{rng.randrange(3000)}" for _ in range(100)]
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join([*t[:-1], "x"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard.join(docs.union(docs)).collect()}
+    u = brute_components(rows)
+    assert got == {(i, u.find(i)) for i, _ in rows} and sum(i != c for i, c in got) == 30
+
+
 def windows(norm, k=8):
     return frozenset(norm[i:i + k] for i in range(len(norm) - k + 1))
 
