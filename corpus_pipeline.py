@@ -9,7 +9,9 @@ documents:
   rows are never learned from);
 * line_dedup: of every group of like lines the first one stays; documents
   that lose all their lines go;
-* ngram_jaccard: of every group of linked documents the smallest id stays;
+* ngram_jaccard: of every group of documents linked by a five-word Jaccard
+  similarity of 0.8 or more the smallest id stays (op3's query has its own
+  settings);
 * mixing: documents are sampled towards the target weights;
 * packing: the place of every piece of the rest in sequences of 2048 tokens.
 
@@ -26,6 +28,10 @@ from riskweave.llm.queries import vocabulary
 from riskweave.llm.store import read, written
 
 
+#: Settings of the near-duplicate stage: five words, 80 / 100.
+NEAR = jaccard.Params(n=5, num=80)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
@@ -35,7 +41,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_per_component(docs)
+    return jaccard.one_per_component(docs, NEAR)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

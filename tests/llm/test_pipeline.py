@@ -1,5 +1,6 @@
 """The pipeline's stages one after another: schemas, and each stage's decisions against plain ones."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -71,3 +72,25 @@ def test_stages_keep_extra_columns_and_take_empty_tables(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0, name
     assert lines and jaccard and vocabulary()
+
+
+def test_near_duplicate_stage_compares_five_words_at_80(spark):
+    rng = random.Random(3)
+    rows, far = [], 0
+    for k in range(25):
+        a = [f"v{rng.randrange(5000)}" for _ in range(400)]
+        b = list(a)
+        for at in rng.sample(range(400), rng.randint(7, 11)):
+            b[at] = "x"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+
+    def similar(n, a, b):
+        s, t = ({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} for w in (a.split(), b.split()))
+        return len(s & t) / len(s | t)
+    want = set()
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
+        want |= {i} if similar(5, a, b) >= 0.8 else {i, j}
+        far += similar(5, a, b) >= 0.8 and similar(3, a, b) < 0.9
+    assert far > 0 and len(want) > 25                                # linked by five words only; not linked at all
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.ngram_jaccard_stage(spark, docs, SF).collect()} == want
