@@ -202,6 +202,45 @@ def test_line_dedup(spark):
         assert (i in left) != all_gone
 
 
+def alike(rng, kind):
+    """A line and a copy with one to three changes whose windows have a similarity of 0.8 or more."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def token(lo, hi):
+        return "".join(rng.choice(letters) for _ in range(rng.randint(lo, hi)))
+    while True:
+        a = {"5 words": lambda: " ".join(token(3, 8) for _ in range(5)),
+             "6-8 words": lambda: " ".join(token(3, 8) for _ in range(rng.randint(6, 8))),
+             "9-12 words": lambda: " ".join(token(3, 8) for _ in range(rng.randint(9, 12))),
+             "13-20 words": lambda: " ".join(token(3, 8) for _ in range(rng.randint(13, 20))),
+             "3-6 long tokens": lambda: " ".join(token(12, 25) for _ in range(rng.randint(3, 6))),
+             "no blanks": lambda: "https://" + "/".join(token(3, 12) for _ in range(rng.randint(4, 9))),
+             "few windows": lambda: token(2, 9) * 12}[kind]()
+        b = list(a)
+        for _ in range(rng.randint(1, 3)):
+            b[rng.choice([0, 1, 2, len(b) - 1, rng.randrange(len(b))])] = rng.choice(letters)
+        b = "".join(b)
+        if kind == "few windows":
+            b = a + rng.choice(letters)
+        if a != b and len(a) >= 24 and 5 * len(windows(a) & windows(b)) >= 4 * len(windows(a) | windows(b)):
+            return a, b
+
+
+def test_bands_meet_for_lines_of_every_length(spark):
+    rng = random.Random(6)
+    kinds = ["5 words", "6-8 words", "9-12 words", "13-20 words", "3-6 long tokens", "no blanks", "few windows"]
+    rows = [(k, i, t) for k in kinds for i in range(300) for t in alike(rng, k)]
+    rows += [("listed", 0, f"{i}. terms and conditions of this service apply") for i in (1, 2)]
+    keys = {}
+    for r in lines.keyed(spark.createDataFrame(rows, "kind string, pair int, norm string"), lines.Params()).collect():
+        assert r.size == len(windows(r.norm))
+        keys.setdefault((r.kind, r.pair), []).append(set(r.sigs))
+    share = {k: [bool(a & b) for (kind, _), (a, b) in keys.items() if kind == k] for k in [*kinds, "listed"]}
+    share = {k: sum(x) / len(x) for k, x in share.items()}
+    print(share)
+    assert all(x >= 0.96 for x in share.values()), share
+
+
 def test_line_dedup_uses_no_python(spark):
     docs = spark.createDataFrame([(1, "a line that is long enough to count\nb"), (2, "a line that is long enough to count")],
                                  "doc_id long, text string")
