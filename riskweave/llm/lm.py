@@ -238,7 +238,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return 0.5, 1.0, 1.5
 
 
-def fit(docs: DataFrame, order: int = 2) -> Model:
+def fit(docs: DataFrame, order: int = 3) -> Model:
     """Count all texts of ``docs``; the model's files lie in the shared folder."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -337,7 +337,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def op1_lm_scoring(docs: DataFrame, order: int = 2) -> DataFrame:
+def op1_lm_scoring(docs: DataFrame, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row."""
     held = (id_crc() % 10) == 0
     model = fit(docs.where(~held), order)

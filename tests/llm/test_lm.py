@@ -97,3 +97,13 @@ def test_empty_training_and_empty_table(spark):
     m = lm.fit(none)
     r = lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), m).first()
     assert (r.n_tokens, r.n_known, r.base_score, r.score) == (3, 0, 0.0, 0.0)
+
+
+def test_registered_query_uses_three_words(spark):
+    from riskweave.llm import queries
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in queries.read(spark, sf, "documents").collect()]
+    got = {r.doc_id: r for r in queries.QUERIES["op1_lm_scoring"](spark, sf).collect()}
+    test = rows[:40]
+    want = brute([t for i, t in rows if not got[i].held_out], 3, [t for _, t in test])
+    assert all(got[i].score == pytest.approx(w[4], rel=1e-6) for (i, _), w in zip(test, want))
