@@ -237,7 +237,6 @@ def test_bands_meet_for_lines_of_every_length(spark):
         keys.setdefault((r.kind, r.pair), []).append(set(r.sigs))
     share = {k: [bool(a & b) for (kind, _), (a, b) in keys.items() if kind == k] for k in [*kinds, "listed"]}
     share = {k: sum(x) / len(x) for k, x in share.items()}
-    print(share)
     assert all(x >= 0.96 for x in share.values()), share
 
 
