@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import balltree, jaccard, licenses, lines, lm, mixing, packing, quality, trainorder, vamana
+from . import (balltree, ffd, jaccard, licenses, lines, lm, mixing, packing, quality, resampling, spelling, trainorder,
+               vamana)
 from .store import read
 
 #: Folder of the public vocabulary files; the package names it if it is installed.
@@ -83,3 +84,24 @@ def op8_license_scan(spark, sf_dir):
 @query
 def op7_training_order(spark, sf_dir):
     return trainorder.materialise(read(spark, sf_dir, "documents"), vocabulary())[1]
+
+
+@query
+def op11_importance_resampling(spark, sf_dir):
+    return resampling.op11_importance_resampling(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_importance_resampling"] = resampling.ORACLE_SQL
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.op12_spelling_variants(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_spelling_variants"] = spelling.oracle_sql()
+
+
+@query
+def op13_ffd_packing(spark, sf_dir):
+    return ffd.op13_ffd_packing(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
