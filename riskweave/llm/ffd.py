@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .store import written
 from .text import mix
 
@@ -36,7 +38,7 @@ END_ID = 1
 GROUP_ROWS = 4096
 SEED = 13
 PART_CHARS = 1 << 20      # a text is encoded in parts of about this size
-KEPT_BYTES = 48 << 20     # encoded words remembered between texts; only a cache
+KEPT_BYTES = 160 << 20    # encoded words and pieces remembered between texts; only a cache
 
 
 class Tournament:
@@ -118,12 +120,22 @@ def binary_parts(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int
 
 
 # ---------------------------------------------------------------- token ids
+#: The pieces of the word vocabularies (as their files state it) ..
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: .. and the same for words of printable ASCII and Latin-1 letters alone.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 class Coder:
     """Ids of texts under a vocabulary whose pieces never span a blank, each distinct word encoded once.
 
     Blank, tab, line feed and carriage return separate; what lies between two
     of them has the same ids wherever it stands, so the ids of a text are those
-    of its words, one after the other.  The tests compare with whole texts.
+    of its words, one after the other.  Words of printable ASCII and Latin-1
+    letters are split here and their pieces go to the library's BPE model;
+    all other words go through the whole library.  The tests compare with whole
+    texts.  Other vocabularies are encoded text by text.
     """
 
     def __init__(self, path: str):
@@ -131,16 +143,37 @@ class Coder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            steps = json.dumps(json.load(f)["pre_tokenizer"])
-        self.by_word = "\"Removed\"" in steps and "\\\\s" in steps and "\"add_prefix_space\": false" in steps
-        self.known: dict[str, bytes] = {}
+            made = json.load(f)
+        steps = [s["type"] for s in (made["normalizer"] or {}).get("normalizers", [])]
+        splits = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern") == {"Regex": SPLIT}
+        self.model = self.tok.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.wide = {c: "".join(self.letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self.four = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.size = 0
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            text = piece if piece.isascii() else piece.translate(self.wide)
+            ids = self.pieces[piece] = b"".join([self.four[t.id] for t in self.model.tokenize(text)])
+            self.size += len(ids) + len(piece) + 170
+        return ids
+
     def _learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tok.encode_batch(words, add_special_tokens=False)):
-            ids = np.asarray(e.ids, "<u4").tobytes()
-            self.known[w] = ids
-            self.size += len(ids) + 4 * len(w) + 150
+        rest = []
+        for w in words:
+            if PLAIN.fullmatch(w):
+                ids = self.words[w] = b"".join([self._piece(p) for p in PLAIN_SPLIT.findall(w.lower())])
+                self.size += len(ids) + len(w) + 170
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False)):
+            self.words[w] = np.asarray(e.ids, "<u4").tobytes()
+            self.size += len(self.words[w]) + 4 * len(w) + 170
 
     def encode(self, text: str) -> bytes:
         """Token ids, four little-endian bytes each."""
@@ -149,14 +182,14 @@ class Coder:
         out = []
         for part in parts(text):
             words = part.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                if self.size > KEPT_BYTES:
-                    self.known.clear()
-                    self.size = 0
-                self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-                out.append(b"".join(map(self.known.__getitem__, words)))
+            if self.size > KEPT_BYTES:
+                self.words.clear()
+                self.pieces.clear()
+                self.size = 0
+            new = set(words).difference(self.words)
+            if new:
+                self._learn(list(new))
+            out.append(b"".join(map(self.words.__getitem__, words)))
         return b"".join(out)
 
 
