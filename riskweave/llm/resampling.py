@@ -58,21 +58,22 @@ def normal(text: bytes) -> bytes:
 
 
 def spans(text: bytes, pattern: regex.Pattern):
-    """(start, end) of every n-gram of a normalised text."""
+    """A slice for every n-gram of a normalised text."""
     for m in pattern.finditer(text, overlapped=True):
-        (start, _), *ends = m.regs
-        for _, end in ends:
+        ends = m.regs
+        start = ends[0][0]
+        for _, end in ends[1:]:
             if end < 0:
                 break
-            yield start, end
+            yield slice(start, end)
 
 
 def hashed(text: bytes, pattern: regex.Pattern, buckets: int) -> tuple[int, np.ndarray]:
     """(words, bucket of every n-gram) of a text."""
-    text, crc = normal(text), zlib.crc32
+    text = normal(text)
     if not text:
         return 0, np.zeros(0, np.uint32)
-    out = np.fromiter((crc(text[s:e]) for s, e in spans(text, pattern)), np.uint32)
+    out = np.fromiter(map(zlib.crc32, map(text.__getitem__, spans(text, pattern))), np.uint32)
     return text.count(b" ") + 1, out % np.uint32(buckets)
 
 
