@@ -49,23 +49,16 @@ def windowed_count(df: DataFrame, keys: list[str], ts_col: str, seconds: int,
              .withColumn(_BKT, F.floor(F.col(_T) / (bucket_seconds * 1_000_000)) + F.col("__off"))
              .drop("__off")
              .withColumn(_OWN, F.lit(False)))
-    part = Window.partitionBy(*keys, _BKT)
+    w = Window.partitionBy(*keys, _BKT).orderBy(_T)
+    both = own.unionByName(ctx, allowMissingColumns=True)
     if value is None:
-        # Count up to the row minus count before its window, both running counts (linear in the bucket's
-        # rows): a second row stands at the window's start, before the rows of that very time.
-        own = (own.withColumn("__id", F.monotonically_increasing_id())
-                  .withColumn("__at", F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col(_T).alias("t")),
-                                                        F.struct(F.lit(0).alias("k"), (F.col(_T) - span).alias("t")))))
-                  .withColumn("__k", F.col("__at.k")).withColumn("__when", F.col("__at.t")).drop("__at")
-                  .withColumn("__m", F.when(F.col("__k") == 1, F.col("__m"))))
-        both = own.unionByName(ctx.withColumn("__k", F.lit(1)).withColumn("__when", F.col(_T)), allowMissingColumns=True)
-        run = F.count("__m").over(part.orderBy("__when", "__k").rangeBetween(Window.unboundedPreceding, 0))
-        res = both.withColumn("__c", run).where(F.col(_OWN))
-        before = F.max(F.when(F.col("__k") == 0, F.col("__c"))).over(Window.partitionBy(*keys, _BKT, "__id"))
-        res = res.withColumn(out, F.col("__c") - before).where(F.col("__k") == 1).drop("__id", "__k", "__when", "__c")
+        # Rows up to this time minus rows before the window: both are running counts over one sort, so the
+        # cost is linear in the bucket's rows (a sliding frame would be recounted for every row).
+        reach = F.count("__m").over(w.rangeBetween(Window.unboundedPreceding, 0))
+        before = F.count("__m").over(w.rangeBetween(Window.unboundedPreceding, -span - 1))
+        res = both.withColumn(out, reach - before).where(F.col(_OWN))
     else:
-        w = part.orderBy(_T).rangeBetween(-span, 0)
-        res = own.unionByName(ctx, allowMissingColumns=True).withColumn(out, F.sum("__m").over(w)).where(F.col(_OWN))
+        res = both.withColumn(out, F.sum("__m").over(w.rangeBetween(-span, 0))).where(F.col(_OWN))
     if not include_self:
         res = res.withColumn(out, F.col(out) - F.when(counted, measure).otherwise(0))
     if value is None:
