@@ -83,6 +83,28 @@ def latency_stats(df: DataFrame, col: str = "scoring_latency_ms",
                       ((F.col("mean_ms") < target) & (p < target)).alias("meets_target"))
 
 
+def latency_sketches(df: DataFrame, by: str, col: str = "scoring_latency_ms") -> DataFrame:
+    """Per ``by``: n, total, max and a KLL sketch of the latencies.
+
+    Rows of different batches, days or partitions merge with ``merged_latency``
+    into what one pass over all their rows would give, within the sketch's
+    error (about 1.3 % of the rank at Spark's default size)."""
+    return (df.where(F.col(col).isNotNull()).groupBy(by)
+              .agg(F.count(col).alias("n"), F.sum(col).alias("total_ms"), F.max(col).alias("max_ms"),
+                   F.kll_sketch_agg_double(F.col(col).cast("double")).alias("sketch")))
+
+
+def merged_latency(sketches: DataFrame, by: str | None = None, target: float = C.LATENCY_TARGET_MS) -> DataFrame:
+    """n, mean, max, approximate median and p95, and pass/fail against the target, over any rows of sketches."""
+    g = sketches.groupBy(*([by] if by else [])).agg(
+        F.sum("n").alias("n"), F.sum("total_ms").alias("total"), F.max("max_ms").alias("max_ms"),
+        F.kll_merge_agg_double("sketch").alias("sketch")).where(F.col("n") > 0)
+    q = {c: F.kll_sketch_get_quantile_double("sketch", F.lit(p)) for c, p in (("p50_ms", 0.5), ("p95_ms", 0.95))}
+    mean = F.col("total") / F.col("n")
+    return g.select(*([by] if by else []), "n", mean.alias("mean_ms"), "max_ms", *[v.alias(c) for c, v in q.items()],
+                    ((mean < target) & (q["p95_ms"] < target)).alias("meets_target"))
+
+
 def recent(df: DataFrame, n: int = 100, ts: str = "timestamp", key: str = "alert_id") -> DataFrame:
     """Newest n rows (S9, T1); the limit is the feature."""
     return df.orderBy(F.desc(ts), F.asc(key)).limit(n)

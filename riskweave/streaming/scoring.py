@@ -25,7 +25,9 @@ from ..functions import scoring as S
 from ..functions.core import rnd, to_ts
 from ..operators import alerts as A
 from ..operators import risk
+from ..operators.reports import latency_sketches, merged_latency
 from ..sources.tables import EVENT_SCHEMA
+from . import profile
 
 
 def event_stream(spark: SparkSession, path: str, fmt: str = "json",
@@ -57,8 +59,9 @@ def score_events(events: DataFrame, velocity_threshold: int = C.MAX_TX_PER_HOUR,
                  scorer="rules", explain_model=None) -> DataFrame:
     """Stateless scoring (G2): every event is scored, however late it comes.
 
-    A transaction that is delivered again gets the same alert id, so repeats
-    meet in ``latest_alerts``; within a micro-batch they are dropped (X6).
+    ``start_scoring`` drops transactions that are delivered again (X6); one that
+    comes after its ``keep`` gets the same alert id and meets the first in
+    ``latest_alerts``.
 
     ``scorer``: a fitted ``PipelineModel`` over the 13 serving features; or
     "rules" (no model: the probability is the rule score, as the stream does
@@ -110,11 +113,13 @@ def _write(df: DataFrame, root: str, name: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(os.path.join(root, name, f"batch={batch_id}"))
 
 
-def batch_writer(out_root: str, notify_at: float = C.NOTIFY_AT):
-    """foreachBatch handler: scored, alerts and outbox from one persisted batch."""
+def batch_writer(out_root: str, notify_at: float = C.NOTIFY_AT, prepare=None):
+    """foreachBatch handler: scored, alerts, outbox, latency and progress from one persisted batch.
+
+    ``prepare`` turns the micro-batch into scored rows where that is not done in the stream."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         sink_time = F.unix_micros(F.current_timestamp()) / 1e6
-        scored = batch.withColumn(
+        scored = (prepare(batch) if prepare else batch).withColumn(
             "e2e_latency_ms",
             F.when(F.col("produce_time").isNotNull(), (sink_time - F.col("produce_time")) * 1000.0))
         scored = scored.dropDuplicates(["transaction_id"]).persist()
@@ -123,11 +128,37 @@ def batch_writer(out_root: str, notify_at: float = C.NOTIFY_AT):
             alerts = A.build_alerts(scored)
             _write(alerts, out_root, "alerts", batch_id)
             _write(A.outbox(alerts, notify_at), out_root, "outbox", batch_id)
+            latency = latency_sketches(scored, "channel", "e2e_latency_ms")
+            _write(latency, out_root, "latency", batch_id)
+            _write(progress(scored), out_root, "progress", batch_id)
         finally:
             scored.unpersist()
     return handle
 
 
+def is_flagged():
+    return (F.col("prediction") == 1) | F.col("rule_decision").isin(C.BLOCKED, C.PENDING_OTP)
+
+
+def progress(scored: DataFrame, target: float = C.LATENCY_TARGET_MS) -> DataFrame:
+    """One row on a micro-batch: rows, anomalies, latency and whether it missed the target.
+
+    The writer puts it in the folder of the batch's number, so a batch that is
+    run again replaces its row."""
+    p95 = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("e2e_latency_ms"), F.lit(0.95))
+    row = scored.agg(F.count(F.lit(1)).alias("processed"), F.count_if(is_flagged()).alias("anomalies"),
+                     F.avg("e2e_latency_ms").alias("mean_ms"), F.max("e2e_latency_ms").alias("max_ms"),
+                     F.when(F.count("e2e_latency_ms") > 0, p95).alias("p95_ms"))
+    return row.withColumn("alarm", F.coalesce((F.col("mean_ms") >= target) | (F.col("p95_ms") >= target), F.lit(False)))
+
+
+def latency_over(spark: SparkSession, out_root: str, first: int = 0, last: int | None = None,
+                 by: str | None = None) -> DataFrame:
+    """Latency of a range of micro-batches, merged from their sketches."""
+    rows = spark.read.parquet(os.path.join(out_root, "latency")).where(F.col("batch") >= first)
+    return merged_latency(rows if last is None else rows.where(F.col("batch") <= last), by)
+
+
 def latest_alerts(spark: SparkSession, out_root: str) -> DataFrame:
     """One row per alert id over all micro-batches: the one of the first batch that raised it."""
     a = spark.read.parquet(os.path.join(out_root, "alerts"))
@@ -143,15 +174,31 @@ def write_alerts_topic(alerts: DataFrame, servers: str, topic: str) -> None:
 
 def start_scoring(events: DataFrame, out_root: str, checkpoint: str,
                   available_now: bool = True, interval: str = "5 seconds",
-                  velocity_threshold: int = C.MAX_TX_PER_HOUR, scorer="rules"):
+                  velocity_threshold: int = C.MAX_TX_PER_HOUR, scorer="rules",
+                  keep: str | None = profile.KEEP, past: bool = False):
     """Start the scoring query: bounded run (availableNow) or daemon.
 
-    ``observe`` publishes processed / anomaly counters per batch (G9)."""
-    scored = score_events(events, velocity_threshold, scorer=scorer)
-    flag = (F.col("prediction") == 1) | F.col("rule_decision").isin(C.BLOCKED, C.PENDING_OTP)
-    scored = scored.observe("counters", F.count(F.lit(1)).alias("processed"),
-                            F.count_if(flag).alias("anomalies"))
-    w = scored.writeStream.foreachBatch(batch_writer(out_root)).option("checkpointLocation", checkpoint)
+    A transaction that was delivered within ``keep`` is not scored, raised or
+    queued again (X6; None: only within a micro-batch).  With ``past`` the
+    velocity and place rules read the sender's history from the stream's state
+    instead of from the event (X1, X4); this needs ``keep``.
+
+    ``observe`` publishes processed / anomaly counters per batch (G9); the
+    ``progress`` table has them for every batch."""
+    if past and keep is None:
+        raise ValueError("the history counts transactions, so it needs them once: set keep")
+    if past:
+        profile.use_state_store(events.sparkSession)
+        rows = profile.with_past(profile.once(events, keep))
+        rows = rows.observe("counters", F.count("event").alias("processed"))
+        handler = batch_writer(out_root, prepare=lambda b: score_events(
+            profile.gathered(b, events.schema), velocity_threshold, scorer=scorer))
+    else:
+        first = events if keep is None else profile.once(events, keep).drop("row_id", "arrived")
+        rows = score_events(first, velocity_threshold, scorer=scorer)
+        rows = rows.observe("counters", F.count(F.lit(1)).alias("processed"), F.count_if(is_flagged()).alias("anomalies"))
+        handler = batch_writer(out_root)
+    w = rows.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 

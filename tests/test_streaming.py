@@ -81,7 +81,7 @@ def test_late_rows_are_scored_and_alert_log(spark, scratch):
     from riskweave.sources.tables import read_alert_log
     tx, path = _events(spark, scratch)
     out, ck = os.path.join(scratch, "out"), os.path.join(scratch, "ck")
-    q = ST.start_scoring(ST.event_stream(spark, path), out, ck)
+    q = ST.start_scoring(ST.event_stream(spark, path), out, ck, keep=None)
     q.awaitTermination(300)
     n0 = spark.read.parquet(os.path.join(out, "scored")).count()
     a0 = ST.latest_alerts(spark, out).count()
@@ -90,7 +90,7 @@ def test_late_rows_are_scored_and_alert_log(spark, scratch):
     old = events.orderBy("ts").limit(1).withColumn("transaction_id", F.lit("TXN_LATE"))
     again = events.orderBy(F.desc("ts")).limit(40)
     old.union(again).coalesce(1).write.mode("append").json(path)
-    q2 = ST.start_scoring(ST.event_stream(spark, path), out, ck)
+    q2 = ST.start_scoring(ST.event_stream(spark, path), out, ck, keep=None)
     q2.awaitTermination(300)
     scored = spark.read.parquet(os.path.join(out, "scored"))
     assert scored.count() == n0 + 41
