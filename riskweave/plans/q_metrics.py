@@ -8,7 +8,9 @@ from .. import config as C
 from ..functions.core import rnd
 from ..functions import scoring as S
 from ..operators import drift as D
+from ..operators import drift_tests as DT
 from ..operators import metrics as M
+from ..operators import reports as R
 from ..operators import risk
 from ..sources import views as V
 from . import sqlfrag as Q
@@ -225,3 +227,84 @@ def drift_chi2(spark, sf):
     s = scored(spark, sf)
     split = F.lit(C.DRIFT_SPLIT_DAY).cast("timestamp_ntz")
     return D.chi2(s.where(F.col("ts") < split), s.where(F.col("ts") >= split))
+
+
+# --- tests and distances by column type (A16) and mergeable latency (A26, G7) ---
+
+_DRIFT_COLUMNS = [("amount", "number"), ("scoring_latency_ms", "number"), ("device_is_new", "flag"), ("is_fraud", "flag"),
+                  ("channel", "category"), ("location", "category")]
+
+
+def _drift_parts(distance: bool) -> str:
+    """One SELECT per column over its counts per value; windows give the empirical distributions."""
+    tail = ("exp(-z * z / 2) / 2.5066282746310002 * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 "
+            "+ t * (-1.821255978 + t * 1.330274429)))))")
+    out = []
+    for c, kind in _DRIFT_COLUMNS:
+        x = f'CAST("{c}" AS {"VARCHAR" if kind == "category" else "DOUBLE"})'
+        v = f"""WITH k AS (SELECT {x} AS x, CAST(count(*) FILTER (WHERE ts < TIMESTAMP '{C.DRIFT_SPLIT_DAY}') AS DOUBLE) AS r,
+  CAST(count(*) FILTER (WHERE ts >= TIMESTAMP '{C.DRIFT_SPLIT_DAY}') AS DOUBLE) AS c
+  FROM tx WHERE "{c}" IS NOT NULL GROUP BY 1),
+k2 AS (SELECT *, sum(r) OVER () AS n, sum(c) OVER () AS m FROM k),
+w AS (SELECT *, sum(r) OVER (ORDER BY x) AS rt, sum(c) OVER (ORDER BY x) AS ct, lag(x) OVER (ORDER BY x) AS px FROM k2)"""
+        if distance and kind == "number":
+            s = f"""{v} SELECT '{c}' AS feature, 'number' AS kind, 'wasserstein_std' AS measure, d FROM (
+SELECT sum(abs((rt - r) / n - (ct - c) / m) * (x - px)) / greatest(sqrt(greatest(sum(r * x * x) / sum(r)
+  - (sum(r * x) / sum(r)) * (sum(r * x) / sum(r)), 0)), 0.001) AS d FROM w) y"""
+        elif distance:
+            s = f"""{v} SELECT '{c}' AS feature, '{kind}' AS kind, 'jensen_shannon' AS measure, sqrt(greatest(sum(
+  CASE WHEN r > 0 THEN r / n * log2(r / n / ((r / n + c / m) / 2)) ELSE 0 END
+  + CASE WHEN c > 0 THEN c / m * log2(c / m / ((r / n + c / m) / 2)) ELSE 0 END) / 2, 0)) AS d FROM k2"""
+        elif kind == "number":
+            s = f"""{v} SELECT '{c}' AS feature, 'number' AS kind, 'kolmogorov_smirnov' AS test, s,
+  CASE WHEN l < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101),
+    lambda i: CASE WHEN i % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0 * i * i * l * l))))) END AS p
+  FROM (SELECT s, sqrt(n * m / (n + m)) * s AS l FROM (SELECT max(abs(rt / n - ct / m)) AS s, max(n) AS n, max(m) AS m FROM w))"""
+        elif kind == "flag":
+            s = f"""{v} SELECT '{c}' AS feature, 'flag' AS kind, 'proportions_z' AS test, s, 2 * {tail} AS p
+  FROM (SELECT s, abs(s) AS z, 1 / (1 + 0.2316419 * abs(s)) AS t FROM (
+    SELECT (b / m - a / n) / sqrt((a + b) / (n + m) * (1 - (a + b) / (n + m)) * (1 / n + 1 / m)) AS s FROM (
+      SELECT sum(r) AS n, sum(c) AS m, sum(CASE WHEN x = 1 THEN r ELSE 0 END) AS a, sum(CASE WHEN x = 1 THEN c ELSE 0 END) AS b FROM k)))"""
+        else:
+            s = f"""{v} SELECT '{c}' AS feature, 'category' AS kind, 'chi_square' AS test, s,
+  round(CASE WHEN dof <= 0 THEN 1.0 WHEN z0 >= 0 THEN {tail} ELSE 1 - {tail} END, 6) AS p
+  FROM (SELECT s, dof, z0, abs(z0) AS z, 1 / (1 + 0.2316419 * abs(z0)) AS t FROM (
+    SELECT s, dof, (power(s / g, 1.0::DOUBLE / 3) - (1 - 2 / (9 * g))) / sqrt(2 / (9 * g)) AS z0 FROM (
+      SELECT s, dof, CAST(greatest(dof, 1) AS DOUBLE) AS g FROM (SELECT count(*) - 1 AS dof, sum(
+        (r - n * (r + c) / (n + m)) * (r - n * (r + c) / (n + m)) / (n * (r + c) / (n + m))
+        + (c - m * (r + c) / (n + m)) * (c - m * (r + c) / (n + m)) / (m * (r + c) / (n + m))) AS s FROM k2))))"""
+        out.append(f"SELECT * FROM ({s}) u{len(out)}")
+    return f"WITH tx AS ({Q.TX_BASE}) " + "\nUNION ALL ".join(out)
+
+
+def _two_windows(spark, sf):
+    tx = V.transactions(spark, sf)
+    split = F.lit(C.DRIFT_SPLIT_DAY).cast("timestamp_ntz")
+    return tx.where(F.col("ts") < split), tx.where(F.col("ts") >= split), [c for c, _ in _DRIFT_COLUMNS]
+
+
+@register("drift_tests", f"""SELECT feature, kind, test, round(s, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS drifted
+FROM ({_drift_parts(False)}) d""")
+def drift_tests(spark, sf):
+    return DT.tests(*_two_windows(spark, sf))
+
+
+@register("drift_distances", f"""SELECT feature, kind, measure, round(d, 6) AS distance, d >= 0.1 AS drifted
+FROM ({_drift_parts(True)}) d""")
+def drift_distances(spark, sf):
+    return DT.distances(*_two_windows(spark, sf))
+
+
+@register("latency_sketch_ranks", f"""SELECT channel, count(*) AS n, max(scoring_latency_ms) AS max_ms, TRUE AS within_error
+FROM ({Q.TX_BASE}) t WHERE scoring_latency_ms IS NOT NULL GROUP BY channel""")
+def latency_sketch_ranks(spark, sf):
+    """Per channel: daily KLL sketches merged over all days, and whether the p95 from them has a true rank within 0.02."""
+    tx = V.transactions(spark, sf).where(F.col("scoring_latency_ms").isNotNull())
+    daily = R.latency_sketches(tx.withColumn("slot", F.concat_ws(" ", F.to_date("ts"), "channel")), "slot")
+    merged = R.merged_latency(daily.withColumn("channel", F.expr("substr(slot, 12)")), "channel")
+    near = tx.join(F.broadcast(merged.select("channel", "p95_ms")), "channel")          # one row a channel
+    g = near.groupBy("channel").agg(F.count_if(F.col("scoring_latency_ms") < F.col("p95_ms")).alias("under"),
+                                    F.count_if(F.col("scoring_latency_ms") <= F.col("p95_ms")).alias("upto"))
+    n = F.col("n")
+    ok = (F.col("under") / n <= 0.97) & (F.col("upto") / n >= 0.93)
+    return merged.join(g, "channel").select("channel", "n", "max_ms", ok.alias("within_error"))
