@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from riskweave.llm import balltree, vamana, vectors
 
@@ -47,6 +48,38 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
 
 
+def wide_rows(seed, scale, n=260, dim=5):
+    rng = random.Random(seed)
+    return [(i, [float(np.float32(rng.choice([-1, 1]) * scale ** rng.random() * rng.random())) for _ in range(dim)], "x", 7)
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("scale", [1e7, 1e12, 1e19, 3e38])
+def test_top_k_of_large_components_is_exact(spark, monkeypatch, scale):
+    """Scores beyond 2**53 are exact integers, and beyond a long the nearest long."""
+    monkeypatch.setattr(vectors.sharded, "__defaults__", (90,))
+    monkeypatch.setattr(vectors.blocked, "__defaults__", (5,))
+    monkeypatch.setattr(balltree, "LEAF", 8)
+    rows = wide_rows(3, scale) + [(1000, [1.0] * 5, "x", 7), (1001, [0.0] * 5, "x", 7), (1020, [float(np.float32(1e7))] * 5, "x", 7)]
+    got = balltree.top_k(table(spark, rows)).collect()
+    pts = [(i, [math.floor(64 * x) for x in v.tolist()]) for i, v in usable(rows, True)]
+    want = []
+    for i, q in pts:
+        if i % 20 == 0:
+            s = sorted((-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(q, c)))), j) for j, c in pts if j != i)[:20]
+            want += [(i, r, j, -x) for r, (x, j) in enumerate(s, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_top_k_of_doubles_near_their_end(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e7, 0.0]), (2, [2e7, 0.0]), (3, [1e300, 0.0]), (4, [-1e305, 1e305]), (5, [1e308, 0.0]),
+            (20, [1e200, -1e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in balltree.top_k(df).where("query_id = 0").orderBy("rank").collect()]
+    # 64 * 1e308 is not finite, so that row takes no part
+    assert got == [(3, 2**63 - 1), (2, 64 * 64 * 20_000_000), (1, 64 * 64 * 10_000_000), (4, 0), (20, 0)]
+
+
 def test_graph_search_recall_and_scores(spark, monkeypatch):
     monkeypatch.setattr(vectors.sharded, "__defaults__", (400,))
     rows = rows_for(dim=16)
