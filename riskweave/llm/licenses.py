@@ -1,16 +1,21 @@
 """License scans: an exact containment join of text blocks with license templates.
 
-A template is the set of its words; a block is a run of twice as many words of
-a text as the template has, one starting at every multiple of the template's
-length, so that every passage of the template's length lies whole in a block.
-All blocks that hold at least ``num / den`` of a template's words are found:
+A template is the set of its words, and some of them are its distinguishing
+words ("mit", "nc", the number of a version): without all of these a passage
+is not that license's, however much it shares.  A block is a run of words of
+a text, twice as long as the template less three words, so that words may be
+put in, but the three of "all rights reserved" must stand together.  Every
+block that holds at least ``num / den`` of a template's words and all its
+distinguishing ones is found, wherever it starts; blocks that overlap are one
+passage, given as the block that shares most (the first of these):
 
 * words are ordered by their frequency in all texts; if a block holds o of a
   template's n words, it holds one of the template's n - o + 1 rarest (prefix
-  filter), so only blocks around those are looked at;
-* a block with fewer than o words cannot qualify (length filter), nor can one
-  whose rarest shared word stands so late in the template's order, or so few
-  words of which are left, that o are out of reach (positional filter);
+  filter), so only blocks around those are looked at, and only those that
+  start at one of the template's words;
+* a block with fewer than o of the template's words, repeats counted, cannot
+  qualify (length filter), nor can one whose rarest shared word stands so late
+  in the template's order that o are out of reach (positional filter);
 * the words shared by what is left are counted exactly.
 
 The templates are a fixed list, so every worker holds them; texts do not move.
@@ -39,23 +44,24 @@ BASE = [
     ("cc by nc", "cc-by-nc"),
 ]
 
-# Notices that the licenses' own texts ask for or use, with their labels.
+# Notices that the licenses' own texts ask for or use, with their labels and distinguishing words.
 TEMPLATES = [
-    ("Released under the MIT License", "mit"),
+    ("Released under the MIT License", "mit", "mit"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-     "documentation files, to deal in the Software without restriction", "mit"),
-    ("Licensed under the Apache License, Version 2.0", "apache-2"),
+     "documentation files, to deal in the Software without restriction", "mit", ""),
+    ("Licensed under the Apache License, Version 2.0", "apache-2", "apache 2"),
     ("Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. "
-     "You may obtain a copy of the License at", "apache-2"),
-    ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
-    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
-    ("This work is licensed under the GNU General Public License, version 3", "gpl-3"),
+     "You may obtain a copy of the License at", "apache-2", "apache 2"),
+    ("Licensed under CC BY-NC 4.0", "cc-by-nc", "cc nc"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc",
+     "noncommercial"),
+    ("This work is licensed under the GNU General Public License, version 3", "gpl-3", "gnu 3"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-     "License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"),
+     "License as published by the Free Software Foundation, either version 3 of the License", "gpl-3", "general 3"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-     "following conditions are met", "bsd"),
-    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2"),
-    ("All rights reserved", "all-rights-reserved"),
+     "following conditions are met", "bsd", ""),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2", "mozilla 2"),
+    ("All rights reserved", "all-rights-reserved", "all rights reserved"),
 ]
 
 #: Separators of the words: ASCII except digits and (after lower-casing) letters.
@@ -79,7 +85,7 @@ def hashes_of(text: str) -> np.ndarray:
 
 def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
     """How often each word of the templates occurs in all texts (a bounded table)."""
-    vocab = np.unique(np.concatenate([hashes_of(t) for t, _ in templates]))
+    vocab = np.unique(np.concatenate([hashes_of(t) for t, *_ in templates]))
 
     def run(batches):
         total = np.zeros(len(vocab), np.int64)
@@ -98,55 +104,59 @@ def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
 @dataclass
 class Template:
     label: str
-    length: int                # words, with repeats: the step of its blocks
+    block: int                 # words of a block
     words: np.ndarray          # distinct word hashes, rarest first
     need: int                  # words that a block must share
+    marks: list[int]           # places of the distinguishing words in ``words``
 
 
 def ordered(freq: dict[int, int], p: Params, templates=TEMPLATES) -> list[Template]:
     out = []
-    for text, label in templates:
+    for text, label, marks in templates:
         h = hashes_of(text)
         distinct = sorted({int(x) for x in h}, key=lambda x: (freq.get(x, 0), x))
-        out.append(Template(label, len(h), np.array(distinct, np.uint64), -(-len(distinct) * p.num // p.den)))
+        out.append(Template(label, max(2 * len(h) - 3, len(h)), np.array(distinct, np.uint64),
+                            -(-len(distinct) * p.num // p.den), [distinct.index(int(x)) for x in hashes_of(marks)]))
     return out
 
 
 def matches(w: Words, h: np.ndarray, t: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first word, shared words) of all blocks that meet the template's need."""
+    """(document, first word, shared words) of every passage that meets the template's need."""
     n = len(t.words)
     by = np.argsort(t.words)
     at = np.minimum(np.searchsorted(t.words[by], h), n - 1)
     place = np.where(t.words[by][at] == h, by[at], n).astype(np.int64)   # place in the template's order; n: not in it
-    hit = np.flatnonzero(place <= n - t.need)
     empty = np.zeros(0, np.int64)
-    if not len(hit):
+    rare = np.flatnonzero(place <= n - t.need)
+    if not len(rare):
         return empty, empty, empty
-    doc = np.searchsorted(w.doc_ptr, hit, side="right") - 1
-    nth = (hit - w.doc_ptr[doc]) // t.length
-    key = np.unique(np.concatenate([np.stack([doc, nth], 1), np.stack([doc, np.maximum(nth - 1, 0)], 1)]), axis=0)
-    doc, first = key[:, 0], w.doc_ptr[key[:, 0]] + key[:, 1] * t.length
-    size = np.minimum(2 * t.length, w.doc_ptr[doc + 1] - first)
-    keep = size >= t.need
-    doc, first, size = doc[keep], first[keep], size[keep]
+    start = np.flatnonzero(place < n)
+    doc = np.searchsorted(w.doc_ptr, start, side="right") - 1
+    end = np.minimum(start + t.block, w.doc_ptr[doc + 1])
+    near = rare[np.minimum(np.searchsorted(rare, start), len(rare) - 1)]
+    keep = (near >= start) & (near < end)                               # a rare word stands in the block
+    keep &= np.searchsorted(start, end) - np.arange(len(start)) >= t.need
+    doc, start, end = doc[keep], start[keep], end[keep]
     found = ([], [], [])
     for a in range(0, len(doc), 20_000):
-        d, f, s = doc[a:a + 20_000], first[a:a + 20_000], size[a:a + 20_000]
-        step = np.arange(2 * t.length)
-        inside = step < s[:, None]
-        got = np.where(inside, place[np.minimum(f[:, None] + step, len(h) - 1)], n)
-        rarest = got.min(axis=1)
-        left = s - (got == rarest[:, None]).argmax(axis=1)             # words from its first place on
-        before = (got < n).sum(axis=1) - ((got < n) & (step >= (s - left)[:, None])).sum(axis=1)
-        near = np.minimum(n - rarest, left + before) >= t.need
-        d, f, got = d[near], f[near], got[near]
-        shared = np.zeros(len(d), np.int64)
-        for i in range(n):
-            shared += (got == i).any(axis=1)
-        ok = shared >= t.need
+        d, f, e = doc[a:a + 20_000], start[a:a + 20_000], end[a:a + 20_000]
+        spot = f[:, None] + np.arange(t.block)
+        got = np.where(spot < e[:, None], place[np.minimum(spot, len(h) - 1)], n)
+        able = n - got.min(axis=1) >= t.need
+        d, f, got = d[able], f[able], got[able]
+        there = np.stack([(got == i).any(axis=1) for i in range(n)], axis=1)
+        shared = there.sum(axis=1)
+        ok = (shared >= t.need) & there[:, t.marks].all(axis=1)
         for out, x in zip(found, (d, f, shared)):
             out.append(x[ok])
-    return tuple(np.concatenate(x) if x else empty for x in found)
+    doc, start, shared = (np.concatenate(x) if x else empty for x in found)
+    if not len(doc):
+        return empty, empty, empty
+    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] >= start[:-1] + t.block))
+    passage = np.cumsum(new)
+    order = np.lexsort((start, -shared, passage))
+    first = order[np.flatnonzero(np.append(True, np.diff(passage[order]) > 0))]
+    return doc[first], start[first], shared[first]
 
 
 def phrase_places(w: Words, h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -162,7 +172,7 @@ def phrase_places(w: Words, h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, params: Params | None = None, templates=TEMPLATES) -> DataFrame:
-    """doc_id, label, first_word, last_word (of the block), containment: every block found."""
+    """doc_id, label, first_word, last_word (of the block), containment: every passage found."""
     p = params or Params()
     known = ordered(frequencies(docs, templates), p, templates)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("label", T.StringType()),
@@ -177,7 +187,7 @@ def scan(docs: DataFrame, params: Params | None = None, templates=TEMPLATES) ->
                 h = w.hashes()
                 for t in known:
                     d, f, s = matches(w, h, t)
-                    last = np.minimum(f + 2 * t.length, w.doc_ptr[d + 1]) - 1
+                    last = np.minimum(f + t.block, w.doc_ptr[d + 1]) - 1
                     yield pa.RecordBatch.from_arrays(
                         [rb.column("doc_id").take(pa.array(lo + d)), pa.array([t.label] * len(d), pa.string()),
                          pa.array(f - w.doc_ptr[d]), pa.array(last - w.doc_ptr[d]), pa.array(s / len(t.words))],
