@@ -151,7 +151,7 @@ def brute_lines(rows):
     for i, t, *_ in rows:
         for pos, line in enumerate((t or "").split("\n")):
             norm = line.strip(" ").lower()
-            if i is not None and len(norm) >= 24:
+            if i is not None and len(norm) >= 8:
                 places.setdefault(norm, set()).add((i, pos))
     u = Union()
     names = sorted(places)
@@ -202,6 +202,25 @@ def test_line_dedup(spark):
         assert (i in left) != all_gone
 
 
+def test_rows_of_one_id_with_other_texts_are_several_documents(spark):
+    a, b = "the first line is long enough", "another line that nothing repeats"
+    docs = spark.createDataFrame([(0, a), (1, a), (1, b), (2, f"{b}\n{a}\nown words of this row"), (2, f"{b}\n{a}\nown words of this row")],
+                                 "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in lines.dedup(docs).collect())
+    assert got == [(0, a), (1, b), (2, "own words of this row"), (2, "own words of this row")]
+
+
+def test_short_lines_and_clashing_columns(spark):
+    rows = [(i, "copied ln\n}\n\nend if", 5, 6, 7, "d") for i in range(4)] + [(9, "copied 1n\nseventh", 5, 6, 7, "d")]
+    names = "doc_id long, text string, __rest long, gone long, rest long, body string"
+    docs = spark.createDataFrame(rows, names)
+    out = sorted(tuple(r) for r in lines.dedup(docs).collect())
+    # one character of nine changes both windows; lines below eight characters stay
+    assert out == [(0, "copied ln\n}\n\nend if", 5, 6, 7, "d"), *[(i, "}\n\nend if", 5, 6, 7, "d") for i in range(1, 4)],
+                   (9, "copied 1n\nseventh", 5, 6, 7, "d")]
+    assert lines.dedup(docs.select("rest", "text", "doc_id")).columns == ["rest", "text", "doc_id"]
+
+
 def alike(rng, kind):
     """A line and a copy with one to three changes whose windows have a similarity of 0.8 or more."""
     letters = "abcdefghijklmnopqrstuvwxyz"
