@@ -14,9 +14,12 @@ margin that has not come to the tolerance is warned of.  A document is kept if a
 hash of its id and text, as a number in [0, 1), is below its probability, so
 the sample does not depend on the order or the number of tasks.
 
-The cell table is raked as a table, so sources may be as many as there are web
-hosts; raking under the bound needs many rounds, so for that a table of at
-most ``COLLECT`` cells is collected, and a larger one gets ``rounds`` rounds.
+Sources may be as many as there are web hosts.  A table of at most ``COLLECT``
+cells (some tens of MB) is solved with arrays on the driver, a larger one as
+DataFrames, one aggregate per margin and round; the steps, the tolerance and
+the end are the same: rounds end when no margin is off by more than the
+tolerance, when the largest error has not fallen by a hundredth over
+``patience`` rounds, or after ``rounds``.
 
 Topic: the one of ``topics`` classes to which most long words (six bytes or
 more) of the text hash; ties take the smaller class, texts without long words
@@ -43,8 +46,8 @@ from .store import written
 from .text import Words, blocks, utf8
 
 CELL = ["__source", "__lang", "__topic"]
-#: Cells up to which raking under the bound runs on the driver (some tens of MB), and its rounds there.
-COLLECT, LOCAL_ROUNDS = 200_000, 5_000
+#: Cells up to which the table is solved on the driver (some tens of MB).
+COLLECT = 200_000
 
 
 @dataclass
@@ -53,10 +56,29 @@ class Params:
     alpha: dict[str, float] = field(default_factory=lambda: {"source": 0.8, "lang": 0.8, "topic": 0.8})
     keep: float = 0.9          # wanted share of the tokens
     tolerance: float = 1e-6    # largest relative error of a margin
-    rounds: int = 50
+    rounds: int = 5_000
+    patience: int = 50
     seed: int = 11
 
 
+class Rounds:
+    """Whether another round of raking is due, from the largest error of each; the same for arrays and tables."""
+
+    def __init__(self, what: str, p: Params):
+        self.what, self.p, self.errors = what, p, []
+
+    def done(self, off: float) -> bool:
+        self.errors.append(off)
+        if off <= self.p.tolerance:
+            return True
+        n = len(self.errors)
+        stuck = n > self.p.patience and min(self.errors) > 0.99 * min(self.errors[:n - self.p.patience])
+        if stuck or n >= self.p.rounds:
+            warnings.warn(f"{self.what}: a margin is off by {off:.2g} of its target after {n} rounds", stacklevel=3)
+            return True
+        return False
+
+
 def measured(docs: DataFrame, p: Params) -> DataFrame:
     """The rows with __source, __lang, __topic, __tokens and __u (the hash of id and text in [0, 1))."""
     cols = docs.columns
@@ -100,7 +122,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], p: Params) -> DataFram
     """
     total = cells.agg(F.sum("tokens")).first()[0]
     now = written(cells.withColumn("fit", F.col("tokens").cast("double")), "rake")
-    for _ in range(p.rounds):
+    rounds, off = Rounds("rake", p), None
+    while off is None or not rounds.done(off):
         step = now.select(*CELL, "tokens", "fit", F.lit(0.0).alias("off"))
         for c in CELL:
             want = targets[c].select(F.col("value").alias(c), (F.col("share") * F.lit(float(total))).alias("want"))
@@ -109,17 +132,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], p: Params) -> DataFram
             step = step.join(have, c).select(*CELL, "tokens", (F.col("fit") * F.col("by")).alias("fit"),
                                              F.greatest("off", F.abs(F.col("by") - 1)).alias("off"))
         now = written(step, "rake")
-        if (now.agg(F.max("off")).first()[0] or 0.0) <= p.tolerance:
-            break
-    else:
-        _unmet("rake", now.agg(F.max("off")).first()[0], p.rounds)
+        off = now.agg(F.max("off")).first()[0] or 0.0
     return now.select(*CELL, "tokens", "fit")
 
 
-def _unmet(what: str, off: float, rounds: int) -> None:
-    warnings.warn(f"{what}: a margin is off by {off:.2g} of its target after {rounds} rounds", stacklevel=3)
-
-
 def powered(cells: DataFrame, c: str, alpha: float) -> DataFrame:
     """Target shares of a margin: its shares to the power alpha, normalised."""
     m = cells.groupBy(F.col(c).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("w"))
@@ -176,10 +192,9 @@ def bounded(cells: DataFrame, targets: dict[str, DataFrame], p: Params) -> DataF
     if cells.where("prob >= 1").isEmpty():
         return cells
     want = {c: reachable(cells, c, targets[c], p) for c in CELL}
-    if cells.count() <= COLLECT:
-        return _bounded_here(cells, want, p)
     now = cells
-    for _ in range(p.rounds):
+    rounds, off_all = Rounds("bounded", p), None
+    while off_all is None or not rounds.done(off_all):
         step = now.select(*CELL, "tokens", "factor", "prob", F.lit(0.0).alias("off"))
         for c in CELL:
             have = step.groupBy(c).agg(
@@ -193,23 +208,59 @@ def bounded(cells: DataFrame, targets: dict[str, DataFrame], p: Params) -> DataF
                 *CELL, "tokens", "factor", F.least(F.lit(1.0), F.col("prob") * F.col("by")).alias("prob"),
                 F.greatest("off", "here").alias("off"))
         now = written(step, "bounded")
-        if (now.agg(F.max("off")).first()[0] or 0.0) <= p.tolerance:
-            break
-    else:
-        _unmet("bounded", now.agg(F.max("off")).first()[0], p.rounds)
+        off_all = now.agg(F.max("off")).first()[0] or 0.0
     return now.select(*CELL, "tokens", "factor", "prob")
 
 
-def _bounded_here(cells: DataFrame, want: dict[str, DataFrame], p: Params) -> DataFrame:
-    """The rounds of ``bounded`` on the driver."""
-    rows = cells.select(*CELL, "tokens", "factor", "prob").collect()
-    tokens, prob = (np.array([r[c] for r in rows], np.float64) for c in ("tokens", "prob"))
+# ---------------------------------------------------------------- the same steps on arrays
+def solved_here(cells: DataFrame, targets: dict[str, DataFrame], p: Params) -> DataFrame:
+    """``rake``, ``calibrated`` and ``bounded`` of a small cell table, on the driver."""
+    rows = cells.select(*CELL, "tokens").collect()
+    tokens = np.array([r["tokens"] for r in rows], np.float64)
+    total = float(tokens.sum())
     sides = []
     for c in CELL:
-        goal = [(r[c], r["want"]) for r in want[c].collect()]
-        at = {v: i for i, (v, _) in enumerate(goal)}
-        sides.append((np.array([at[r[c]] for r in rows]), np.array([w for _, w in goal], np.float64)))
-    for _ in range(LOCAL_ROUNDS):
+        share = {r["value"]: r["share"] for r in targets[c].collect()}
+        values = sorted({r[c] for r in rows}, key=str)
+        at = {v: i for i, v in enumerate(values)}
+        sides.append((np.array([at[r[c]] for r in rows]), np.array([share.get(v) or 0.0 for v in values]) * total))
+    fit, rounds, off = tokens.copy(), Rounds("rake", p), None
+    while off is None or not rounds.done(off):
+        off = 0.0
+        for at, want in sides:
+            have = np.bincount(at, fit, len(want))
+            by = np.where(have > 0, want / np.where(have > 0, have, 1.0), 0.0)
+            off = max(off, float(np.abs(by - 1).max()))
+            fit = fit * by[at]
+    factor = fit / tokens
+    prob = np.minimum(1.0, factor * _multiplier_here(tokens, factor, p))
+    if (prob >= 1).any():
+        goals = []
+        for at, want in sides:
+            have = np.bincount(at, tokens, len(want))
+            f = want / have
+            goals.append((at, have * np.minimum(1.0, f * _multiplier_here(have, f, p))))
+        prob = _bounded_here(tokens, prob, goals, p)
+    out = [(*[r[c] for c in CELL], r["tokens"], float(f), float(x)) for r, f, x in zip(rows, factor, prob)]
+    schema = T.StructType([*cells.select(*CELL, "tokens").schema.fields, T.StructField("factor", T.DoubleType()),
+                           T.StructField("prob", T.DoubleType())])
+    return cells.sparkSession.createDataFrame(out, schema)
+
+
+def _multiplier_here(tokens: np.ndarray, factor: np.ndarray, p: Params) -> float:
+    wanted, by = p.keep * tokens.sum(), p.keep
+    while True:
+        at_one = factor * by >= 1
+        rest = float((tokens * factor)[~at_one].sum())
+        new = (wanted - tokens[at_one].sum()) / rest if rest else by
+        if new <= by * (1 + 1e-9):
+            return float(by)
+        by = new
+
+
+def _bounded_here(tokens: np.ndarray, prob: np.ndarray, sides: list, p: Params) -> np.ndarray:
+    rounds, off = Rounds("bounded", p), None
+    while off is None or not rounds.done(off):
         off = 0.0
         for at, goal in sides:
             have = np.bincount(at, tokens * prob, len(goal))
@@ -220,12 +271,14 @@ def _bounded_here(cells: DataFrame, want: dict[str, DataFrame], p: Params) -> Da
             by = np.where(have > 0, by, 1.0)
             off = max(off, float(np.where(have > 0, np.abs(goal / some - 1), 0.0).max()))
             prob = np.minimum(1.0, prob * by[at])
-        if off <= p.tolerance:
-            break
-    else:
-        _unmet("bounded", off, LOCAL_ROUNDS)
-    out = [(*[r[c] for c in CELL], r["tokens"], r["factor"], float(x)) for r, x in zip(rows, prob)]
-    return written(cells.sparkSession.createDataFrame(out, cells.select(*CELL, "tokens", "factor", "prob").schema), "bounded")
+    return prob
+
+
+def solved(cells: DataFrame, targets: dict[str, DataFrame], p: Params) -> DataFrame:
+    """Cells with ``factor`` and ``prob``."""
+    if cells.count() <= COLLECT:
+        return solved_here(cells, targets, p)
+    return bounded(calibrated(rake(cells, targets, p), p), targets, p)
 
 
 def margins(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
@@ -252,7 +305,7 @@ def decided(docs: DataFrame, params: Params | None = None, targets: dict[str, Da
     if cells.isEmpty():
         probs = cells.select(*CELL, F.lit(1.0).alias("__factor"), F.lit(1.0).alias("__prob"))
     else:
-        probs = written(bounded(calibrated(rake(cells, goal, p), p), goal, p).select(
+        probs = written(solved(cells, goal, p).select(
             *CELL, F.col("factor").alias("__factor"), F.col("prob").alias("__prob")), "probs")
     out = rows.join(probs, CELL, "left")
     empty = F.col("__tokens") == 0
@@ -268,5 +321,7 @@ def op2_mixing(docs: DataFrame, params: Params | None = None) -> DataFrame:
 
 
 def mix(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """The sampled documents, with their own columns."""
-    return decided(docs, params).where("__keep").select(*docs.columns)
+    """The sampled documents, with their own columns (taken by position, so they may have any names)."""
+    read = ("doc_id", "text", "source", "lang")
+    held = docs.toDF(*[c if c in read else f"own{i}" for i, c in enumerate(docs.columns)])
+    return decided(held, params).where("__keep").select(*held.columns).toDF(*docs.columns)
