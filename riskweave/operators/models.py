@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -93,9 +94,9 @@ def evaluate(scored: DataFrame, name: str) -> DataFrame:
 
 
 def save(model: PipelineModel, root: str, name: str) -> str:
-    """Versioned save: every model goes to its own timestamped folder."""
-    path = os.path.join(root, name, time.strftime("%Y%m%dT%H%M%S"))
-    model.write().overwrite().save(path)
+    """Versioned save: every model goes to a folder of its own, by time and then a random name."""
+    path = os.path.join(root, name, f"{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:12]}")
+    model.write().save(path)
     return path
 
 
