@@ -2,11 +2,11 @@
 
 ``linked`` finds the components that all verified links would give, without
 emitting all pairs of a bucket: in every round each unresolved bucket's
-leaders (the member that shares most buckets and two by hash) are verified
-against its members of other components; members that became connected need
-no further test.  A bucket is done when all its members
-are in one component or every pair across components has been tested, so no
-link between different components can be missed.
+leaders (of the members marked ``lead`` the one that shares most buckets and
+two by hash) are verified against its members of other components; members
+that became connected need no further test.  A bucket is done when all its
+members are in one component or every pair across components with a lead has
+been tested, so no link between different components can be missed.
 """
 
 from __future__ import annotations
@@ -60,16 +60,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """The distinct rows (sig, node) of buckets that hold more than one node, written to the shared folder.
+    """The distinct rows (sig, node, lead) of buckets that hold more than one node, written to the shared folder.
 
-    Of buckets with the same members only one is kept (members are compared by
+    ``lead`` (true where the column is absent) says that the node is to be
+    compared with every member of the bucket; members without it need no
+    comparison with one another, so buckets without a lead are dropped.  Of
+    buckets with the same members only one is kept (members are compared by
     their number and two 64-bit combined hashes; the rows are made distinct
     first, as a member that stands on two rows would cancel itself in these).
     """
-    many = buckets.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    shared = written(buckets.join(many, "sig").select("sig", "node").distinct(), "buckets")
+    if "lead" not in buckets.columns:
+        buckets = buckets.withColumn("lead", F.lit(True))
+    many = (buckets.groupBy("sig").agg(F.count("*").alias("n"), F.bool_or("lead").alias("any"))
+            .where("n > 1 and any").select("sig"))
+    shared = written(buckets.join(many, "sig").groupBy("sig", "node").agg(F.bool_or("lead").alias("lead")), "buckets")
     members = shared.groupBy("sig").agg(F.count("*").alias("n"), *[
-        F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)]).where("n > 1")
+        F.bit_xor(F.xxhash64(F.lit(i), "node", "lead")).alias(f"x{i}") for i in (1, 2)]).where("n > 1")
     one = written(members.groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig"), "sigs")
     return written(shared.join(one, "sig"), "buckets")
 
@@ -81,46 +87,47 @@ def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], links: D
     ``verify`` keeps the linked pairs of a table (a, b); ``links`` are links
     known beforehand.  Leader rounds go on until the pairs that are left
     across components are at most ``PAIRS`` times the bucket rows (and at least
-    ``leader_rounds`` times); these are then verified one by one, each in the
-    first bucket that its two nodes share.
+    ``leader_rounds`` times); these are then verified one by one, once each.
     """
     b = shared
     budget = PAIRS * b.count()
     nodes = b.groupBy("node").agg((-F.count("*")).alias("rank"))
-    b = written(b.join(nodes, "node").select("sig", "node", "rank", F.col("node").alias("comp")), "buckets")
+    b = written(b.join(nodes, "node").select("sig", "node", "lead", "rank", F.col("node").alias("comp")), "buckets")
     edges, done = links, 0
     while not b.isEmpty():
-        left = (b.groupBy("sig", "comp").agg(F.count("*").alias("n"))
-                .groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("c"))
-                .agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0])
+        n, m = F.col("n"), F.col("m")                           # members, and those that only leads are compared with
+        left = (b.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.count_if(~F.col("lead")).alias("m"))
+                .groupBy("sig").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum(n * n - m * m).alias("same"))
+                .agg(F.sum((n * n - m * m - F.col("same")) / 2)).first()[0])
         last = done >= leader_rounds and left <= budget
         if last:
-            own = b.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
-            b = written(b.join(own, "node"), "buckets")
-            x = b.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sigs").alias("sa"))
-            y = b.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sigs").alias("sb"))
-            first = F.array_min(F.array_intersect("sa", "sb"))
-            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("ca") < F.col("cb")) & (first == x["sig"])) \
-                .select("a", "b").distinct()
+            low = b.where("lead").groupBy("node").agg(F.min("sig").alias("low"))
+            low = written(b.join(low, "node", "left").select("sig", "node", "lead", "comp", "low"), "buckets")
+            x = low.where("lead").select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("low").alias("la"))
+            y = low.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("low").alias("lb"),
+                           F.col("lead").alias("too"))
+            # nodes whose first bucket as a lead is the same meet there and need not meet in their other ones
+            pairs = (x.join(y, "sig").where("ca <> cb and (not too or a < b) and (not (la <=> lb) or sig = la)")
+                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         else:
-            lead = b.groupBy("sig").agg(F.min(F.struct("rank", "node"))["node"].alias("l0"), *[
+            lead = b.where("lead").groupBy("sig").agg(F.min(F.struct("rank", "node"))["node"].alias("l0"), *[
                 F.min(F.struct(F.xxhash64(F.lit(2 * done + i), "node").alias("h"), "node"))["node"].alias(f"l{i}")
                 for i in (1, 2)])
-            lead = written(lead.select("sig", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("lead")), "leaders")
-            heads = lead.join(b.select("sig", F.col("node").alias("lead"), F.col("comp").alias("head")), ["sig", "lead"])
+            lead = written(lead.select("sig", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("head")), "leaders")
+            heads = lead.join(b.select("sig", F.col("node").alias("head"), F.col("comp").alias("top")), ["sig", "head"])
             heads = written(heads, "leaders")
-            pairs = (b.join(heads, "sig").where("comp <> head")
-                     .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+            pairs = (b.join(heads, "sig").where("comp <> top")
+                     .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
         good = verify(written(pairs, "pairs")).select("a", "b")
         edges = written(good if edges is None else edges.union(good), "links")
         if last:
             break
         label = components(edges)
-        rest = b.join(lead.select("sig", F.col("lead").alias("node")), ["sig", "node"], "left_anti").drop("comp")
+        rest = b.join(lead.select("sig", F.col("head").alias("node")), ["sig", "node"], "left_anti").drop("comp")
         rest = written(rest.join(label, "node", "left").select(
-            "sig", "node", "rank", F.coalesce("component", "node").alias("comp")), "buckets")
-        open_ = (rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                 .where("lo < hi").select("sig"))
+            "sig", "node", "lead", "rank", F.coalesce("component", "node").alias("comp")), "buckets")
+        open_ = (rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("lead").alias("any"))
+                 .where("lo < hi and any").select("sig"))
         b = written(rest.join(open_, "sig"), "buckets")
         done += 1
         release(b.sparkSession)

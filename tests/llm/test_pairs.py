@@ -97,7 +97,7 @@ def corpus(seed, n=120):
     return texts
 
 
-@pytest.mark.parametrize("seed,params", [(1, jaccard.Params()), (2, jaccard.Params(cell_bits=6, classes=4, frequent=0.5))])
+@pytest.mark.parametrize("seed,params", [(1, jaccard.Params()), (2, jaccard.Params(cell_bits=6, per_class=4, frequent=0.5))])
 def test_jaccard_join_is_exact(spark, seed, params):
     rows = [(i * 3 - 40, t, 1, 2) for i, t in enumerate(corpus(seed))]
     rows += [rows[5], rows[20], (None, rows[30][1], 1, 2)]
