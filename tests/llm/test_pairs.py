@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from riskweave.llm import graph, jaccard, lines
@@ -116,6 +117,34 @@ def test_jaccard_join_is_exact(spark, seed, params):
     assert {r.doc_id for r in kept.collect()} == {i if i is None else u.find(i) for i, *_ in rows}
 
 
+@pytest.mark.parametrize("params", [jaccard.Params(), jaccard.Params(num=80), jaccard.Params(per_class=4, pairs_from=3, num=60)])
+def test_linked_sets_share_a_key_of_the_smaller_ones_prefix(params):
+    """Sets of every size at the threshold; frequencies from all rare to all frequent elements."""
+    rng = np.random.default_rng(5)
+    for k in range(400):
+        n = int(rng.choice([1, 2, 3, 5, 8, 12, 30, 90, 300, 1500])) + int(rng.integers(0, 3))
+        a = rng.integers(0, 2**64, n, np.uint64)
+        gone = int(rng.integers(0, n - -(-n * params.num // params.den) + 1))
+        new = int(rng.integers(0, (n - gone) * params.den // params.num - n + 1)) if k % 2 else 0
+        b = np.concatenate([a[gone:], rng.integers(0, 2**64, max(new, 0), np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        if not jaccard.meets(both, len(a), len(b), params):
+            continue
+        freq = np.where(rng.random(1 << params.cell_bits) < rng.choice([0, 0.5, 0.9, 1]), 100, 1)
+        low, high = sorted((a, b), key=len)
+        less, _ = jaccard.signatures(low, freq, 1.0, params)
+        assert np.isin(less, np.concatenate(jaccard.signatures(high, freq, 1.0, params))).any()
+
+
+def test_keys_grow_in_proportion_to_very_long_texts():
+    p = jaccard.Params()
+    freq = np.full(1 << p.cell_bits, 100)
+    for n in (10_000, 100_000, 400_000):                            # all elements frequent: the most keys
+        elem = np.sort(np.random.default_rng(n).integers(0, 2**64, n, np.uint64))
+        assert sum(map(len, jaccard.signatures(elem, freq, 1.0, p))) < n
+
+
 def test_rows_of_one_id_are_one_document(spark):
     rows = [(1, "a b c d"), (2, "a b c d"), (2, "p q r s"), (3, "p q r s"), (4, "x")]
     got = {(r.doc_id, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
