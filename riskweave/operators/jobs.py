@@ -23,8 +23,12 @@ CHECK_INTERVAL_DAYS = 7
 
 def retrain(data: DataFrame, model_root: str, audit_root: str, reason: str,
             check_id: str | None = None, metrics_before: dict | None = None,
-            use_smote: bool = True, params: dict | None = None, data_path: str | None = None) -> dict:
-    """Split -> (SMOTE) -> fit tuned boosted trees -> evaluate -> versioned save -> audit."""
+            use_smote: bool = True, params: dict | None = None, data_path: str | None = None,
+            publish: bool = True) -> dict:
+    """Split -> (SMOTE) -> fit tuned boosted trees -> evaluate -> versioned save -> publish -> audit.
+
+    With ``publish`` running streams that score with ``models.Published(model_root)``
+    take the new model with their next micro-batch."""
     spark = data.sparkSession
     t0 = time.time()
     row = {"check_id": check_id, "reason": reason, "data_path": data_path,
@@ -50,6 +54,8 @@ def retrain(data: DataFrame, model_root: str, audit_root: str, reason: str,
         row["metrics_after"] = {k: after[k] for k in ("accuracy", "precision", "recall",
                                                       "f1_score", "auc_roc")}
         path = models.save(model, model_root, "boosted_trees")
+        if publish:
+            row["version"] = models.publish(spark, model_root, path)
         row.update(model_path=path, backup_path=path, success=True)
     except Exception as e:  # noqa: BLE001 - the audit row records the failure
         row.update(success=False, error=f"{e}\n{traceback.format_exc()}")

@@ -15,11 +15,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..session import cut_lineage
+from ..session import cut_lineage, path_exists
 from . import metrics as M
 
 
@@ -104,6 +104,47 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def _pointers(root: str) -> str:
+    return f"{root.rstrip('/')}/published"
+
+
+def publish(spark: SparkSession, root: str, path: str) -> str:
+    """Make a saved model the one in use (M16): appends a pointer row, the newest of which counts; returns its version."""
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
+    spark.createDataFrame([(version, path)], "version string, path string").write.mode("append").parquet(_pointers(root))
+    return version
+
+
+class Published:
+    """The model in use below ``root``, for scorers that go on while it changes.
+
+    ``current`` reads the newest pointer row and loads a version once; before
+    the first ``publish`` it gives (None, None).  A version that cannot be
+    loaded (half copied, removed) leaves the one before in use, if there is
+    one, and is tried again with the next call.
+    """
+
+    def __init__(self, root: str):
+        self.root = root
+        self.version: str | None = None
+        self.model: PipelineModel | None = None
+        self.error: str | None = None
+
+    def current(self, spark: SparkSession) -> tuple[str | None, PipelineModel | None]:
+        if not path_exists(spark, _pointers(self.root)):
+            return self.version, self.model
+        newest = (spark.read.schema("version string, path string").parquet(_pointers(self.root))
+                  .agg(F.max(F.struct("version", "path")).alias("p")).first()["p"])
+        if newest is not None and newest["version"] != self.version:
+            try:
+                self.version, self.model, self.error = newest["version"], load(newest["path"]), None
+            except Exception as e:  # noqa: BLE001 - scoring goes on with the version before
+                if self.model is None:
+                    raise
+                self.error = f"{newest['version']}: {e}"
+        return self.version, self.model
+
+
 def sample_params(space: dict, trials: int, seed: int = 42) -> list[dict]:
     """Random-search parameter maps (M8).  ``space`` maps a parameter to
     ("int", lo, hi), ("float", lo, hi), ("log", lo, hi) or ("choice", [values])."""

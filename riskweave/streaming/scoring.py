@@ -24,6 +24,7 @@ from .. import config as C
 from ..functions import scoring as S
 from ..functions.core import rnd, to_ts
 from ..operators import alerts as A
+from ..operators import models as MD
 from ..operators import risk
 from ..operators.reports import latency_sketches, merged_latency
 from ..sources.tables import EVENT_SCHEMA
@@ -136,6 +137,13 @@ def batch_writer(out_root: str, notify_at: float = C.NOTIFY_AT, prepare=None):
     return handle
 
 
+def score_published(batch: DataFrame, velocity_threshold: int, published: MD.Published) -> DataFrame:
+    """A micro-batch scored by the model in use, with its ``model_version`` (M16); by the rule score before the first."""
+    version, model = published.current(batch.sparkSession)
+    scored = score_events(batch, velocity_threshold, scorer="rules" if model is None else model)
+    return scored.withColumn("model_version", F.lit(version).cast("string"))
+
+
 def is_flagged():
     return (F.col("prediction") == 1) | F.col("rule_decision").isin(C.BLOCKED, C.PENDING_OTP)
 
@@ -183,16 +191,29 @@ def start_scoring(events: DataFrame, out_root: str, checkpoint: str,
     velocity and place rules read the sender's history from the stream's state
     instead of from the event (X1, X4); this needs ``keep``.
 
+    ``scorer`` is that of ``score_events``, or a ``models.Published``: then every
+    micro-batch is scored by the model that is in use when it starts, without a
+    restart, and its rows carry ``model_version`` (M16).  A batch that is run
+    again is scored and written as a whole, so no batch mixes versions.
+
     ``observe`` publishes processed / anomaly counters per batch (G9); the
     ``progress`` table has them for every batch."""
     if past and keep is None:
         raise ValueError("the history counts transactions, so it needs them once: set keep")
+    def scored(batch: DataFrame) -> DataFrame:
+        if isinstance(scorer, MD.Published):
+            return score_published(batch, velocity_threshold, scorer)
+        return score_events(batch, velocity_threshold, scorer=scorer)
+
     if past:
         profile.use_state_store(events.sparkSession)
         rows = profile.with_past(profile.once(events, keep))
         rows = rows.observe("counters", F.count("event").alias("processed"))
-        handler = batch_writer(out_root, prepare=lambda b: score_events(
-            profile.gathered(b, events.schema), velocity_threshold, scorer=scorer))
+        handler = batch_writer(out_root, prepare=lambda b: scored(profile.gathered(b, events.schema)))
+    elif isinstance(scorer, MD.Published):
+        rows = events if keep is None else profile.once(events, keep).drop("row_id", "arrived")
+        rows = rows.observe("counters", F.count(F.lit(1)).alias("processed"))
+        handler = batch_writer(out_root, prepare=scored)
     else:
         first = events if keep is None else profile.once(events, keep).drop("row_id", "arrived")
         rows = score_events(first, velocity_threshold, scorer=scorer)
