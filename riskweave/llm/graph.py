@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import release, written
+from .store import release, small, written
 
 
 #: Pairs across components, per bucket row, that are verified one by one instead of by leaders.
@@ -73,7 +73,9 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
         buckets = buckets.withColumn("lead", F.lit(True))
     many = (buckets.groupBy("sig").agg(F.count("*").alias("n"), F.bool_or("lead").alias("any"))
             .where("n > 1 and any").select("sig"))
-    shared = written(buckets.join(many, "sig").groupBy("sig", "node").agg(F.bool_or("lead").alias("lead")), "buckets")
+    many = written(many, "shared")
+    release(buckets.sparkSession)
+    shared = written(buckets.join(small(many), "sig").groupBy("sig", "node").agg(F.bool_or("lead").alias("lead")), "buckets")
     members = shared.groupBy("sig").agg(F.count("*").alias("n"), *[
         F.bit_xor(F.xxhash64(F.lit(i), "node", "lead")).alias(f"x{i}") for i in (1, 2)]).where("n > 1")
     one = written(members.groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig"), "sigs")
