@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -168,29 +169,50 @@ def sample_params(space: dict, trials: int, seed: int = 42) -> list[dict]:
     return out
 
 
+SEARCH_ROW = "trial int, params string, mean_f1 double"
+
+
 def random_search(folds: DataFrame, kind: str, space: dict, trials: int, k: int,
-                  resample_fn=None, label: str = "is_fraud", seed: int = 42) -> DataFrame:
+                  resample_fn=None, label: str = "is_fraud", seed: int = 42,
+                  results: str | None = None, parallel: int = 1) -> DataFrame:
     """Mean F1 over k folds per sampled parameter map.
 
     Re-balancing runs inside each training fold (``resample_fn``); it does not
     depend on the trial, so each fold's training set is built and written to
     the shared checkpoint folder once and reused by every trial.
+
+    ``parallel`` trials run their Spark jobs at the same time.  With ``results``
+    (a folder for one search: the same data, kind and folds) every finished
+    trial is appended to a table there, and a search that is started again
+    runs only the trials whose number and parameters it does not hold.
     """
     spark = folds.sparkSession
+    sampled = [(t, params, json_params(params)) for t, params in enumerate(sample_params(space, trials, seed))]
+    rows = {}
+    if results is not None and path_exists(spark, results):
+        rows = {(r.trial, r.params): r.mean_f1 for r in spark.read.schema(SEARCH_ROW).parquet(results).collect()}
+    todo = [(t, params, text) for t, params, text in sampled if (t, text) not in rows]
     fold_data = []
-    for i in range(k):
+    for i in range(k if todo else 0):
         tr = folds.where(F.col("fold") != i).drop("fold")
         if resample_fn is not None:
             tr = resample_fn(tr)
         fold_data.append((cut_lineage(tr), folds.where(F.col("fold") == i)))
-    rows = []
-    for t, params in enumerate(sample_params(space, trials, seed)):
+
+    def trial(t: int, params: dict, text: str) -> tuple:
         f1s = []
         for tr, va in fold_data:
             model = fit(tr, kind, label, params=params)
             f1s.append(M.classification_metrics(score(model, va, label=label)).first()["f1_score"])
-        rows.append((t, json_params(params), float(sum(f1s) / len(f1s))))
-    return spark.createDataFrame(rows, "trial int, params string, mean_f1 double")
+        return t, text, float(sum(f1s) / len(f1s))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        for done in as_completed([pool.submit(trial, *x) for x in todo]):
+            t, text, f1 = done.result()
+            rows[t, text] = f1
+            if results is not None:      # here, one after another: appends to one folder must not overlap
+                spark.createDataFrame([(t, text, f1)], SEARCH_ROW).coalesce(1).write.mode("append").parquet(results)
+    return spark.createDataFrame([(t, text, rows[t, text]) for t, _, text in sampled], SEARCH_ROW)
 
 
 def json_params(p: dict) -> str:
