@@ -114,3 +114,25 @@ def test_unscaled_amounts_cross_cells(spark):
     rows = _make([(rng.choice(["DEBIT", "TRANSFER", "CASH_OUT", "CARD_WEB"]), rng.choice([rng.randrange(5000), rng.randrange(40)]))
                   for _ in range(90)])
     assert _neighbours(spark, rows, 2) == _brute(rows, 2)
+
+
+def test_blocks_of_ranks_do_not_part_neighbours(spark, monkeypatch):
+    """Points on either side of a block's end find each other; ranks run on over range partitions."""
+    monkeypatch.setattr(C, "TUNABLES", C.Tunables(neighbour_block=4))
+    rng = random.Random(21)
+    rows = _make([(rng.choice(["DEBIT", "TRANSFER"]), rng.choice([rng.random(), 0.25])) for _ in range(60)])
+    for k in (1, 2, 5):
+        assert _neighbours(spark, rows, k) == _brute(rows, k)
+
+
+def test_large_tables_are_written_as_columns_and_spread(spark):
+    """Ranks and synthetic rows come from Parquet files; few minority rows do not make a single task's output."""
+    rows = _rows()
+    schema = "transaction_id string, " + ", ".join(f"`{f}` double" for f in C.FEATURES) + ", is_fraud int"
+    df = spark.createDataFrame([r + (1,) for r in rows] + [(f"m{i}", *r[1:], 0) for i in range(5) for r in rows], schema)
+    ranked = B.ranked_minority(df.where("is_fraud = 1"))
+    assert ranked.inputFiles()
+    want = sorted((r[0], i) for c in {r[2:] for r in rows}
+                  for i, r in enumerate(sorted([r for r in rows if r[2:] == c], key=lambda r: (r[1], r[0]))))
+    assert sorted((r.transaction_id, r.rk) for r in ranked.collect()) == want
+    assert B.smote_rows(df).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
