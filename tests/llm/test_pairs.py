@@ -296,6 +296,37 @@ def test_line_dedup_uses_no_python(spark):
     assert {r.doc_id: r.dropped for r in lines.report(docs).collect()} == {1: None, 2: [0]}
 
 
+def test_texts_of_lines_without_a_like_one_are_not_written(spark, monkeypatch):
+    rows = [(i, f"{i} {'abcdefgh'[i % 8] * 12} a line of its own {i * i} that no other one is like\nthe line that all have") for i in range(40)]
+    rows += [(99, "a line that has a like one, long enough for many windows"), (98, "a line that has a like one, long enough for many windowz")]
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+    monkeypatch.setattr(lines, "written", kept)
+    docs = spark.createDataFrame([*rows, rows[-1], rows[-2]], "doc_id long, text string")
+    got = {(r.doc_id, p) for r in lines.report(docs).collect() for p in (r.dropped or [])}
+    assert got == brute_lines(rows)
+    assert "norm" not in tables["lines"].columns
+    assert {"a line that has a like one, long enough for many window" + c for c in "sz"} <= {r.norm for r in tables["texts"].collect()}
+    assert tables["texts"].count() == tables["nodes"].count() < tables["lines"].count()
+
+
+def test_bands_come_from_one_order_of_the_windows(spark):
+    """All keys from one sort, without the marks of the places: lines that lie between two marks share no key for that."""
+    p = lines.Params()
+    rng = random.Random(7)
+    rows = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([8, 9, 10, 15, 40, 90, 300]))) for _ in range(300)]
+    df = lines.keyed(spark.createDataFrame([(t,) for t in rows], "norm string"), p)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 2
+    keys = {}
+    for r in df.collect():
+        for s in set(r.sigs):
+            keys.setdefault(s, set()).add(r.norm)
+    assert all(len(x) == 1 for x in keys.values())
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(none).count() == 0 and lines.report(none).count() == 0 and lines.dedup(none).count() == 0
