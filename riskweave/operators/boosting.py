@@ -8,7 +8,9 @@ its rows through the tree so far and adds up gradient, hessian and count per
 at most open nodes x features x bins numbers, picks splits by the Newton gain.
 Rows stay where they are; their margin is kept with them, and every
 ``CUT_EACH`` trees the table is checkpointed, so a lost executor costs at most
-those trees.
+those trees.  Where the counted table has no more than ``DRIVER_ROWS`` rows
+(some 60 bytes each), the same rounds run on it in the driver instead: every
+row of the input is in its counts, and a round costs no Spark job.
 
 Gradients and hessians are summed as integers (a 2**24th of a row), so a model
 does not depend on partitions or on the order of sums.
@@ -37,6 +39,7 @@ from ..session import cut_lineage
 
 UNIT = 1 << 24
 CUT_EACH = 10
+DRIVER_ROWS = 1 << 18
 MISSING = 0          # bin of NaN and NULL
 
 
@@ -184,14 +187,12 @@ def cells(bins, y, n, margin, tree: Tree, number: int, wanted: list[int], column
     at, take = at[use], take[use]
     g, h = gradients(y[use], margin[use], p)
     sums = (g * take, h * take, take)
+    flat = out.reshape(-1, 3)
+    first = at * (len(columns) * width)
     for k, j in enumerate(columns):
-        key = at * width + bins[use, j]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+        key = first + (k * width + bins[use, j])
         for m, v in enumerate(sums):
-            if len(key):
-                out[key[first] // width, k, key[first] % width, m] = np.add.reduceat(v[order], first)
+            np.add.at(flat[:, m], key, v)
     return out
 
 
@@ -341,18 +342,40 @@ def fit(train: DataFrame, features: list[str] = C.FEATURES, label: str = "is_fra
     if not ones.n or not p.trees:
         return model
     width = max(len(c) for c in cuts) + 2
-    rows, before = data.withColumn("margin", F.lit(base)).persist(), None
+    if data.limit(DRIVER_ROWS + 1).count() <= DRIVER_ROWS:
+        _fit_here(model, data, width, p)
+    else:
+        _fit_rows(model, data, width, p)
+    return model
+
+
+def _fit_here(model: Model, data: DataFrame, width: int, p: Params) -> None:
+    """The trees over a small counted table, held by the driver."""
+    got, features = data.toArrow(), len(model.features)
+    bins = np.concatenate([_matrix(rb, features) for rb in got.to_batches()])
+    y, n = got.column("y").to_numpy(), got.column("n").to_numpy()
+    margin = np.full(len(n), model.base)
+    for number in range(p.trees):
+        columns = columns_of(number, features, p)
+        tree = grow(lambda t, nodes: cells(bins, y, n, margin, t, number, nodes, columns, width, p), columns, p)  # noqa: B023
+        model.trees.append(tree)
+        margin = margin + tree.value[tree.leaf_of(bins)]
+
+
+def _fit_rows(model: Model, data: DataFrame, width: int, p: Params) -> None:
+    """The trees over a counted table of any size, one Spark job per round."""
+    features = len(model.features)
+    rows, before = data.withColumn("margin", F.lit(model.base)).persist(), None
     for number in range(p.trees):
-        columns = columns_of(number, len(features), p)
-        tree = grow(lambda t, nodes: histograms(rows, t, number, nodes, columns, len(features), width, p), columns, p)  # noqa: B023
+        columns = columns_of(number, features, p)
+        tree = grow(lambda t, nodes: histograms(rows, t, number, nodes, columns, features, width, p), columns, p)  # noqa: B023
         model.trees.append(tree)
         if before is not None:               # the tree's first round has filled the new table
             before.unpersist()
-        moved = advance(rows, tree, len(features))
+        moved = advance(rows, tree, features)
         before, rows = rows, cut_lineage(moved) if (number + 1) % CUT_EACH == 0 else moved.persist()
     before.unpersist()
     rows.unpersist()
-    return model
 
 
 def advance(rows: DataFrame, tree: Tree, features: int) -> DataFrame:

@@ -139,3 +139,38 @@ def test_saved_parameters():
     first, second = B.tuned("first"), B.tuned("second")
     assert (first.trees, first.depth, first.leaves, first.min_hessian) == (267, 9, None, 10.0)
     assert (second.trees, second.depth, second.leaves, second.min_rows) == (152, 8, 159, 7)
+
+
+def same(a, b):
+    return len(a.trees) == len(b.trees) and all(
+        np.array_equal(getattr(s, k), getattr(t, k)) for s, t in zip(a.trees, b.trees) for k in s.__dataclass_fields__)
+
+
+@pytest.mark.parametrize("p", [replace(PARAMS[1], trees=12), replace(PARAMS[2], trees=12, rows=0.6)])
+def test_rounds_in_the_driver_and_as_jobs_make_one_model(spark, monkeypatch, p):
+    df = frame(spark, *table(600))
+    here = B.fit(df, FEATURES, params=p)
+    monkeypatch.setattr(B, "DRIVER_ROWS", 0)
+    jobs = B.fit(df, FEATURES, params=p)
+    assert len(here.trees) == 12 and same(here, jobs)
+
+
+def test_sums_of_cells_stay_whole():
+    """Counts times units pass 2**53, where floating-point sums would lose the last bits."""
+    p, leaf = replace(B.BY_DEPTH, pos_weight=3.0), B.as_tree([B.Node(None, 0)], [], [0], B.BY_DEPTH)
+    n = np.array([(1 << 31) + 1, (1 << 30) + 3, 5])
+    bins, y = np.array([[1], [1], [0]], np.uint16), np.array([1, 0, 1])
+    got = B.cells(bins, y, n, np.array([0.1, 0.3, 0.2]), leaf, 0, [0], [0], 3, p)
+    g, h = (x.tolist() for x in B.gradients(y, np.array([0.1, 0.3, 0.2]), p))
+    want = [[sum(v[i] * int(n[i]) for i in rows) for v in (g, h, [1] * 3)] for rows in ([2], [0, 1], [])]
+    assert got[0, 0].tolist() == want and abs(want[1][0]) > 1 << 53
+
+
+@pytest.mark.parametrize("query, trees", [("gbt_tuned_scores", 267)])
+def test_registered_queries_grow_every_tree_of_their_parameters(spark, monkeypatch, query, trees):
+    from riskweave.plans import registry
+    registry.load_all()
+    models, score = [], B.score
+    monkeypatch.setattr(B, "score", lambda model, *a, **k: models.append(model) or score(model, *a, **k))
+    assert registry.QUERIES[query](spark, "/root/testdata/sf0.001").count() > 0
+    assert [len(m.trees) for m in models] == [trees]
