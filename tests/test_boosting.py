@@ -166,7 +166,8 @@ def test_sums_of_cells_stay_whole():
     assert got[0, 0].tolist() == want and abs(want[1][0]) > 1 << 53
 
 
-@pytest.mark.parametrize("query, trees", [("hist_boost_scores", 100), ("gbt_tuned_scores", 267)])
+@pytest.mark.parametrize("query, trees", [("hist_boost_scores", 100), ("hist_boost_tuned_scores", 152),
+                                          ("gbt_tuned_scores", 267)])
 def test_registered_queries_grow_every_tree_of_their_parameters(spark, monkeypatch, query, trees):
     from riskweave.plans import registry
     registry.load_all()
