@@ -10,9 +10,16 @@ each order is one shuffle, and the number of shards grows with the corpus.
 Stored are counts: for every order and shard the sorted n-gram hashes with
 their counts, and the sorted context hashes with their total and the numbers
 of followers seen once, twice and more often.  Discounts come from the counts
-of counts.  Scoring workers map the files (those of a store that cannot be
-mapped are copied to the worker's own temporary folder, mapped and unlinked)
-and look up sorted queries, so only touched pages are read.
+of counts.  Workers map the files (those of a store that cannot be mapped are
+copied to the worker's own temporary folder, mapped and unlinked) and look up
+sorted queries, so only touched pages are read.
+
+Scoring: the texts are stored in batches; each batch deals its distinct
+contexts and n-grams of an order, sorted, to the shards, the task of a shard
+maps that shard's files once and answers all batches, and a batch puts its
+answers, which come in the order of its own sorted queries, together.  So each
+file is read once however large the corpus, and no task needs more than one
+shard or one batch.
 
 A text is its words and an end mark, after n - 1 begin marks.  A word that was
 never seen has the share of the uniform distribution over V + 1 words.
@@ -28,6 +35,7 @@ import functools
 import io
 import os
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,11 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import file_system, id_crc, put, release, shared_folder, written
+from .store import drop, file_system, id_crc, put, release, shared_folder, written
 from .text import Words, blocks, combine, mix, utf8
 
 BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B1), np.uint64(0xE0E0E0E0E0E0E0E1)
+HIGH = np.uint64(0xFFFFFFFF00000000)
 SHARD_BYTES = 24 << 20       # text bytes per shard of counts
+SCORE_BYTES = 8 << 20        # text bytes per batch of scored documents
+TOKEN_BYTES = 1 << 18        # text bytes cut into words at a time
 HOLD = 3_000_000             # n-grams a task holds before it merges them
 RAW = 0                      # the level of the plain word counts
 BLOBS = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("shard", T.IntegerType()),
@@ -80,14 +91,37 @@ def gram_key(cols: list[np.ndarray], ctx: np.ndarray, bits: int) -> np.ndarray:
 
 
 def merge(cols: list[np.ndarray], counts: np.ndarray, key: np.ndarray):
-    """Distinct n-grams in order of their key, with summed counts."""
-    order = np.argsort(key, kind="stable")
+    """Distinct n-grams in order of their key, with summed counts (equal keys may come in any order)."""
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     total = np.add.reduceat(counts[order], first) if len(key) else counts
     return [c[order[first]] for c in cols], total, key[first]
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with their counts.  np.unique hashes since numpy 2.3, fifty times as slow on such keys."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of every key in them."""
+    order = np.argsort(keys)
+    there = keys[order]
+    first = np.append(True, there[1:] != there[:-1])[:len(keys)]
+    back = np.empty(len(keys), np.int32 if len(keys) < 1 << 31 else np.int64)
+    back[order] = np.cumsum(first, dtype=back.dtype) - 1
+    return there[first], back
+
+
+def _runs(context: list[np.ndarray]) -> np.ndarray:
+    """An order that puts equal contexts, and contexts with the same last word, beside each other."""
+    near, far = context[-1], combine(context[:-1]) if len(context) > 2 else context[0]
+    return np.argsort(near if len(context) == 1 else (near & HIGH) | (far >> np.uint64(32)))
+
+
 def _out(level: int, cols, counts, key, bits: int):
     """One row per shard; cols sorted by key, so each shard is a slice."""
     if not len(key):
@@ -96,7 +130,7 @@ def _out(level: int, cols, counts, key, bits: int):
     cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist() + [len(shard)]
     rows = []
     for a, b in zip(cut[:-1], cut[1:]):
-        like = np.lexsort([c[a:b] for c in cols[:-1]]) if len(cols) > 1 else slice(None)   # runs of a context shuffle small
+        like = _runs([c[a:b] for c in cols[:-1]]) if len(cols) > 1 else slice(None)   # runs of a context shuffle small
         small = counts[a:b][like].astype(np.min_scalar_type(int(counts[a:b].max())))
         rows.append((level, int(shard[a]), b"".join(c[a:b][like].tobytes() for c in cols), small.tobytes(), b - a))
     for at in range(0, len(rows), 64):
@@ -109,16 +143,14 @@ def _out(level: int, cols, counts, key, bits: int):
 def _counted(order: int, bits: int):
     """mapInArrow over training texts: n-grams of the highest order and words, merged per task."""
     def run(batches):
-        held: dict[int, list] = {order: [], RAW: []}
+        held: dict[int, list] = {order: [], RAW: []}     # (words, counts, key) of n-grams, not all distinct
 
         def squeeze(level):
             if not held[level]:
                 return [], np.zeros(0, np.int64), np.zeros(0, np.uint64)
             cols = [np.concatenate(c) for c in zip(*(x[0] for x in held[level]))]
-            counts = np.concatenate([x[1] for x in held[level]])
-            got = merge(cols, counts, gram_key(cols, context_key(cols), bits))
-            held[level] = [got[:2]]
-            return got
+            held[level] = [merge(cols, *(np.concatenate([x[i] for x in held[level]]) for i in (1, 2)))]
+            return held[level][0]
 
         def flush():
             for level in (order, RAW):
@@ -127,11 +159,12 @@ def _counted(order: int, bits: int):
 
         for rb in batches:
             raw, offs = utf8(rb.column("text"))
-            for lo, hi in blocks(offs):
+            for lo, hi in blocks(offs, TOKEN_BYTES):
                 tok, ptr = tokens(raw, offs[lo:hi + 1])
-                for level, cols in ((order, ngrams(tok, ptr, order)), (RAW, [tok])):
-                    held[level].append(merge(cols, np.ones(len(tok), np.int64),
-                                             gram_key(cols, context_key(cols), bits))[:2])
+                cols = ngrams(tok, ptr, order)
+                words, n = distinct(tok)
+                for level, c, seen in ((order, cols, np.ones(len(tok), np.int64)), (RAW, [words], n)):
+                    held[level].append((c, seen, gram_key(c, context_key(c), bits)))
                 if sum(len(x[1]) for x in held[order]) > HOLD:
                     squeeze(order), squeeze(RAW)
                     if len(held[order][0][1]) > HOLD // 2:
@@ -170,7 +203,7 @@ def _write_level(uri: str, level: int, shard: int, cols, counts, key) -> None:
     _put(uri, f"{name}-count", counts.astype(np.min_scalar_type(int(counts.max()))))
     if level > 1:
         ctx = context_key(cols)
-        order = np.argsort(ctx, kind="stable")
+        order = np.argsort(ctx)
         c, n = ctx[order], counts[order]
         first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
         _put(uri, f"{name}-context", c[first])
@@ -247,15 +280,19 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
     text = docs.select(F.col("text").cast("string").alias("text"))
     rows = text.mapInArrow(_counted(order, bits), BLOBS)
     stats: dict[int, np.ndarray] = {}
+    done = None
     for level in range(order, 0, -1):
         here = [level, RAW] if level == order else [level]
-        done = written(rows.groupBy("level", "shard").applyInArrow(_merged(uri, bits), STATS), "counts")
+        before, done = done, written(rows.groupBy("level", "shard").applyInArrow(_merged(uri, bits), STATS), "counts")
         for r in done.where("stats is not null").groupBy("level").agg(
                 *[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(6)]).collect():   # a row per level
             if r["level"] in here:
                 stats[r["level"]] = np.array(r[1:], dtype=np.int64)
         rows = done.where("stats is null").select(*BLOBS.names)
+        if before is not None:
+            drop(before)
         release(spark)
+    drop(done)
     none = np.zeros(6, np.int64)
     low = stats.get(1, none)
     return Model(uri, order, bits, {k: discounts(*(int(x) for x in stats.get(k, none)[:4])) for k in range(1, order + 1)},
@@ -283,42 +320,224 @@ def _lookup(m: Model, level: int, kind: str, keys: np.ndarray, values: list[str]
 
 def _find(m: Model, level: int, kind: str, keys: np.ndarray, values: list[str]) -> list[np.ndarray]:
     """As ``_lookup`` for keys in any order; each distinct key is looked up once."""
-    uniq, back = np.unique(keys, return_inverse=True)
+    uniq, back = places(keys)
     return [v[back] for v in _lookup(m, level, kind, uniq, values)]
 
 
+class Text:
+    """Tokens of some documents and the n-grams that end at each."""
+
+    def __init__(self, m: Model, tok: np.ndarray, ptr: np.ndarray):
+        self.m, self.tok, self.ptr = m, tok, ptr
+        self.cols = ngrams(tok, ptr, m.order)
+
+    @functools.cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words and the begin mark, and the places of every token and of the one before it."""
+        words, place = places(np.append(self.tok, BEGIN))
+        before = np.append(place[-1:], place[:-2])
+        before[self.ptr[:-1]] = place[-1]
+        return words, place[:-1], before
+
+    def wanted(self, level: int) -> list[tuple[str, np.ndarray, list[str], np.ndarray | None]]:
+        """What a level looks up: (kind of file, keys, names of the values, each token's place in the keys or None)."""
+        bits, stats = self.m.bits, ["total", "n1", "n2", "n3"]
+        if level <= 1:
+            words, place, _ = self.words
+            return [("key", gram_key([words], context_key([words]), bits), ["count"], place)]
+        part = self.cols[-level:]
+        ctx = context_key(part)
+        grams = ("key", gram_key(part, ctx, bits), ["count"], None)
+        if level == 2:
+            words, _, before = self.words
+            return [("context", context_key([words, words]), stats, before), grams]
+        return [("context", ctx, stats, None), grams]
+
+    def found(self, level: int, find) -> list[list[np.ndarray]]:
+        """The values of every token."""
+        out = []
+        for kind, keys, values, place in self.wanted(level):
+            got = find(level, kind, keys, values)
+            out.append(got if place is None else [x[place] for x in got])
+        return out
+
+
 def probabilities(m: Model, tok: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Model probability of every token after its predecessors in the document."""
-    cols = ngrams(tok, ptr, m.order)
-    low = cols[-1:]
+    return _probabilities(Text(m, tok, ptr), functools.partial(_find, m))
+
+
+def _probabilities(text: Text, find) -> np.ndarray:
+    """``find(level, kind, keys, values)`` gives the stored values of keys."""
+    m = text.m
     d = m.discounts[1]
     uniform = 1.0 / (m.vocabulary + 1)
     if m.bigrams:
-        (c,) = _find(m, 1, "key", gram_key(low, context_key(low), m.bits), ["count"])
+        ((c,),) = text.found(1, find)
         spare = sum(x * n for x, n in zip(d, m.follow)) / m.bigrams
-        p = (c - np.select([c == 0, c == 1, c == 2], [0.0, d[0], d[1]], d[2])) / m.bigrams + spare * uniform
+        p = (c - _taken(c, d)) / m.bigrams + spare * uniform
     else:
-        p = np.full(len(tok), uniform)
+        p = np.full(len(text.tok), uniform)
     for level in range(2, m.order + 1):
-        part, d = cols[-level:], m.discounts[level]
-        ctx = context_key(part)
-        total, n1, n2, n3 = _find(m, level, "context", ctx, ["total", "n1", "n2", "n3"])
-        (c,) = _find(m, level, "key", gram_key(part, ctx, m.bits), ["count"])
+        d = m.discounts[level]
+        (total, n1, n2, n3), (c,) = text.found(level, find)
         seen = np.maximum(total, 1)
-        high = (c - np.select([c == 0, c == 1, c == 2], [0.0, d[0], d[1]], d[2])) / seen
+        high = (c - _taken(c, d)) / seen
         back = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / seen, 1.0)
         p = high + back * p
     return p
 
 
-def score_block(m: Model, raw: np.ndarray, offs: np.ndarray):
+def _taken(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """The discount of each count."""
+    return np.array([0.0, *d])[np.minimum(c, 3).astype(np.int8)]
+
+
+def score_block(m: Model, raw: np.ndarray, offs: np.ndarray, find=None):
     """(tokens, known tokens, base log10, model log10) of every document of a block."""
-    tok, ptr = tokens(raw, offs)
-    (c,) = _find(m, RAW, "key", gram_key([tok], context_key([tok]), m.bits), ["count"])
+    find = find or functools.partial(_find, m)
+    text = Text(m, *_tokens(raw, offs))
+    ((c,),) = text.found(RAW, find)
     base = np.log10((c + 0.1) / (m.train_tokens + 0.1 * (m.vocabulary + 1)))
-    model = np.log10(probabilities(m, tok, ptr))
-    at = ptr[:-1]
-    return np.diff(ptr), np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(model, at)
+    model = np.log10(_probabilities(text, find))
+    at = text.ptr[:-1]
+    return (np.diff(text.ptr), np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(base, at),
+            np.add.reduceat(model, at))
+
+
+def _tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` of many documents, a cache-sized block at a time."""
+    parts = [tokens(raw, offs[lo:hi + 1]) for lo, hi in blocks(offs, TOKEN_BYTES)]
+    sizes = np.concatenate([[0], *(np.diff(ptr) for _, ptr in parts)])
+    return np.concatenate([tok for tok, _ in parts]), np.cumsum(sizes)
+
+
+# ---------------------------------------------------------------- scoring a table: batches ask, shards answer
+ASKED = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("shard", T.IntegerType()),
+                      T.StructField("batch", T.StringType()), T.StructField("keys", T.ArrayType(T.BinaryType()))])
+ANSWERS = T.StructType([*ASKED.fields[:3], T.StructField("values", T.ArrayType(T.BinaryType()))])
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as byte planes of their differences: the high planes are zeros, which a shuffle compresses."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, len(planes) // 8).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _cut(m: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shards, their bounds) of sorted keys."""
+    if not m.bits:
+        return np.zeros(1, np.int64), np.array([0, len(keys)])
+    shards = np.arange(1 << m.bits)
+    return shards, np.append(np.searchsorted(keys, shards.astype(np.uint64) << np.uint64(64 - m.bits)), len(keys))
+
+
+def _stored(uri: str, target: int):
+    """mapInArrow over doc_id, text: files of about ``target`` bytes of whole documents, and a row with each one's name."""
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            data, name = io.BytesIO(), uuid.uuid4().hex
+            table = pa.Table.from_batches(held).combine_chunks()
+            with pa.ipc.new_stream(data, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            put(uri, name, data.getbuffer())
+            return pa.RecordBatch.from_arrays([pa.array([name])], names=["batch"])
+
+        for rb in batches:
+            _, offs = utf8(rb.column("text"))
+            for lo, hi in blocks(offs, max(1, target // 8)):
+                held.append(rb.slice(lo, hi - lo))
+                size += offs[hi] - offs[lo]
+                if size >= target:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+    return run
+
+
+def _batch(uri: str, name: str) -> pa.Table:
+    store, path = file_system(uri)
+    with store.open_input_stream(f"{path}/{name}") as f:
+        return pa.ipc.open_stream(f.read()).read_all()
+
+
+def _asked(uri: str, m: Model, levels: list[int]):
+    """mapInArrow over batch names: for every level and shard the sorted distinct keys that the batch needs."""
+    def run(batches):
+        for name in (x for rb in batches for x in rb.column("batch").to_pylist()):
+            text = Text(m, *_tokens(*utf8(_batch(uri, name).column("text"))))
+            for level in levels:
+                parts = []
+                for _, keys, *_ in text.wanted(level):
+                    keys, _ = distinct(keys)
+                    shards, cut = _cut(m, keys)
+                    parts.append([pack(keys[a:b]) for a, b in zip(cut[:-1], cut[1:])])
+                rows = [(int(s), list(k)) for s, *k in zip(shards, *parts) if any(k)]
+                for at in range(0, len(rows), 64):
+                    shard, keys = zip(*rows[at:at + 64])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([level] * len(shard), pa.int32()), pa.array(shard, pa.int32()),
+                         pa.array([name] * len(shard)), pa.array(keys, pa.list_(pa.binary()))], names=ASKED.names)
+    return run
+
+
+def _answered(m: Model):
+    """applyInArrow for a (level, shard): the values of all batches' keys, each array as small as its numbers allow."""
+    def run(key, table):
+        level = key[0].as_py()
+        kinds = [(w[0], w[2]) for w in Text(m, np.zeros(0, np.uint64), np.zeros(1, np.int64)).wanted(level)]
+        asked, out = table.column("keys").to_pylist(), [[] for _ in range(len(table))]
+        for i, (kind, values) in enumerate(kinds):
+            keys = [unpack(row[i]) for row in asked]
+            cut = np.cumsum([0, *map(len, keys)])
+            keys = np.concatenate(keys)
+            order = np.argsort(keys)             # one walk over the files for all batches
+            for x in _lookup(m, level, kind, keys[order], values):
+                got = np.empty_like(x)
+                got[order] = x
+                for row, a, b in zip(out, cut[:-1], cut[1:]):
+                    part = got[a:b]
+                    row.append(part.astype(np.min_scalar_type(int(part.max()) if b > a else 0)).tobytes())
+        return table.select(ASKED.names[:3]).append_column("values", pa.array(out, pa.list_(pa.binary())))
+    return run
+
+
+def _given(m: Model, table: pa.Table):
+    """``find`` from the answers to one batch."""
+    rows = sorted(zip(table.column("level").to_pylist(), table.column("shard").to_pylist(), table.column("values")),
+                  key=lambda r: r[:2])
+    answers: dict[int, dict] = {}
+    for level, shard, values in rows:
+        answers.setdefault(level, {})[shard] = values.values
+
+    def find(level, kind, keys, values):
+        uniq, back = places(keys)
+        out = [np.zeros(len(uniq), np.float64) for _ in values]
+        first = 4 if level > 1 and kind == "key" else 0
+        for shard, a, b in zip(*(lambda s, c: (s, c[:-1], c[1:]))(*_cut(m, uniq))):
+            if b > a:
+                for o, data in zip(out, answers[level][shard][first:first + len(values)]):
+                    data = data.as_buffer()
+                    o[a:b] = np.frombuffer(data, f"u{data.size // (b - a)}")
+        return [o[back] for o in out]
+    return find
+
+
+def _combined(uri: str, m: Model, names: list[str]):
+    """applyInArrow for a batch: the scores of its documents."""
+    def run(key, table):
+        docs = _batch(uri, key[0].as_py())
+        got = score_block(m, *utf8(docs.column("text")), _given(m, table))
+        return pa.Table.from_arrays([docs.column("doc_id"), *(pa.array(g) for g in got)], names=names)
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -326,15 +545,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()),
                            T.StructField("score", T.DoubleType())])
-
-    def run(batches):
-        for rb in batches:
-            raw, offs = utf8(rb.column("text"))
-            got = list(zip(*(score_block(model, raw, offs[lo:hi + 1]) for lo, hi in blocks(offs))))
-            if got:
-                yield pa.RecordBatch.from_arrays([rb.column("doc_id"), *(pa.array(np.concatenate(g)) for g in got)],
-                                                 names=schema.names)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    spark = docs.sparkSession
+    uri = shared_folder(spark, "lm-texts")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    batches = written(texts.mapInArrow(_stored(uri, SCORE_BYTES), "batch string"), "batches")
+    batches = batches.repartition(max(1, batches.count() // 2))      # names only; two batches a task
+    answers = None
+    for levels in [*([x] for x in range(model.order, 2, -1)), [RAW, *range(1, min(model.order, 2) + 1)]]:
+        asked = batches.mapInArrow(_asked(uri, model, levels), ASKED)
+        got = written(asked.groupBy("level", "shard").applyInArrow(_answered(model), ANSWERS), "answers", "zstd")
+        answers = got if answers is None else answers.unionByName(got)
+        release(spark)
+    return answers.groupBy("batch").applyInArrow(_combined(uri, model, schema.names), schema)
 
 
 def op1_lm_scoring(docs: DataFrame, order: int = 3) -> DataFrame:

@@ -54,22 +54,36 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(size)
 
 
+CHUNK = 1 << 14              # values hashed at a time: they stay in the processor's cache
+
+
+def _mix_here(h: np.ndarray, spare: np.ndarray) -> None:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(h, np.uint64(shift), out=spare)
+        h ^= spare
+        if factor:
+            h *= np.uint64(factor)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every input bit over the word."""
     h = h.astype(np.uint64, copy=True)
-    h ^= h >> np.uint64(30)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
+    spare = np.empty(min(len(h), CHUNK), np.uint64)
+    for at in range(0, len(h), CHUNK):
+        _mix_here(h[at:at + CHUNK], spare[:len(h) - at])
     return h
 
 
 def combine(parts: list[np.ndarray], salt: int = 0) -> np.ndarray:
     """Order-dependent hash of equally long arrays of hashes."""
     acc = np.full(len(parts[0]), np.uint64(salt & MASK64), dtype=np.uint64)
-    for p in parts:
-        acc = mix(acc * np.uint64(_P) + p)
+    spare = np.empty(min(len(acc), CHUNK), np.uint64)
+    for at in range(0, len(acc), CHUNK):
+        here = acc[at:at + CHUNK]
+        for p in parts:
+            here *= np.uint64(_P)
+            here += p[at:at + CHUNK]
+            _mix_here(here, spare[:len(here)])
     return acc
 
 

@@ -107,3 +107,65 @@ def test_registered_query_uses_three_words(spark):
     test = rows[:40]
     want = brute([t for i, t in rows if not got[i].held_out], 3, [t for _, t in test])
     assert all(got[i].score == pytest.approx(w[4], rel=1e-6) for (i, _), w in zip(test, want))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_a_shard_answers_all_batches_from_one_walk_over_its_files(spark, order, monkeypatch, scratch):
+    """Time at size: every batch of texts used to look into the files of every shard."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    monkeypatch.setattr(lm, "SHARD_BYTES", 400)
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+    rows = [(i, t) for i, t in enumerate(TEXTS * 3)]
+    m = lm.fit(spark.createDataFrame(rows[5:], schema), order)
+    given = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    stored = list(lm._stored(scratch, 300)(iter([given])))
+    assert len(stored) > 3 and m.bits > 2
+    asked = [rb for levels in ([lm.RAW, 1], *([x] for x in range(2, order + 1)))
+             for rb in lm._asked(scratch, m, levels)(iter(stored))]
+    asked = pa.Table.from_batches(asked)
+    opened, mapped = [], lm._mapped
+    monkeypatch.setattr(lm, "_mapped", lambda uri, name: opened.append(name) or mapped(uri, name))
+    answers = []
+    for level, shard in sorted(set(zip(asked.column("level").to_pylist(), asked.column("shard").to_pylist()))):
+        mine = np.array([x == (level, shard) for x in zip(asked.column("level").to_pylist(), asked.column("shard").to_pylist())])
+        answers.append(lm._answered(m)((pa.scalar(level), pa.scalar(shard)), asked.filter(pa.array(mine))))
+    assert len(opened) == len(set(opened))
+    answers, got = pa.concat_tables(answers), {}
+    for name in (x for rb in stored for x in rb.column("batch").to_pylist()):
+        mine = answers.filter(pa.compute.equal(answers.column("batch"), name))
+        scored = lm._combined(scratch, m, ["doc_id", "n", "known", "base", "score"])((pa.scalar(name),), mine)
+        got.update({r["doc_id"]: r for r in scored.to_pylist()})
+    from riskweave.llm.text import utf8
+    direct = list(zip(*lm.score_block(m, *utf8(given.column("text")))))
+    for (i, _), (n, known, base, score) in zip(rows, direct):
+        r = got[i]
+        assert (r["n"], r["known"], r["base"], r["score"]) == (n, known, pytest.approx(base), pytest.approx(score))
+
+
+def test_batches_of_documents_and_intermediate_tables(spark, monkeypatch):
+    """Small batches and shards give the same scores; the tables between the orders are gone after counting."""
+    from riskweave.llm import store
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 2)] + [(None, "the cat")], "doc_id long, text string")
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_tokens)
+    whole = sorted(lm.op1_lm_scoring(docs.repartition(2)).collect(), key=key)
+    made, keep = [], store.written
+    monkeypatch.setattr(lm, "written", lambda df, name, *a: made.append((name, keep(df, name, *a))) or made[-1][1])
+    monkeypatch.setattr(lm, "SCORE_BYTES", 50)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 300)
+    parts = sorted(lm.op1_lm_scoring(docs.repartition(2)).collect(), key=key)
+    for a, b in zip(whole, parts, strict=True):
+        assert a[:5] == b[:5] and a.base_score == pytest.approx(b.base_score) and a.score == pytest.approx(b.score)
+    from riskweave.session import path_exists
+    assert not any(path_exists(spark, t.inputFiles()[0]) for name, t in made if name == "counts")
+    assert all(path_exists(spark, t.inputFiles()[0]) for name, t in made if name != "counts")
+
+
+def test_distinct_places_and_packed_keys():
+    import numpy as np
+    for n in (0, 1, 5000):
+        keys = np.random.default_rng(n).integers(0, 900, n).astype(np.uint64) << np.uint64(54)
+        want, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        assert all(np.array_equal(a, b) for a, b in zip((*lm.distinct(keys), *lm.places(keys)), (want, counts, want, inverse)))
+        assert np.array_equal(lm.unpack(lm.pack(want)), want)
