@@ -52,6 +52,7 @@ BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B1), np.uint64(0xE0E0E0E0E0E0E0E1)
 HIGH = np.uint64(0xFFFFFFFF00000000)
 SHARD_BYTES = 24 << 20       # text bytes per shard of counts
 SCORE_BYTES = 8 << 20        # text bytes per batch of scored documents
+ANSWER_KEYS = 1 << 22        # keys a shard's task looks up at a time
 TOKEN_BYTES = 1 << 18        # text bytes cut into words at a time
 HOLD = 3_000_000             # n-grams a task holds before it merges them
 RAW = 0                      # the level of the plain word counts
@@ -494,18 +495,21 @@ def _answered(m: Model):
     def run(key, table):
         level = key[0].as_py()
         kinds = [(w[0], w[2]) for w in Text(m, np.zeros(0, np.uint64), np.zeros(1, np.int64)).wanted(level)]
-        asked, out = table.column("keys").to_pylist(), [[] for _ in range(len(table))]
-        for i, (kind, values) in enumerate(kinds):
-            keys = [unpack(row[i]) for row in asked]
-            cut = np.cumsum([0, *map(len, keys)])
-            keys = np.concatenate(keys)
-            order = np.argsort(keys)             # one walk over the files for all batches
-            for x in _lookup(m, level, kind, keys[order], values):
-                got = np.empty_like(x)
-                got[order] = x
-                for row, a, b in zip(out, cut[:-1], cut[1:]):
-                    part = got[a:b]
-                    row.append(part.astype(np.min_scalar_type(int(part.max()) if b > a else 0)).tobytes())
+        asked = [row.values for row in table.column("keys")]
+        out = [[] for _ in asked]
+        sizes = np.array([sum(len(x.as_buffer()) for x in row) // 8 for row in asked])
+        for part in np.split(np.arange(len(asked)), np.flatnonzero(np.diff(np.cumsum(sizes) // ANSWER_KEYS)) + 1):
+            for i, (kind, values) in enumerate(kinds):
+                keys = [unpack(asked[r][i].as_buffer()) for r in part]
+                cut = np.cumsum([0, *map(len, keys)])
+                keys = np.concatenate(keys)
+                order = np.argsort(keys)             # one walk over the file for all these batches
+                for x in _lookup(m, level, kind, keys[order], values):
+                    got = np.empty_like(x)
+                    got[order] = x
+                    for r, a, b in zip(part, cut[:-1], cut[1:]):
+                        here = got[a:b]
+                        out[r].append(here.astype(np.min_scalar_type(int(here.max()) if b > a else 0)).tobytes())
         return table.select(ASKED.names[:3]).append_column("values", pa.array(out, pa.list_(pa.binary())))
     return run
 
